@@ -21,9 +21,13 @@ def _to_nfkc(texts: pa.Array) -> pa.Array:
                     type=pa.string())
 
 
+def _beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC. Only rows holding a character that could change leave the JVM."""
-    may_change = text.rlike(f"[^{inert_ranges()}]")
+    may_change = _beyond_ascii(text) & text.rlike(rf"[^\x00-\x7f](?<![{inert_ranges()}])")
     return F.coalesce(_to_nfkc(F.when(may_change, text)), text)
 
 
@@ -51,18 +55,33 @@ def strip_text(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit(""))
 
 
+def needs_cleaning(text: Column, preserve_structure: bool = True) -> Column:
+    """Cheap test for anything the cleaning steps would change (may say yes too often).
+
+    Plain prose passes a few substring tests and two small pattern scans, and is
+    kept as it is.
+    """
+    edge = F.lit(False)
+    for blank in (" ", "\n"):
+        edge = edge | F.startswith(text, F.lit(blank)) | F.endswith(text, F.lit(blank))
+    lines = F.lit("\n\n\n") if preserve_structure else F.lit("\n")
+    foreign_space = _beyond_ascii(text) & text.rlike(rf"[^\x00-\x7f](?<=[{SPACE}])")
+    return (F.contains(text, F.lit("  ")) | F.contains(text, lines) | edge
+            | text.rlike(r"[\x00-\x09\x0b-\x1f\x7f]") | text.rlike(rf"{_DIGIT}[OlI]{_DIGIT}") | foreign_space)
+
+
 def clean_text(text: Column, preserve_structure: bool = True, normal_form: bool = True) -> Column:
     """All cleaning steps in order; null becomes the empty string.
 
-    One scan decides whether a text needs any of the replacing steps at all.
     ``normal_form=False`` skips NFKC, for input known to be normalized already.
     """
-    normal = nfkc(text) if normal_form else text
-    spaces = _LOOSE_SPACE + r"|\n{3}" if preserve_structure else f"{_LOOSE_SPACE}|\\n"
-    dirty = normal.rlike(rf"{spaces}|[{_CONTROL}]|{_DIGIT}[OlI]{_DIGIT}|^[{SPACE}]|[{SPACE}]\z")
     spaced = normalize_ws if preserve_structure else collapse_ws
-    fixed = strip(strip_control(spaced(fix_ocr(normal))))
-    return F.coalesce(F.when(dirty, fixed).otherwise(normal), F.lit(""))
+
+    def steps(normal: Column) -> Column:
+        fixed = strip(strip_control(spaced(fix_ocr(normal))))
+        return F.coalesce(F.when(needs_cleaning(normal, preserve_structure), fixed).otherwise(normal), F.lit(""))
+
+    return steps(nfkc(text) if normal_form else text)
 
 
 def split_sentences(text: Column) -> Column:

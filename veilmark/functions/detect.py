@@ -7,11 +7,14 @@ so detection is a projection: no shuffle, and empty documents keep their row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
-from .text import ascii_digits, constant, digits_only, jvm_regex, let, lookup, one_of, strip
+from .text import ascii_digits, constant, contains_any, digits_only, jvm_regex, let, lookup, one_of
 
 SPAN_TYPE = "struct<entity_type:string,value:string,start:int,end:int,confidence:double,source:string>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
@@ -21,46 +24,52 @@ _CANDIDATES_TYPE = f"array<{_CANDIDATE_TYPE}>"
 # What a text must contain for a pattern to have any chance. Checked once per
 # text; nearly all prose fails nearly all of these, and skips the real pattern.
 _GATES = {
-    "at": lambda t: F.contains(t, F.lit("@")),
-    "link": lambda t: F.contains(t, F.lit("http")),
-    "digits4": lambda t: t.rlike(r"\p{Nd}{4}"),
-    "pairs": lambda t: t.rlike(r"\p{Nd}[./\-]\p{Nd}"),
-    "account": lambda t: t.rlike(r"(?iu)acc(?:ount|t)|a/c"),
-    "password": lambda t: t.rlike(r"(?iu)passw(?:or)?d|pwd"),
-    "login": lambda t: t.rlike(r"(?iu)user|login"),
-    "capitals": lambda t: t.rlike(r"[A-Z]{4}0"),
+    "at": lambda t, low: F.contains(t, F.lit("@")),
+    "link": lambda t, low: F.contains(t, F.lit("http")),
+    "digits4": lambda t, low: t.rlike(r"\p{Nd}{4}"),
+    "pairs": lambda t, low: t.rlike(r"\p{Nd}[./\-]\p{Nd}"),
+    "account": lambda t, low: contains_any(low, ["account", "acct", "a/c"]),
+    "password": lambda t, low: contains_any(low, ["passw", "pwd"]),
+    "login": lambda t, low: contains_any(low, ["user", "login", "log\u0131n"]),
+    "bank_code": lambda t, low: F.contains(t, F.lit("0")) & t.rlike("[A-Z]{4}0"),
 }
 _GATES_OF = {
     "EMAIL": ["at"], "UPI_ID": ["at"], "URL": ["link"], "IP_ADDRESS": ["pairs"], "DATE": ["pairs"],
     "BANK_ACCOUNT": ["account", "digits4"], "PASSWORD": ["password"], "USERNAME": ["login"],
-    "IFSC_CODE": ["capitals"],
+    "IFSC_CODE": ["bank_code"],
 }
 
 
-def locate(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` as ``array<struct<value, start, end>>``.
+# The first character a match can have: a one-class test that rules out nearly
+# every position before the costlier word-boundary test. Changes no match.
+_FIRST = {
+    "PHONE": r"[+(\d]", "IP_ADDRESS": r"\d", "CREDIT_CARD": "[3-6]", "DATE": r"\d", "AADHAAR": "[2-9]",
+    "PAN": "[A-Z]", "VOTER_ID": "[A-Z]", "DRIVING_LICENSE": "[A-Z]", "PASSPORT": "[A-Z]", "IFSC_CODE": "[A-Z]",
+    "GST_NUMBER": r"\d", "PINCODE": "[1-9]",
+}
+
+
+def span_regex(name: str, pattern: str) -> str:
+    ahead = f"(?={_FIRST[name]})(?:{pattern})" if name in _FIRST else pattern
+    return jvm_regex(ahead)
+
+
+def locate(text: Column, values: Column, regex: Column) -> Column:
+    """Positions of all matches ``values`` of ``regex``: ``array<struct<value, start, end>>``.
 
     Matched values and the gaps between them alternate, so running lengths give
     the offsets without leaving built-in functions.
     """
-    regex = jvm_regex(pattern)
-    empty = F.lit(None).cast("array<struct<value:string,start:int,end:int>>")
-
     def advance(state: Column, step: Column) -> Column:
         start = state["at"] + F.length(step["gap"])
         end = start + F.length(step["value"])
         found = F.struct(step["value"].alias("value"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
 
-    def place(values: Column) -> Column:
-        gaps = F.slice(F.split(text, regex, -1), 1, F.size(values))
-        steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-        begin = F.struct(F.lit(0).alias("at"),
-                         F.array().cast("array<struct<value:string,start:int,end:int>>").alias("found"))
-        return F.aggregate(steps, begin, advance, lambda state: state["found"])
-
-    values = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    return let(values, lambda v: F.when(F.size(v) > 0, place(v)).otherwise(empty))
+    gaps = F.slice(F.split(text, regex, -1), 1, F.size(values))
+    steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    begin = constant({"at": 0, "found": []}).cast("struct<at:int,found:array<struct<value:string,start:int,end:int>>>")
+    return F.aggregate(steps, begin, advance, lambda state: state["found"])
 
 
 def luhn_valid(value: Column) -> Column:
@@ -101,48 +110,69 @@ def pan_confidence(value: Column) -> Column:
     return F.when(value.rlike(r"^[A-Z]{5}[0-9]{4}[A-Z]\z"), F.lit(fixed.BASE_CONFIDENCE["PAN"]))
 
 
-def base_confidence(entity_type: str, value: Column) -> Column:
-    """Confidence of one match by its type's validator; null drops the match."""
-    plain = F.lit(fixed.BASE_CONFIDENCE.get(entity_type, fixed.DEFAULT_CONFIDENCE))
-    if entity_type == "PHONE":
-        return F.when(F.length(digits_only(value)) >= 10, plain)
-    if entity_type == "CREDIT_CARD":
-        return F.when(luhn_valid(value), plain)
-    special = {"IP_ADDRESS": ip_confidence, "PASSWORD": password_confidence, "AADHAAR": aadhaar_confidence,
-               "PAN": pan_confidence}
-    return special[entity_type](value) if entity_type in special else plain
+def phone_confidence(value: Column) -> Column:
+    return F.when(F.length(digits_only(value)) >= 10, F.lit(fixed.BASE_CONFIDENCE["PHONE"]))
 
 
-def _candidates_of(text: Column, rank: int, entity_type: str, pattern: str, gates: Column) -> Column:
-    def candidate(match: Column) -> Column:
-        return F.struct(match["start"].alias("start"), match["end"].alias("end"), F.lit(rank).alias("rank"),
-                        F.lit(entity_type).alias("entity_type"), match["value"].alias("value"),
-                        base_confidence(entity_type, match["value"]).alias("confidence"))
+def card_confidence(value: Column) -> Column:
+    return F.when(luhn_valid(value), F.lit(fixed.BASE_CONFIDENCE["CREDIT_CARD"]))
 
-    open_gate = F.lit(True)
-    for gate in _GATES_OF.get(entity_type, ["digits4"]):
-        open_gate = open_gate & gates[gate]
-    matches = F.when(open_gate, locate(text, pattern))
-    valid = F.filter(F.transform(matches, candidate), lambda c: c["confidence"].isNotNull())
-    return F.coalesce(valid, F.array().cast(_CANDIDATES_TYPE))
 
+_VALIDATORS = {
+    "PHONE": phone_confidence, "IP_ADDRESS": ip_confidence, "CREDIT_CARD": card_confidence,
+    "PASSWORD": password_confidence, "AADHAAR": aadhaar_confidence, "PAN": pan_confidence,
+}
 
-def candidates(text: Column, types: list[str] | None = None) -> Column:
-    """Validated matches of all patterns, before overlaps are suppressed."""
-    wanted = [(rank, name, pattern) for rank, (name, pattern) in enumerate(fixed.PATTERNS)
+
+def base_confidence(entity_type: Column, value: Column, types: list[str] | None = None) -> Column:
+    """Confidence of a match by its type's validator; null drops the match."""
+    plain = {t: c for t, c in fixed.BASE_CONFIDENCE.items() if t not in _VALIDATORS}
+    confidence = F.coalesce(lookup(plain, entity_type), F.lit(fixed.DEFAULT_CONFIDENCE))
+    for name, validator in _VALIDATORS.items():
+        if types is None or name in types:
+            confidence = F.when(entity_type == name, validator(value)).otherwise(confidence)
+    return confidence
+
+
+def raw_matches(text: Column, types: list[str] | None = None) -> Column:
+    """Matches of the wanted patterns, unvalidated, in pattern order:
+    ``array<struct<start, end, rank, entity_type, value>>``."""
+    wanted = [(rank, name, span_regex(name, pattern)) for rank, (name, pattern) in enumerate(fixed.PATTERNS)
               if types is None or name in types]
+    gates_of = {name: _GATES_OF.get(name, ["digits4"]) for _, name, _ in wanted}
+    used = {gate for gates in gates_of.values() for gate in gates}
+    rules = constant([{"rank": rank, "entity_type": name, "regex": regex} for rank, name, regex in wanted])
 
-    def collect(bound: Column) -> Column:
-        return F.flatten(F.array(*[
-            _candidates_of(bound["text"], rank, name, pattern, bound["gates"]) for rank, name, pattern in wanted]))
+    def values_of(b: Column, name: str, regex: str) -> Column:
+        ready = reduce(and_, [b["gates"][gate] for gate in gates_of[name]])
+        return F.when(ready, F.regexp_extract_all(b["text"], F.lit(regex), F.lit(0)))
 
-    used = {g for _, name, _ in wanted for g in _GATES_OF.get(name, ["digits4"])}
+    def of_rule(b: Column, hit: Column) -> Column:
+        rule = hit["rule"]
+        return F.transform(locate(b["text"], hit["values"], rule["regex"]), lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), rule["rank"].alias("rank"),
+            rule["entity_type"].alias("entity_type"), m["value"].alias("value")))
 
-    def with_gates(t: Column) -> Column:
-        gates = F.struct(*[test(t).alias(name) for name, test in _GATES.items() if name in used])
-        return let(F.struct(t.alias("text"), gates.alias("gates")), collect)
+    def collect(b: Column) -> Column:
+        values = F.array(*[values_of(b, name, regex) for _, name, regex in wanted])
+        hits = F.filter(F.zip_with(values, rules, lambda v, r: F.struct(v.alias("values"), r.alias("rule"))),
+                        lambda hit: F.size(hit["values"]) > 0)
+        return F.flatten(F.transform(hits, lambda hit: of_rule(b, hit)))
 
-    return let(text, with_gates)
+    def with_gates(b: Column) -> Column:
+        gates = F.struct(*[test(b["text"], b["low"]).alias(n) for n, test in _GATES.items() if n in used])
+        return let(F.struct(b["text"].alias("text"), gates.alias("gates")), collect)
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), with_gates)
+
+
+def candidates(text: Column, types: list[str] | None = None) -> Column:
+    """Validated matches of the wanted patterns, before overlaps are suppressed."""
+    judged = F.transform(raw_matches(text, types), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), m["rank"].alias("rank"),
+        m["entity_type"].alias("entity_type"), m["value"].alias("value"),
+        base_confidence(m["entity_type"], m["value"], types).alias("confidence")))
+    return F.filter(judged, lambda c: c["confidence"].isNotNull())
 
 
 def overlap_islands(spans: Column, element_type: str) -> Column:

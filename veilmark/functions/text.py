@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +33,26 @@ def jvm_regex(pattern: str) -> str:
     return pattern.replace("(?i)", "(?iu)")
 
 
+_SAVED: dict = {}
+
+
+def saved_column(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column a function builds, per JVM and arguments.
+
+    Columns are unresolved expressions, free to use in any number of queries.
+    Large ones take thousands of calls into the JVM to put together, so the
+    stages build theirs once per process.
+    """
+    @wraps(build)
+    def saved(*args) -> Column:
+        key = (id(SparkContext._gateway), build.__module__, build.__qualname__, args)
+        if key not in _SAVED:
+            _SAVED[key] = build(*args)
+        return _SAVED[key]
+
+    return saved
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times in ``body``.
 
@@ -42,21 +63,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def lookup(table: dict, key: Column) -> Column:
-    """Value of ``key`` in a constant table, null when absent."""
-    entries: list[Column] = []
-    for name, value in table.items():
-        entries += [F.lit(name), constant(value)]
-    return F.element_at(F.create_map(*entries), key)
+def literal_sql(value) -> str:
+    """SQL text of a constant: lists become arrays, dicts structs, tuples of pairs maps."""
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {literal_sql(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(literal_sql, value)) + ")"
+    if isinstance(value, tuple):
+        return "map(" + ", ".join(f"{literal_sql(k)}, {literal_sql(v)}" for k, v in value) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value) + "D" if isinstance(value, float) else str(value)
 
 
 def constant(value) -> Column:
-    """A literal, with lists, tuples and dicts (as structs) taken apart."""
-    if isinstance(value, dict):
-        return F.struct(*[constant(v).alias(k) for k, v in value.items()])
-    if isinstance(value, (list, tuple)):
-        return F.array(*[constant(v) for v in value])
-    return F.lit(value)
+    """A constant array, struct or map, handed to Spark as one expression."""
+    return F.expr(literal_sql(value))
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """Value of ``key`` in a constant table, null when absent."""
+    return F.element_at(constant(tuple(table.items())), key)
 
 
 def one_of(value: Column, words: list[str]) -> Column:
@@ -102,10 +129,7 @@ def exact_round(value: Column, places: int) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    test = F.lit(False)
-    for word in words:
-        test = test | F.contains(text, F.lit(word))
-    return test
+    return F.exists(constant(words), lambda word: F.contains(text, word))
 
 
 def words_of(text: Column) -> Column:

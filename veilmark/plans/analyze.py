@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import anonymize, clean, confidence, context, crypto, detect, fuse, quasi, risk, verify
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
-from ..functions.text import exact_round, let
+from ..functions.text import exact_round, let, saved_column
 
 SCORES_TYPE = "array<struct<entity_type:string,start:int,end:int,pii_score:double>>"
 
@@ -37,11 +37,11 @@ def with_clean_text(df: DataFrame, options: Options = Options()) -> DataFrame:
     return df.withColumn("clean_text", clean.clean_text(F.col("text"), normal_form=options.normal_form))
 
 
-def with_detections(df: DataFrame) -> DataFrame:
-    """Add ``detected``: pattern spans, external spans per source, and the fused spans."""
+@saved_column
+def _detected(outside: str | None) -> Column:
     none = F.array().cast(SPANS_TYPE)
-    outside = F.coalesce(_column_or(df, "annotations", none), none)
-    bound = F.struct(detect.regex_detect(F.col("clean_text")).alias("regex"), outside.alias("outside"))
+    given = none if outside is None else F.coalesce(F.col(outside), none)
+    bound = F.struct(detect.regex_detect(F.col("clean_text")).alias("regex"), given.alias("outside"))
 
     def split_sources(b: Column) -> Column:
         return F.struct(
@@ -55,15 +55,24 @@ def with_detections(df: DataFrame) -> DataFrame:
             F.size(s["spacy"]).alias("spacy_count"),
             fuse.fuse(s["regex"], s["transformer"], s["spacy"]).alias("fused"))
 
-    return df.withColumn("detected", let(bound, lambda b: let(split_sources(b), fused)))
+    return let(bound, lambda b: let(split_sources(b), fused))
 
 
-def with_validation(df: DataFrame) -> DataFrame:
-    """Add ``judged``: recalibrated accepted spans and rejected spans."""
+def with_detections(df: DataFrame) -> DataFrame:
+    """Add ``detected``: span counts per source and the fused spans of all sources."""
+    return df.withColumn("detected", _detected("annotations" if "annotations" in df.columns else None))
+
+
+@saved_column
+def _judged() -> Column:
     validated = context.validate_context(F.col("detected")["fused"], F.col("clean_text"))
-    judged = let(validated, lambda v: F.struct(
+    return let(validated, lambda v: F.struct(
         confidence.recalibrate(context.accepted(v)).alias("accepted"), context.rejected(v).alias("rejected")))
-    return df.withColumn("judged", judged)
+
+
+def with_validation(df: DataFrame) -> DataFrame:
+    """Add ``judged``: recalibrated accepted spans and rejected spans."""
+    return df.withColumn("judged", _judged())
 
 
 def rescore(judged: Column, scores: Column) -> Column:
@@ -92,21 +101,31 @@ def rescore(judged: Column, scores: Column) -> Column:
     return let(bound, lambda b: let(scored(b), lambda spans: split(b, spans)))
 
 
-def with_risk(df: DataFrame) -> DataFrame:
-    """Add ``assessed``: classified spans, document risk and combination risk."""
+@saved_column
+def _rescored() -> Column:
+    return rescore(F.col("judged"), F.col("scores"))
+
+
+@saved_column
+def _assessed() -> Column:
     def assess(b: Column) -> Column:
         types = F.map_keys(b["risk"]["entity_breakdown"])
         return F.struct(b["spans"].alias("spans"), b["risk"].alias("risk"),
                         quasi.analyze_combinations(types).alias("quasi"))
 
     classified = risk.classify_entities(F.col("judged")["accepted"])
-    return df.withColumn("assessed", let(classified, lambda spans: let(
-        F.struct(spans.alias("spans"), risk.classify_document(spans).alias("risk")), assess)))
+    return let(classified, lambda spans: let(
+        F.struct(spans.alias("spans"), risk.classify_document(spans).alias("risk")), assess))
 
 
-def risk_analysis(assessed: Column) -> Column:
-    """Final risk: base risk plus combination risk, banded again."""
-    base, linked = assessed["risk"], assessed["quasi"]
+def with_risk(df: DataFrame) -> DataFrame:
+    """Add ``assessed``: classified spans, document risk and combination risk."""
+    return df.withColumn("assessed", _assessed())
+
+
+@saved_column
+def _risk_analysis() -> Column:
+    base, linked = F.col("assessed")["risk"], F.col("assessed")["quasi"]
     total = quasi.adjusted_score(base["risk_score"], linked["total_correlation_score"])
     return let(total, lambda t: F.struct(
         base["absolute_risk_score"].alias("absolute_risk_score"), exact_round(t, 2).alias("risk_score"),
@@ -147,19 +166,22 @@ def document_type_of(df: DataFrame) -> Column:
     return F.coalesce(_column_or(df, "document_type", F.lit("txt")), F.lit("txt"))
 
 
-def assemble_result(df: DataFrame, options: Options = Options()) -> DataFrame:
-    """The final nested row per document."""
-    anonymized = anonymize.anonymize_entities(F.col("assessed")["spans"])
-
+@saved_column
+def _finished() -> Column:
     def finish(b: Column) -> Column:
         return F.struct(
             entities_report(b["spans"], b["rejected"]).alias("entities"),
             anonymize.apply_to_text(b["text"], b["spans"]).alias("anonymized_text"),
             anonymize.token_map(b["spans"]).alias("token_map"))
 
-    bound = let(F.struct(anonymized.alias("spans"), F.col("judged")["rejected"].alias("rejected"),
-                         F.col("clean_text").alias("text")), finish)
-    ready = df.withColumn("finished", bound).withColumn("risk_analysis", risk_analysis(F.col("assessed")))
+    anonymized = anonymize.anonymize_entities(F.col("assessed")["spans"])
+    return let(F.struct(anonymized.alias("spans"), F.col("judged")["rejected"].alias("rejected"),
+                        F.col("clean_text").alias("text")), finish)
+
+
+def assemble_result(df: DataFrame, options: Options = Options()) -> DataFrame:
+    """The final nested row per document."""
+    ready = df.withColumn("finished", _finished()).withColumn("risk_analysis", _risk_analysis())
     entities = F.col("finished")["entities"]
     if not options.keep_original:
         entities = F.transform(entities, lambda e: e.dropFields("original_value"))
@@ -189,7 +211,7 @@ def analyze_documents(df: DataFrame, options: Options = Options()) -> DataFrame:
     """
     df = with_validation(with_detections(with_clean_text(df, options)))
     if "scores" in df.columns:
-        df = df.withColumn("judged", rescore(F.col("judged"), F.col("scores")))
+        df = df.withColumn("judged", _rescored())
     return assemble_result(with_risk(df), options)
 
 
