@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import anonymize, clean, confidence, context, crypto, detect, fuse, quasi, risk, verify
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
 from ..functions.text import exact_round, let, saved_column
+from ..sources.files import list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs
+from ..sources.files import route_by_type, size_gate
+from ..sources.parts import rows_to_text
 
 SCORES_TYPE = "array<struct<entity_type:string,start:int,end:int,pii_score:double>>"
 
@@ -218,3 +221,24 @@ def analyze_documents(df: DataFrame, options: Options = Options()) -> DataFrame:
 def sanitize(results: DataFrame) -> DataFrame:
     """Results without the token map (the encryption key is never a column)."""
     return results.drop("token_map", "encryption_key")
+
+
+def analyze_table(df: DataFrame, key: str, options: Options = Options()) -> DataFrame:
+    """Scan any relational table: every row becomes one document of ``col: val`` text."""
+    text = rows_to_text(df, [c for c in df.columns if c != key])
+    return analyze_documents(df.select(F.col(key).alias("doc_id"), text.alias("text"),
+                                       F.lit("csv").alias("document_type")), options)
+
+
+def analyze_files(spark: SparkSession, path: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """Analyze the text and CSV files under ``path``; returns ``(results, refused files)``.
+
+    Types whose decoding is left to other tools come back as refused; their
+    pages or paragraphs enter through :func:`veilmark.sources.parts.assemble_document`.
+    """
+    docs = reject_blank_docs(read_text_docs(spark, path).unionByName(read_csv_docs(spark, path)))
+    routed = size_gate(route_by_type(list_files(spark, path)))
+    undecoded = ~F.col("document_type").isin("txt", "csv")
+    refused = quarantined_files(routed.withColumn("refusal", F.coalesce(
+        F.col("refusal"), F.when(undecoded, F.lit("text must be supplied as parts")))))
+    return analyze_documents(docs, options), refused
