@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import SPACE, SPACE_NOT_NEWLINE, inert_ranges, slice_text, strip
 
@@ -15,7 +16,7 @@ _CONTROL = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f"
 _LOOSE_SPACE = rf"[{SPACE_NOT_NEWLINE.replace(' ', '', 1)}][{SPACE_NOT_NEWLINE}]*| [{SPACE_NOT_NEWLINE}]+"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _to_nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()],
                     type=pa.string())
