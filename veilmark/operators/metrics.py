@@ -62,11 +62,14 @@ def audit_feed(results: DataFrame, failures: DataFrame | None = None) -> DataFra
     """One status line per document; refused files ``(path, refusal)`` become error lines."""
     level = F.col("risk_analysis.risk_level")
     status = F.when(level == "CRITICAL", F.lit("err")).when(level == "HIGH", F.lit("warn")).otherwise(F.lit("ok"))
+    took = F.lit("")
+    if "processing_time_ms" in results.columns:
+        took = F.concat(F.lit(" · "), _plain_number(F.col("processing_time_ms")), F.lit("ms"))
     done = results.select(
         F.concat("document_name", F.lit(" processed — "), F.size("entities").cast("string"),
                  F.lit(" entities, risk "), level).alias("message"),
         F.concat(F.lit("doc_id: "), F.col("document_id").cast("string"), F.lit(" · score: "),
-                 _plain_number(F.col("risk_analysis.risk_score")), F.lit(" · encrypted: "),
+                 _plain_number(F.col("risk_analysis.risk_score")), took, F.lit(" · encrypted: "),
                  F.when(F.col("encrypted"), F.lit("yes")).otherwise(F.lit("no"))).alias("detail"),
         status.alias("status"))
     if failures is None:
