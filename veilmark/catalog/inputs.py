@@ -49,12 +49,14 @@ TEXTS = {
 }
 
 # Findings of outside models on the customer texts: (label, text, start, end, score, source)
-_NAME = ["c_name", "6", "6 + length(c_name)"]
+_NAME = ["CASE c_custkey % 3 WHEN 0 THEN 'ABC' WHEN 1 THEN c_name ELSE concat(' Ann ', c_name) END", "cast(6 AS bigint)",
+         "6 + length(c_name)"]
 ANNOTATIONS = [
     ["CASE c_custkey % 5 WHEN 0 THEN 'ORG' WHEN 1 THEN 'MONEY' WHEN 2 THEN 'PER' ELSE 'PERSON' END", *_NAME,
      "(40 + c_custkey % 60) / 1e2", "'transformer'"],
     ["CASE c_custkey % 4 WHEN 0 THEN 'CARDINAL' WHEN 1 THEN 'DATE' ELSE 'PERSON' END", *_NAME, "0e0", "'spacy'"],
-    ["'TIME'", "substr(c_name, 1, 12)", "6", "18", "(50 + c_custkey % 50) / 1e2", "'transformer'"],
+    ["CASE c_custkey % 7 WHEN 0 THEN 'TIME' ELSE 'MISC' END", "substr(c_name, 1, 12)", "cast(6 AS bigint)",
+     "cast(18 AS bigint)", "(50 + c_custkey % 50) / 1e2", "'transformer'"],
 ]
 ANNOTATION_COLUMNS = ["label", "text", "start", "end", "score", "source"]
 

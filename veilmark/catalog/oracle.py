@@ -203,7 +203,7 @@ WEIGHT_OF = cases(
               "* 100e0").replace("0.5e0 * 100e0", "(0.3e0 * 0.5e0 + 0.3e0 * 0.5e0 + 0.2e0 * 0.5e0 + 0.2e0 * 0.5e0) * 100e0")
 
 RULES = " UNION ALL ".join(
-    f"SELECT {r} AS rule, {strings(sorted(types))} AS combo, '{level}' AS risk_level, {number(score)} AS score, "
+    f"SELECT {r}::BIGINT AS rule, {strings(sorted(types))} AS combo, '{level}' AS risk_level, {number(score)} AS score, "
     f"{text(description)} AS description" for r, (types, level, score, description) in enumerate(fixed.COMBINATIONS))
 PAIRS = " UNION ALL ".join(f"SELECT {p} AS pair, '{a}' AS a, '{b}' AS b, {number(boost)} AS boost"
                            for p, (a, b, boost) in enumerate(fixed.PAIR_BOOSTS))

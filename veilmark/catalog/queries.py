@@ -285,9 +285,14 @@ def d22(spark, sf):
 
 # --- fusion --------------------------------------------------------------------------
 
+def _from(source: str) -> Callable[[Column], Column]:
+    return lambda d: d["source"] == source
+
+
 @saved_column
 def _united() -> Column:
-    return fuse.union_detections(_kept(), C("annotations"))
+    by_source = [F.filter("annotations", _from(name)) for name in ("transformer", "spacy")]
+    return fuse.union_detections(_kept(), *by_source)
 
 
 @saved_column
@@ -484,8 +489,8 @@ def v19(spark, sf):
     return _validated_rows(spark, sf).select(*_ID, joined("context_notes").alias("notes"))
 
 
-@query("v20_split_accepted_rejected", chained("""SELECT doc_id, count_if(context_valid) AS accepted,
-    count_if(NOT context_valid) AS rejected FROM validated GROUP BY doc_id"""))
+@query("v20_split_accepted_rejected", chained("""SELECT doc_id, count(*) FILTER (context_valid) AS accepted,
+    count(*) FILTER (NOT context_valid) AS rejected FROM validated GROUP BY doc_id"""))
 def v20(spark, sf):
     both = F.struct(F.size(context.accepted(C("v"))).alias("accepted"), F.size(context.rejected(C("v"))).alias("rejected"))
     docs = inputs.detected(spark, sf).select("doc_id", _validated().alias("v"))
@@ -571,10 +576,12 @@ def n3(spark, sf):
     FROM rescored"""))
 def n4(spark, sf):
     docs = ann.attach_scores(inputs.judged(spark, sf), inputs.scores(spark, sf))
-    both = F.concat(*[F.transform(C("r")[side], lambda d, side=side: F.struct(
-        d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["confidence"].alias("confidence"),
-        d["context_valid"].alias("was_valid"), F.lit(side == "accepted").alias("kept")))
-        for side in ("accepted", "rejected")])
+    def listed(side: str) -> Column:
+        return F.transform(C("r")[side], lambda d: F.struct(
+            d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["confidence"].alias("confidence"),
+            d["context_valid"].alias("was_valid"), F.lit(side == "accepted").alias("kept")))
+
+    both = F.concat(listed("accepted"), listed("rejected"))
     moved = docs.select("doc_id", analyze._rescored().alias("r")).select("doc_id", F.explode(both).alias("d"))
     return moved.select("doc_id", "d.*").filter("was_valid").drop("was_valid")
 
@@ -877,9 +884,9 @@ def e3(spark, sf):
 
 @query("o1_detection_stats", chained("""SELECT doc_id, coalesce(r, 0) AS regex, coalesce(x, 0) AS transformer,
     coalesce(n, 0) AS spacy, coalesce(f, 0) AS fused, coalesce(a, 0) AS after_validation FROM docs
-    LEFT JOIN (SELECT doc_id, count_if(src = 0) AS r, count_if(src = 1) AS x, count_if(src = 2) AS n FROM everything
+    LEFT JOIN (SELECT doc_id, count(*) FILTER (src = 0) AS r, count(*) FILTER (src = 1) AS x, count(*) FILTER (src = 2) AS n FROM everything
       GROUP BY doc_id) USING (doc_id)
-    LEFT JOIN (SELECT doc_id, count(*) AS f, count_if(context_valid) AS a FROM validated GROUP BY doc_id) USING (doc_id)"""))
+    LEFT JOIN (SELECT doc_id, count(*) AS f, count(*) FILTER (context_valid) AS a FROM validated GROUP BY doc_id) USING (doc_id)"""))
 def o1(spark, sf):
     stats = analyze.detection_stats(C("detected"), C("judged")["accepted"])
     counted = inputs.judged(spark, sf).select("doc_id", stats.alias("s"))
@@ -915,7 +922,7 @@ def o3(spark, sf):
         F.size("entities").alias("reported"))
 
 
-@query("o4_sanitize", chained("SELECT doc_id AS document_id, final_score AS risk_score, 0 AS secrets FROM adjusted"))
+@query("o4_sanitize", chained("SELECT doc_id AS document_id, final_score AS risk_score, 0::BIGINT AS secrets FROM adjusted"))
 def o4(spark, sf):
     shown = analyze.sanitize(inputs.results(spark, sf))
     secrets = len({"token_map", "encryption_key"} & set(shown.columns))
@@ -959,11 +966,11 @@ def o5(spark, sf):
     return log.select(*_LOG_COLUMNS, _shown_time().alias("shown"), C("dt").cast("string").alias("dt"))
 
 
-@query("s11_read_audit", chained(f"SELECT document_id, risk_level, {_SHOWN} AS shown FROM {_LOG} WHERE {_SHOWN}[1:10] >= '2024-02-01'"))
+@query("s11_read_audit", chained(f"SELECT document_id, risk_level, {_SHOWN} AS shown FROM {_LOG} WHERE {_SHOWN}[1:10] >= '2024-01-10'"))
 def s11(spark, sf):
     folder = _folder(spark) + "/audit"
     audit.write_audit(audit.to_audit_log(_dated_results(spark, sf)), folder, "parquet")
-    log = audit.read_audit(spark, folder, "parquet").filter(C("dt") >= F.lit("2024-02-01").cast("date"))
+    log = audit.read_audit(spark, folder, "parquet").filter(C("dt") >= F.lit("2024-01-10").cast("date"))
     return log.select("document_id", "risk_level", _shown_time().alias("shown"))
 
 
@@ -1019,7 +1026,7 @@ def m3(spark, sf):
 
 
 @query("m4_daily_trend", chained(f"""SELECT {_SHOWN}[1:10] AS day, count(*) AS documents, cast(sum(entity_count) AS BIGINT)
-    AS pii_detected, count_if(risk_level IN ('HIGH', 'CRITICAL')) AS high_risk FROM {_LOG} GROUP BY 1"""))
+    AS pii_detected, count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL')) AS high_risk FROM {_LOG} GROUP BY 1"""))
 def m4(spark, sf):
     return metrics.daily_trend(audit.to_audit_log(_dated_results(spark, sf))).withColumn("day", C("day").cast("string"))
 
@@ -1135,7 +1142,7 @@ def p4(spark, sf):
 
 
 @query("p5_stream_audit_metrics", chained(f"""SELECT {_SHOWN}[1:10] AS day, count(*) AS documents, cast(sum(entity_count) AS BIGINT)
-    AS pii_detected, count_if(risk_level IN ('HIGH', 'CRITICAL')) AS high_risk, round(avg(risk_score), 6) AS mean_risk
+    AS pii_detected, count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL')) AS high_risk, round(avg(risk_score), 6) AS mean_risk
     FROM {_LOG} GROUP BY 1"""))
 def p5(spark, sf):
     log = audit.to_audit_log(_dated_results(spark, sf)).select("timestamp", "entity_count", "risk_score", "risk_level")

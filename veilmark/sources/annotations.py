@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.detect import locate
 from ..functions.text import SPACE, constant, exact_round, let, lookup, strip
 
 COLUMNS = ["doc_id", "entity_type", "value", "start", "end", "confidence", "source"]
@@ -68,36 +67,41 @@ def chunk_text(text: Column, max_chars: int = fixed.CHUNK_CHARS) -> Column:
     short text is one chunk as it is. ``start`` is the true offset of the
     chunk's first word.
     """
-    overlap = fixed.CHUNK_OVERLAP_WORDS
-    word_type = "struct<value:string,start:int,end:int>"
-    state_type = f"struct<done:array<array<{word_type}>>,words:array<{word_type}>,length:int>"
+    overlap, word_regex = fixed.CHUNK_OVERLAP_WORDS, F.lit(f"[^{SPACE}]+")
+    word_type = "struct<value:string,start:int>"
+    state_type = f"struct<done:array<array<{word_type}>>,words:array<{word_type}>,length:int,at:int>"
 
     def width(words: Column) -> Column:
         return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w["value"]) + 1)
 
-    def add(state: Column, word: Column) -> Column:
-        def push(s: Column) -> Column:
-            return F.struct(s["done"].alias("done"), F.concat(s["words"], F.array(word)).alias("words"),
-                            (s["length"] + F.length(word["value"]) + 1).alias("length"))
+    def add(state: Column, step: Column) -> Column:
+        start = state["at"] + F.length(step["gap"])
+        word = F.struct(step["value"].alias("value"), start.alias("start"))
+
+        def push(done: Column, words: Column, length: Column) -> Column:
+            return F.struct(done.alias("done"), F.concat(words, F.array(word)).alias("words"),
+                            (length + F.length(step["value"]) + 1).alias("length"),
+                            (start + F.length(step["value"])).alias("at"))
 
         def cut(tail: Column) -> Column:
-            return push(F.struct(F.concat(state["done"], F.array(state["words"])).alias("done"),
-                                 tail.alias("words"), width(tail).alias("length")))
+            return push(F.concat(state["done"], F.array(state["words"])), tail, width(tail))
 
         tail = F.when(F.size(state["words"]) > overlap, F.slice(state["words"], -overlap, overlap)).otherwise(
             state["words"])
-        full = state["length"] + F.length(word["value"]) > max_chars
-        return F.when(full, let(tail, cut)).otherwise(push(state))
+        full = state["length"] + F.length(step["value"]) > max_chars
+        return F.when(full, let(tail, cut)).otherwise(push(state["done"], state["words"], state["length"]))
 
     def chunk(words: Column) -> Column:
         return F.struct(F.array_join(F.transform(words, lambda w: w["value"]), " ").alias("chunk"),
                         F.coalesce(F.get(words, F.lit(0))["start"], F.lit(0)).alias("start"))
 
-    def pack(words: Column) -> Column:
-        begin = constant({"done": [], "words": [], "length": 0}).cast(state_type)
-        return F.transform(F.aggregate(words, begin, add, lambda s: F.concat(s["done"], F.array(s["words"]))), chunk)
+    def pack(values: Column) -> Column:
+        # Words and the gaps between them alternate; running lengths give the offsets.
+        gaps = F.slice(F.split(text, word_regex, -1), 1, F.size(values))
+        steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+        begin = constant({"done": [], "words": [], "length": 0, "at": 0}).cast(state_type)
+        return F.transform(F.aggregate(steps, begin, add, lambda s: F.concat(s["done"], F.array(s["words"]))), chunk)
 
-    word = F.lit(f"[^{SPACE}]+")
-    words = let(F.regexp_extract_all(text, word, F.lit(0)), lambda values: locate(text, values, word))
     whole = F.array(F.struct(text.alias("chunk"), F.lit(0).alias("start")))
-    return F.when(F.length(text) <= max_chars, whole).otherwise(let(words, pack))
+    return F.when(F.length(text) <= max_chars, whole).otherwise(
+        let(F.regexp_extract_all(text, word_regex, F.lit(0)), pack))
