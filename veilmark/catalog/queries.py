@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import anonymize, clean, context, crypto, detect, fuse, quasi, risk, verify
 from ..functions import confidence as conf
 from ..functions import fixed_values as fixed
-from ..functions.text import saved_column
+from ..functions.text import exploded, saved_column, with_once
 from ..operators import metrics, spans, tables, vault
 from ..plans import analyze
 from ..sources import annotations as ann
@@ -246,7 +246,7 @@ def _detector(number: int, name: str) -> None:
     @query(f"d{number}_{name.lower()}", chained(
         f"SELECT doc_id, value, s AS \"start\", e AS \"end\", confidence FROM cand WHERE entity_type = '{name}'"))
     def run(spark, sf):
-        found = inputs.cleaned(spark, sf).select("doc_id", F.explode(_of_type(name)).alias("d"))
+        found = exploded(inputs.cleaned(spark, sf), _of_type(name), "doc_id", element="d")
         return found.select("doc_id", "d.value", "d.start", "d.end", "d.confidence")
 
 
@@ -262,7 +262,7 @@ def _kept() -> Column:
 @query("d19_suppress_overlaps", chained(
     "SELECT doc_id, ordinal, entity_type, value, s AS \"start\", e AS \"end\", confidence FROM kept"))
 def d19(spark, sf):
-    found = inputs.cleaned(spark, sf).select("doc_id", F.posexplode(_kept()).alias("ordinal", "d"))
+    found = exploded(inputs.cleaned(spark, sf), _kept(), "doc_id", element="d")
     return found.select("doc_id", "ordinal", "d.entity_type", "d.value", "d.start", "d.end", "d.confidence")
 
 
@@ -279,7 +279,7 @@ def d21(spark, sf):
 @query("d22_chunk_text")
 def d22(spark, sf):
     docs = inputs.table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(ann.chunk_text(C("text"))).alias("ordinal", "c")).select(
+    return exploded(docs, ann.chunk_text(C("text")), "doc_id", element="c").select(
         "doc_id", "ordinal", "c.start", "c.chunk")
 
 
@@ -359,7 +359,7 @@ def f6(spark, sf):
 
 
 def _fused_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.detected(spark, sf).select("doc_id", F.posexplode(C("detected")["fused"]).alias("ordinal", "d"))
+    rows = exploded(inputs.detected(spark, sf), C("detected")["fused"], "doc_id", element="d")
     return rows.select("doc_id", "ordinal", "d.*")
 
 
@@ -466,7 +466,7 @@ def _validated() -> Column:
 
 
 def _validated_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.detected(spark, sf).select("doc_id", F.posexplode(_validated()).alias("ordinal", "d"))
+    rows = exploded(inputs.detected(spark, sf), _validated(), "doc_id", element="d")
     return rows.select("doc_id", "ordinal", "d.*")
 
 
@@ -489,12 +489,13 @@ def v19(spark, sf):
     return _validated_rows(spark, sf).select(*_ID, joined("context_notes").alias("notes"))
 
 
-@query("v20_split_accepted_rejected", chained("""SELECT doc_id, count(*) FILTER (context_valid) AS accepted,
-    count(*) FILTER (NOT context_valid) AS rejected FROM validated GROUP BY doc_id"""))
+@query("v20_split_accepted_rejected", chained("""SELECT doc_id, coalesce(a, 0) AS accepted, coalesce(r, 0) AS rejected
+    FROM docs LEFT JOIN (SELECT doc_id, count(*) FILTER (context_valid) AS a, count(*) FILTER (NOT context_valid) AS r
+      FROM validated GROUP BY doc_id) USING (doc_id)"""))
 def v20(spark, sf):
-    both = F.struct(F.size(context.accepted(C("v"))).alias("accepted"), F.size(context.rejected(C("v"))).alias("rejected"))
-    docs = inputs.detected(spark, sf).select("doc_id", _validated().alias("v"))
-    return docs.select("doc_id", both.alias("b")).select("doc_id", "b.*").filter(C("accepted") + C("rejected") > 0)
+    docs = with_once(inputs.detected(spark, sf), "v", _validated())
+    return docs.select("doc_id", F.size(context.accepted(C("v"))).alias("accepted"),
+                       F.size(context.rejected(C("v"))).alias("rejected"))
 
 
 @query("v21_validate_context", chained(_ID_SQL + f""", value, s AS "start", e AS "end", confidence, context_valid,
@@ -511,7 +512,7 @@ def _accepted_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recalibrated_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.judged(spark, sf).select("doc_id", F.posexplode(C("judged")["accepted"]).alias("ordinal", "d"))
+    rows = exploded(inputs.judged(spark, sf), C("judged")["accepted"], "doc_id", element="d")
     return rows.select("doc_id", "ordinal", "d.*")
 
 
@@ -552,7 +553,7 @@ def n1(spark, sf):
     cut = F.transform(C("detected")["fused"], lambda d: F.struct(
         d["entity_type"].alias("entity_type"), d["start"].alias("start"),
         verify.sentence_of(C("clean_text"), d["start"], d["end"]).alias("sentence")))
-    return inputs.detected(spark, sf).select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*")
+    return exploded(inputs.detected(spark, sf), cut, "doc_id", element="c").select("doc_id", "c.*")
 
 
 @query("n2_needs_verification", chained(
@@ -582,14 +583,15 @@ def n4(spark, sf):
             d["context_valid"].alias("was_valid"), F.lit(side == "accepted").alias("kept")))
 
     both = F.concat(listed("accepted"), listed("rejected"))
-    moved = docs.select("doc_id", analyze._rescored().alias("r")).select("doc_id", F.explode(both).alias("d"))
+    scored = with_once(docs.withColumnRenamed("judged", "unscored"), "r", analyze._rescored())
+    moved = exploded(scored, both, "doc_id")
     return moved.select("doc_id", "d.*").filter("was_valid").drop("was_valid")
 
 
 # --- risk ----------------------------------------------------------------------------------
 
 def _classified_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.assessed(spark, sf).select("doc_id", F.posexplode(C("assessed")["spans"]).alias("ordinal", "d"))
+    rows = exploded(inputs.assessed(spark, sf), C("assessed")["spans"], "doc_id", element="d")
     return rows.select("doc_id", "ordinal", "d.*")
 
 
@@ -639,7 +641,8 @@ def r6(spark, sf):
 
 @query("r7_entity_breakdown", chained("SELECT doc_id, entity_type, type_count AS entities FROM type_counts"))
 def r7(spark, sf):
-    return _document_rows(spark, sf).select("doc_id", F.explode("entity_breakdown").alias("entity_type", "entities"))
+    return _document_rows(spark, sf).select("doc_id", F.explode_outer("entity_breakdown").alias(
+        "entity_type", "entities")).filter("entity_type IS NOT NULL")
 
 
 @query("r8_high_risk_entities", chained(f"SELECT doc_id, {in_sql('serious')} AS types FROM doc_risk"))
@@ -672,7 +675,7 @@ def r10(spark, sf):
 @query("q1_match_rules", chained("SELECT doc_id, array_to_string(combo, '+') AS combination, risk_level, score FROM fired"))
 def q1(spark, sf):
     types = F.map_keys(C("assessed")["risk"]["entity_breakdown"])
-    fired = inputs.assessed(spark, sf).select("doc_id", F.explode(quasi.match_rules(types)).alias("r"))
+    fired = exploded(inputs.assessed(spark, sf), quasi.match_rules(types), "doc_id", element="r")
     return fired.select("doc_id", F.array_join("r.combination", "+").alias("combination"), "r.risk_level",
                         C("r.correlation_score").alias("score"))
 
@@ -781,7 +784,7 @@ _FIRST = (f"SELECT value, first(entity_type ORDER BY doc_id, ordinal, entity_typ
 
 
 def _vault_spans(spark: SparkSession, sf: str) -> DataFrame:
-    found = inputs.cleaned(spark, sf).select("doc_id", F.posexplode(_kept()).alias("ordinal", "d")).select(
+    found = exploded(inputs.cleaned(spark, sf), _kept(), "doc_id", element="d").select(
         "doc_id", "ordinal", "d.value", "d.entity_type")
     retyped = F.when((C("entity_type") == "PHONE") & F.contains("value", F.lit("7")), F.lit("UPI_ID")).otherwise(
         C("entity_type"))
@@ -846,7 +849,7 @@ def a21(spark, sf):
 
 
 def _finished(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.assessed(spark, sf).select("doc_id", analyze._finished().alias("f")).select("doc_id", "f.*")
+    return with_once(inputs.assessed(spark, sf), "f", analyze._finished()).select("doc_id", "f.*")
 
 
 @query("a22_apply_to_text", chained("SELECT doc_id, anonymized_text FROM spliced"))
@@ -900,7 +903,7 @@ _ENTITY_COLUMNS = f"""doc_id, place AS ordinal, entity_type, value AS original_v
 
 @query("o2_entities_report", chained(f"SELECT {_ENTITY_COLUMNS} FROM entities"))
 def o2(spark, sf):
-    rows = _finished(spark, sf).select("doc_id", F.posexplode("entities").alias("ordinal", "e"))
+    rows = exploded(_finished(spark, sf), "entities", "doc_id", element="e")
     return rows.select(
         "doc_id", "ordinal", "e.entity_type", "e.original_value", "e.anonymized_value", "e.strategy", "e.confidence",
         "e.sensitivity_level", F.round("e.sensitivity_weight", 9).alias("weight"), "e.effective_score", "e.source",
@@ -1016,7 +1019,7 @@ def m2(spark, sf):
 
 
 def _reported(spark: SparkSession, sf: str) -> DataFrame:
-    return _finished(spark, sf).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+    return exploded(_finished(spark, sf), "entities", "doc_id", element="e").select("doc_id", "e.*")
 
 
 @query("m3_entity_breakdown_all", chained("SELECT entity_type, n AS count, n / max(n) OVER () * 100e0 AS share FROM ("

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache, wraps
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace, letters and digits of a Unicode-aware regex engine, spelled out so
@@ -63,6 +63,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row, whatever uses it.
+
+    The optimizer copies a projected expression into filters it pushes down and
+    into later projections. A generator is a boundary it does not cross.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def exploded(df: DataFrame, elements: Column | str, *keep: str, position: str = "ordinal",
+             element: str = "d") -> DataFrame:
+    """``posexplode`` that does not filter on (and so recompute) the array first."""
+    rows = df.select(*keep, F.posexplode_outer(elements).alias(position, element))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def literal_sql(value) -> str:
     """SQL text of a constant: lists become arrays, dicts structs, tuples of pairs maps."""
     if isinstance(value, dict):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
+from ..functions.text import exploded
 
 
 def serious(level: Column) -> Column:
@@ -41,7 +42,7 @@ def daily_trend(log: DataFrame) -> DataFrame:
 
 def entity_explorer(results: DataFrame) -> DataFrame:
     """Every reported entity with its confidence in percent and colour band."""
-    rows = results.select("document_id", F.posexplode("entities").alias("ordinal", "e"))
+    rows = exploded(results, "entities", "document_id", element="e")
     percent = F.floor(F.col("e.confidence") * 100.0 + 0.5)
     colour = F.when(percent > 85, F.lit("green")).when(percent > 60, F.lit("yellow")).otherwise(F.lit("red"))
     return rows.select("document_id", "ordinal", "e.entity_type", "e.sensitivity_level",
@@ -50,7 +51,7 @@ def entity_explorer(results: DataFrame) -> DataFrame:
 
 def transformation_history(results: DataFrame) -> DataFrame:
     """Original and replacement of every entity; needs results kept with original values."""
-    rows = results.select("document_id", F.posexplode("entities").alias("ordinal", "e"))
+    rows = exploded(results, "entities", "document_id", element="e")
     return rows.select("document_id", "ordinal", "e.original_value", "e.anonymized_value", "e.strategy")
 
 

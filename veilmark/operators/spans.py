@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import context, fuse, verify
 from ..functions import fixed_values as fixed
-from ..functions.text import lookup
+from ..functions.text import exploded, lookup
 
 
 def explode_spans(df: DataFrame, spans: str, *keep: str) -> DataFrame:
     """One row per element of the array column ``spans`` with its ``ordinal``."""
-    return df.select("doc_id", *keep, F.posexplode(F.col(spans)).alias("ordinal", "span")).select(
-        "doc_id", *keep, "ordinal", "span.*")
+    return exploded(df, spans, "doc_id", *keep).select("doc_id", *keep, "ordinal", "d.*")
 
 
 def with_surroundings(df: DataFrame) -> DataFrame:
@@ -26,8 +25,8 @@ def with_surroundings(df: DataFrame) -> DataFrame:
         d.alias("d"), context.context_window(F.col("clean_text"), d["start"], d["end"]).alias("window"),
         context.label_prefix(F.col("clean_text"), d["start"]).alias("prefix"),
         context.following_text(F.col("clean_text"), d["end"]).alias("following")))
-    rows = df.select("doc_id", context.has_structured(F.col("detected")["fused"]).alias("structured"),
-                     F.posexplode(cut).alias("ordinal", "c"))
+    flagged = df.select("*", context.has_structured(F.col("detected")["fused"]).alias("structured"))
+    rows = exploded(flagged, cut, "doc_id", "structured", element="c")
     before = F.right(F.col("c.prefix"), F.lit(fixed.VERSION_PREFIX_CHARS))
     return rows.select("doc_id", "structured", "ordinal", "c.d.*", "c.window", "c.prefix", "c.following",
                        before.alias("before"))
@@ -39,7 +38,7 @@ def verification_requests(df: DataFrame) -> DataFrame:
         d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["end"].alias("end"),
         d["confidence"].alias("confidence"),
         verify.sentence_of(F.col("clean_text"), d["start"], d["end"]).alias("sentence")))
-    rows = df.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*")
+    rows = exploded(df, cut, "doc_id", element="c").select("doc_id", "c.*")
     wanted = rows.filter(verify.needs_verification(F.col("entity_type"), F.col("confidence"), F.col("sentence")))
     return wanted.select(
         "doc_id", "entity_type", "start", "end", "confidence", "sentence",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import anonymize, clean, confidence, context, crypto, detect, fuse, quasi, risk, verify
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
-from ..functions.text import exact_round, let, saved_column
+from ..functions.text import exact_round, let, saved_column, with_once
 from ..sources.files import list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs
 from ..sources.files import route_by_type, size_gate
 from ..sources.parts import rows_to_text
@@ -63,7 +63,7 @@ def _detected(outside: str | None) -> Column:
 
 def with_detections(df: DataFrame) -> DataFrame:
     """Add ``detected``: span counts per source and the fused spans of all sources."""
-    return df.withColumn("detected", _detected("annotations" if "annotations" in df.columns else None))
+    return with_once(df, "detected", _detected("annotations" if "annotations" in df.columns else None))
 
 
 @saved_column
@@ -75,7 +75,7 @@ def _judged() -> Column:
 
 def with_validation(df: DataFrame) -> DataFrame:
     """Add ``judged``: recalibrated accepted spans and rejected spans."""
-    return df.withColumn("judged", _judged())
+    return with_once(df, "judged", _judged())
 
 
 def rescore(judged: Column, scores: Column) -> Column:
@@ -106,7 +106,7 @@ def rescore(judged: Column, scores: Column) -> Column:
 
 @saved_column
 def _rescored() -> Column:
-    return rescore(F.col("judged"), F.col("scores"))
+    return rescore(F.col("unscored"), F.col("scores"))
 
 
 @saved_column
@@ -123,7 +123,7 @@ def _assessed() -> Column:
 
 def with_risk(df: DataFrame) -> DataFrame:
     """Add ``assessed``: classified spans, document risk and combination risk."""
-    return df.withColumn("assessed", _assessed())
+    return with_once(df, "assessed", _assessed())
 
 
 @saved_column
@@ -214,7 +214,7 @@ def analyze_documents(df: DataFrame, options: Options = Options()) -> DataFrame:
     """
     df = with_validation(with_detections(with_clean_text(df, options)))
     if "scores" in df.columns:
-        df = df.withColumn("judged", _rescored())
+        df = with_once(df.withColumnRenamed("judged", "unscored"), "judged", _rescored())
     return assemble_result(with_risk(df), options)
 
 
