@@ -37,8 +37,12 @@ def test_cleaning_matches_python(spark):
         return "".join(c for c in text if c in "\t\n\r" or not (c < " " or c == "\x7f")).strip()
 
     assert run(spark, texts, clean.clean_text(F.col("text"))) == [plain(t) for t in texts]
-    flat = run(spark, texts, clean.clean_text(F.col("text"), preserve_structure=False))
-    assert all("\n" not in t and "  " not in re.sub("[^ ]", "x", t) or True for t in flat)
+
+
+def test_flat_cleaning_matches_python(spark):
+    texts = random_texts(1000, [c for c in ODD if c not in "\x00\x07\x7f"] + list("ab.") * 5, 2)
+    plain = [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip() for t in texts]
+    assert run(spark, texts, clean.clean_text(F.col("text"), preserve_structure=False)) == plain
 
 
 def test_nfkc_leaves_no_character_behind(spark):
@@ -65,9 +69,7 @@ def python_spans(text):
             if name == "AADHAAR" and (len(digits) != 12 or len(set(digits)) < 3):
                 continue
             if name == "CREDIT_CARD":
-                doubled = "".join(str(int(d) * (1 + i % 2)) for i, d in enumerate(reversed(digits)))
                 total = sum(int(d) * (1 + i % 2) - 9 * (i % 2 and int(d) > 4) for i, d in enumerate(reversed(digits)))
-                assert doubled and total >= 0
                 if total % 10:
                     continue
             if name == "IP_ADDRESS":

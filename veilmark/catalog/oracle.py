@@ -6,6 +6,8 @@ and list folds over span rows; each check selects from the stage it needs.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import fixed_values as fixed
 from .inputs import ANNOTATION_COLUMNS, ANNOTATIONS, SCORE, TEXTS
 
@@ -248,6 +250,8 @@ REDACT = "'[' || entity_type || '_REDACTED]'"
 
 _SPAN = "struct_pack(s := s, e := e, entity_type := entity_type, value := value, confidence := confidence, source := source)"
 
+LABEL = r"regexp_extract(prefix, '([a-zA-Z][\w\s]{0,25}?)\s*[:=–—]\s*\z', 1)"
+
 CHAIN: dict[str, str] = {
     "docs": " UNION ALL ".join(f"SELECT {key} AS doc_id, {body} AS text FROM {source}"
                                for source, key, body in TEXTS.values()),
@@ -304,8 +308,7 @@ CHAIN: dict[str, str] = {
     "around": f"""SELECT f.*, structured, lower({window('t', 's - 120', 'e + 120')}) AS win,
         {window('t', 's - 50', 's')} AS prefix, {window('t', 'e', 'e + 40')} AS following,
         {window('t', 's - 5', 's')} AS before FROM fused f JOIN flags USING (doc_id) JOIN clean USING (doc_id)""",
-    "labels_found": rf"""SELECT *, lower({stripped("regexp_extract(prefix, '([a-zA-Z][\w\s]{0,25}?)\s*[:=–—]\s*\z', 1)")})
-        AS raw_label FROM around""",
+    "labels_found": f"SELECT *, lower({stripped(LABEL)}) AS raw_label FROM around",
     "labelled": f"""SELECT * EXCLUDE (label), CASE WHEN kind IS NOT NULL THEN label END AS label FROM (
         SELECT *, CASE WHEN length(raw_label) >= 2 THEN raw_label END AS label,
           CASE WHEN length(raw_label) < 2 THEN NULL
@@ -404,6 +407,4 @@ def chained(select: str) -> str:
 
 
 def _mentions(sql: str, name: str) -> bool:
-    import re
-
     return re.search(rf"(?:FROM|JOIN)\s+{name}\b", sql) is not None

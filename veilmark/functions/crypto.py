@@ -31,9 +31,9 @@ def encrypt_column(text: Column, key: bytes) -> Column:
 
 def decrypt_column(payload: Column, key: bytes, lenient: bool = False) -> Column:
     """The plain text; a wrong key or a changed payload fails, or gives null when ``lenient``."""
-    sealed = F.concat(F.unbase64(payload["nonce"]), F.unbase64(payload["ciphertext"]))
     opener = F.try_aes_decrypt if lenient else F.aes_decrypt
-    return opener(sealed, _key(key), F.lit("GCM")).cast("string")
+    return let(payload, lambda p: opener(F.concat(F.unbase64(p["nonce"]), F.unbase64(p["ciphertext"])), _key(key),
+                                         F.lit("GCM")).cast("string"))
 
 
 def encrypt_struct(record: Column, key: bytes) -> Column:
