@@ -70,15 +70,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, key, text = TEXTS[name]
-    return table(spark, sf_dir, source).selectExpr(f"{key} AS doc_id", f"{text} AS text")
+    return analyze.spread(table(spark, sf_dir, source).selectExpr(f"{key} AS doc_id", f"{text} AS text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts, ``(doc_id, text)``."""
-    frames = [texts(spark, sf_dir, name) for name in TEXTS]
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionAll(frame)
+    whole, *others = [texts(spark, sf_dir, name) for name in TEXTS]
+    for other in others:
+        whole = whole.unionAll(other)
     return whole
 
 

@@ -19,6 +19,7 @@ from ..functions import confidence as conf
 from ..functions import fixed_values as fixed
 from ..functions.text import exploded, saved_column, with_once
 from ..operators import metrics, spans, tables, vault
+from ..operators.lineage import checkpointed
 from ..plans import analyze
 from ..sources import annotations as ann
 from ..sources import audit, files, parts
@@ -538,7 +539,8 @@ def k3(spark, sf):
 
 @query("k3_recalibrate_tables", chained(_RECALIBRATED))
 def k3_tables(spark, sf):
-    return tables.recalibrated_spans(_accepted_rows(spark, sf)).select(
+    # The rows meet their own aggregates: stored once instead of detected three times.
+    return tables.recalibrated_spans(checkpointed(_accepted_rows(spark, sf))).select(
         "doc_id", "entity_type", "start", "end", "value", "confidence")
 
 
@@ -688,7 +690,7 @@ def q1_tables(spark, sf):
 
 @query("q2_superset_dedup", chained("SELECT doc_id, rule, array_to_string(combo, '+') AS combination FROM fired_kept"))
 def q2(spark, sf):
-    return tables.without_subsets(tables.matched_rules(_recalibrated_rows(spark, sf))).select(
+    return tables.without_subsets(checkpointed(tables.matched_rules(_recalibrated_rows(spark, sf)))).select(
         "doc_id", "rule", F.array_join("combination", "+").alias("combination"))
 
 
@@ -707,7 +709,7 @@ def q3(spark, sf):
 
 @query("q4_reid_level", chained(_LINKED + " WHERE combinations > 0"))
 def q4(spark, sf):
-    kept = tables.without_subsets(tables.matched_rules(_recalibrated_rows(spark, sf)))
+    kept = tables.without_subsets(checkpointed(tables.matched_rules(_recalibrated_rows(spark, sf))))
     return tables.correlation_scores(kept).withColumnRenamed("correlation_score", "correlation")
 
 
@@ -797,7 +799,7 @@ def _vault_spans(spark: SparkSession, sf: str) -> DataFrame:
 @query("a7_tokenize", chained(f"""SELECT s.doc_id, s.ordinal, s.value, f.entity_type || '_TOKEN_' || {oracle.sha('s.value', 8)}
     AS token FROM ({_VAULT_SPANS}) s JOIN ({_FIRST}) f USING (value)"""))
 def a7(spark, sf):
-    found = _vault_spans(spark, sf)
+    found = checkpointed(_vault_spans(spark, sf))
     return vault.tokenize_spans(found, vault.build_vault(found)).select("doc_id", "ordinal", "value", "token")
 
 
@@ -805,7 +807,7 @@ def a7(spark, sf):
     {oracle.sha('value', 8)} AS token FROM ({_FIRST})) UNION ALL SELECT DISTINCT 'X_TOKEN_' || {oracle.sha('value', 8)}, NULL
     FROM ({_FIRST})"""))
 def a8(spark, sf):
-    known = vault.build_vault(_vault_spans(spark, sf))
+    known = checkpointed(vault.build_vault(checkpointed(_vault_spans(spark, sf))))
     tokens = known.select("token").unionAll(
         known.select(F.concat(F.lit("X_TOKEN_"), anonymize.short_hash(C("value"), 8)).alias("token")).distinct())
     return vault.detokenize(tokens, known)
@@ -814,7 +816,7 @@ def a8(spark, sf):
 @query("a9_token_map", chained(f"SELECT value, entity_type, entity_type || '_TOKEN_' || {oracle.sha('value', 8)} AS token "
                                f"FROM ({_FIRST})"))
 def a9(spark, sf):
-    return vault.token_map(vault.build_vault(_vault_spans(spark, sf)))
+    return vault.token_map(vault.build_vault(checkpointed(_vault_spans(spark, sf))))
 
 
 _NUMBERED = (f"""SELECT value, entity_type, row_number() OVER (PARTITION BY entity_type ORDER BY doc_id, ordinal, value) AS number
@@ -943,7 +945,7 @@ def _dated_results(spark: SparkSession, sf: str) -> DataFrame:
     docs = inputs.table(spark, sf, source).selectExpr(
         f"{key} AS doc_id", f"{text} AS text", f"{_TS} AS ts", "cast(o_orderkey % 50 AS double) AS processing_time_ms",
         "concat('order ', cast(o_orderkey AS string)) AS document_name")
-    return analyze.analyze_documents(docs, analyze.Options(keep_original=True))
+    return analyze.analyze_documents(analyze.spread(docs), analyze.Options(keep_original=True))
 
 
 # Records of the order texts, for the SQL side.
@@ -1097,7 +1099,7 @@ def m11(spark, sf):
 @query("p1_analyze_documents")
 def p1(spark, sf):
     docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
-    found = analyze.analyze_documents(docs, analyze.Options(encryption_key=_KEY))
+    found = analyze.analyze_documents(analyze.spread(docs), analyze.Options(encryption_key=_KEY))
     return found.select("document_id", "risk_analysis.risk_score", "risk_analysis.risk_level",
                         "risk_analysis.entity_count", F.size("entities").alias("reported"), "anonymized_text", "encrypted")
 
@@ -1117,7 +1119,7 @@ def p2(spark, sf):
 
 @query("p3_analyze_table")
 def p3(spark, sf):
-    found = analyze.analyze_table(inputs.table(spark, sf, "customer"), "c_custkey")
+    found = analyze.analyze_table(analyze.spread(inputs.table(spark, sf, "customer")), "c_custkey")
     return found.select("document_id", "risk_analysis.entity_count", "risk_analysis.risk_score", "anonymized_text")
 
 

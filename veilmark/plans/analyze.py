@@ -36,6 +36,16 @@ def _column_or(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in df.columns else default
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in fewer splits than there are cores.
+
+    Analysis costs far more per byte than reading, so one small file must not
+    become one long task. Inputs with enough splits are left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def with_clean_text(df: DataFrame, options: Options = Options()) -> DataFrame:
     return df.withColumn("clean_text", clean.clean_text(F.col("text"), normal_form=options.normal_form))
 
