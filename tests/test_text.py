@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from itertools import accumulate
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import clean, detect, verify
 from veilmark.functions import fixed_values as fixed
-from veilmark.functions.text import ascii_digits, exact_round
+from veilmark.functions.text import ascii_digits, exact_round, running, slice_blocks, slice_text, text_blocks
 from veilmark.sources.annotations import chunk_text
 
 ODD = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\x00\x07\x7f") + [chr(c) for c in (
@@ -121,7 +122,7 @@ def test_round_is_exact(spark, values):
 def test_sentence_of(spark):
     texts = ["One. Two 9876543210 here! Three", "no end 9876543210", "x" * 400 + "9876543210" + "y" * 400, "a\n9876543210\nb"]
     at = F.locate("9876543210", F.col("text")) - 1
-    assert run(spark, texts, verify.sentence_of(F.col("text"), at, at + 10)) == [
+    assert run(spark, texts, verify.sentence_of(text_blocks(F.col("text")), at, at + 10)) == [
         "Two 9876543210 here!", "no end 9876543210", "x" * 300 + "9876543210" + "y" * 300, "9876543210"]
 
 
@@ -143,3 +144,21 @@ def test_chunks_match_brute_force(spark):
         return [(" ".join(w.group() for w in c), c[0].start()) for c in chunks + [current]]
 
     assert [[tuple(c) for c in row] for row in run(spark, texts, chunk_text(F.col("text")))] == [brute(t) for t in texts]
+
+
+def test_cuts_of_long_texts(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab😀é\n", k=n)) for n in (0, 1, 4095, 4096, 4097, 9000, 20000)]
+    for start, end in ((0, 10), (4090, 4100), (-5, 5), (4096, 8192), (100, 12400), (8999, 9200), (5, 3), (30000, 30010)):
+        got = run(spark, texts, slice_blocks(text_blocks(F.col("text")), F.lit(start), F.lit(end)))
+        assert got == [t[max(start, 0):max(end, 0)] for t in texts]
+        assert got == run(spark, texts, slice_text(F.col("text"), F.lit(start), F.lit(end)))
+
+
+def test_running_values(spark):
+    rng = random.Random(4)
+    lists = [[rng.randint(0, 99) for _ in range(n)] for n in (0, 1, 255, 256, 257, 3000)]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, x array<int>")
+    got = rows.select("i", running(F.col("x"), lambda a, b: a + b).alias("s"), running(F.col("x"), F.greatest).alias("m"))
+    for r in got.collect():
+        assert r.s == list(accumulate(lists[r.i])) and r.m == list(accumulate(lists[r.i], max))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import anonymize, clean, context, crypto, detect, fuse, quasi, risk, verify
 from ..functions import confidence as conf
 from ..functions import fixed_values as fixed
-from ..functions.text import exploded, saved_column, with_once
+from ..functions.text import exploded, let, saved_column, text_blocks, with_once
 from ..operators import metrics, spans, tables, vault
 from ..operators.lineage import checkpointed
 from ..plans import analyze
@@ -255,15 +255,10 @@ for _n, (_type_name, _) in enumerate(fixed.PATTERNS, start=1):
     _detector(_n, _type_name)
 
 
-@saved_column
-def _kept() -> Column:
-    return detect.regex_detect(C("clean_text"))
-
-
 @query("d19_suppress_overlaps", chained(
     "SELECT doc_id, ordinal, entity_type, value, s AS \"start\", e AS \"end\", confidence FROM kept"))
 def d19(spark, sf):
-    found = exploded(inputs.cleaned(spark, sf), _kept(), "doc_id", element="d")
+    found = exploded(analyze.with_regex_spans(inputs.cleaned(spark, sf)), "regex_spans", "doc_id")
     return found.select("doc_id", "ordinal", "d.entity_type", "d.value", "d.start", "d.end", "d.confidence")
 
 
@@ -293,7 +288,7 @@ def _from(source: str) -> Callable[[Column], Column]:
 @saved_column
 def _united() -> Column:
     by_source = [F.filter("annotations", _from(name)) for name in ("transformer", "spacy")]
-    return fuse.union_detections(_kept(), *by_source)
+    return fuse.union_detections(C("regex_spans"), *by_source)
 
 
 @saved_column
@@ -303,7 +298,7 @@ def _grouped() -> Column:
 
 def _all_spans(spark: SparkSession, sf: str) -> DataFrame:
     docs = ann.attach_annotations(inputs.corpus(spark, sf), ann.read_annotations(inputs.annotations(spark, sf)))
-    return analyze.with_clean_text(docs).withColumn("united", _united())
+    return with_once(analyze.with_regex_spans(analyze.with_clean_text(docs)), "united", _united())
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -552,9 +547,9 @@ _SENTENCES = f'SELECT doc_id, entity_type, s AS "start", e AS "end", confidence,
 
 @query("n1_sentence_of", chained(f'SELECT doc_id, entity_type, s AS "start", {_SENTENCE} AS sentence FROM fused JOIN clean USING (doc_id)'))
 def n1(spark, sf):
-    cut = F.transform(C("detected")["fused"], lambda d: F.struct(
+    cut = let(text_blocks(C("clean_text")), lambda blocks: F.transform(C("detected")["fused"], lambda d: F.struct(
         d["entity_type"].alias("entity_type"), d["start"].alias("start"),
-        verify.sentence_of(C("clean_text"), d["start"], d["end"]).alias("sentence")))
+        verify.sentence_of(blocks, d["start"], d["end"]).alias("sentence"))))
     return exploded(inputs.detected(spark, sf), cut, "doc_id", element="c").select("doc_id", "c.*")
 
 
@@ -786,7 +781,7 @@ _FIRST = (f"SELECT value, first(entity_type ORDER BY doc_id, ordinal, entity_typ
 
 
 def _vault_spans(spark: SparkSession, sf: str) -> DataFrame:
-    found = exploded(inputs.cleaned(spark, sf), _kept(), "doc_id", element="d").select(
+    found = exploded(analyze.with_regex_spans(inputs.cleaned(spark, sf)), "regex_spans", "doc_id").select(
         "doc_id", "ordinal", "d.value", "d.entity_type")
     retyped = F.when((C("entity_type") == "PHONE") & F.contains("value", F.lit("7")), F.lit("UPI_ID")).otherwise(
         C("entity_type"))
@@ -1164,7 +1159,8 @@ def p5(spark, sf):
     FROM (SELECT DISTINCT value, entity_type FROM kept WHERE starts_with(doc_id, 'gov-'))"""))
 def p6(spark, sf):
     source, folder = _streamed(spark, inputs.texts(spark, sf, "gov"), "docs")
-    found = analyze.with_clean_text(source).select("doc_id", F.posexplode(_kept()).alias("ordinal", "d")).select(
+    spotted = analyze.with_regex_spans(analyze.with_clean_text(source))
+    found = exploded(spotted, "regex_spans", "doc_id").select(
         "doc_id", "ordinal", "d.value", "d.entity_type")
     found.writeStream.foreachBatch(stream.vault_writer(f"{folder}/vault")).option(
         "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_digits, digits_only, let, words_of
+from .text import ascii_digits, digits_only, let, slice_blocks, text_blocks, words_of
 
 
 def _stars(n: Column) -> Column:
@@ -134,32 +134,31 @@ def anonymized_value(value: Column, entity_type: Column, strategy: Column, token
             .otherwise(mask(value, entity_type)))
 
 
-def _in_document_numbers(spans: Column) -> Column:
-    """Map from a pseudonymized value to its pseudonym, numbered within the document."""
-    chosen = F.filter(spans, lambda d: d["anonymization_strategy"] == "PSEUDONYMIZE")
+def _first_of_each_value(spans: Column, strategy: str) -> Column:
+    """Spans of one strategy, only the first of each value."""
+    chosen = F.filter(spans, lambda d: d["anonymization_strategy"] == strategy)
+
+    def firsts(b: Column) -> Column:
+        return F.filter(b["chosen"], lambda d, i: F.array_position(b["values"], d["value"]) == i + 1)
+
+    return let(chosen, lambda c: let(F.struct(
+        c.alias("chosen"), F.transform(c, lambda d: d["value"]).alias("values")), firsts))
 
-    def firsts(all_chosen: Column) -> Column:
-        values = F.transform(all_chosen, lambda d: d["value"])
-        return F.filter(all_chosen, lambda d, i: F.array_position(values, d["value"]) == i + 1)
 
-    def named(first: Column) -> Column:
-        types = F.transform(first, lambda d: d["entity_type"])
-        return F.map_from_entries(F.transform(first, lambda d, i: F.struct(d["value"].alias("value"), pseudonym(
-            d["value"], d["entity_type"], F.size(F.filter(F.slice(types, 1, i + 1), lambda t: t == d["entity_type"]))
-        ).alias("pseudonym"))))
+def _in_document_numbers(spans: Column) -> Column:
+    """Map from a pseudonymized value to its pseudonym, numbered within the document."""
+    def named(b: Column) -> Column:
+        return F.map_from_entries(F.transform(b["first"], lambda d, i: F.struct(
+            d["value"].alias("value"), pseudonym(d["value"], d["entity_type"], F.size(F.filter(
+                F.slice(b["types"], 1, i + 1), lambda t: t == d["entity_type"]))).alias("pseudonym"))))
 
-    return let(chosen, lambda c: let(firsts(c), named))
+    return let(_first_of_each_value(spans, "PSEUDONYMIZE"), lambda first: let(F.struct(
+        first.alias("first"), F.transform(first, lambda d: d["entity_type"]).alias("types")), named))
 
 
 def _in_document_tokens(spans: Column) -> Column:
     """Map from a tokenized value to its token: the first type seen for a value wins."""
-    chosen = F.filter(spans, lambda d: d["anonymization_strategy"] == "TOKENIZE")
-
-    def firsts(all_chosen: Column) -> Column:
-        values = F.transform(all_chosen, lambda d: d["value"])
-        return F.filter(all_chosen, lambda d, i: F.array_position(values, d["value"]) == i + 1)
-
-    return F.map_from_entries(F.transform(let(chosen, firsts), lambda d: F.struct(
+    return F.map_from_entries(F.transform(_first_of_each_value(spans, "TOKENIZE"), lambda d: F.struct(
         d["value"].alias("value"), tokenize(d["value"], d["entity_type"]).alias("token"))))
 
 
@@ -193,9 +192,30 @@ def apply_to_text(text: Column, spans: Column) -> Column:
     Spans with equal starts keep their order. Overlapping spans are spliced in
     the same order, so an outer span replaces whatever its end now points at.
     """
-    keyed = F.transform(spans, lambda d, i: F.struct(
-        (-d["start"]).alias("order"), i.alias("i"), d["start"].alias("start"), d["end"].alias("end"),
-        d["anonymized_value"].alias("replacement")))
-    return F.aggregate(F.array_sort(keyed), text, lambda t, d: F.concat(
-        F.left(t, d["start"]), d["replacement"],
-        F.substring(t, d["end"] + 1, F.greatest(F.length(t) - d["end"], F.lit(0)))))
+    def splice(all_spans: Column) -> Column:
+        keyed = F.transform(all_spans, lambda d, i: F.struct(
+            (-d["start"]).alias("order"), i.alias("i"), d["start"].alias("start"), d["end"].alias("end"),
+            d["anonymized_value"].alias("replacement")))
+        return F.aggregate(F.array_sort(keyed), text, lambda t, d: F.concat(
+            F.left(t, d["start"]), d["replacement"],
+            F.substring(t, d["end"] + 1, F.greatest(F.length(t) - d["end"], F.lit(0)))))
+
+    def assemble(b: Column) -> Column:
+        """Kept and replaced pieces in reading order, when no spans overlap."""
+        pieces = F.transform(b["sorted"], lambda d, i: F.concat(
+            slice_blocks(b["blocks"], F.coalesce(F.get(b["sorted"], i - 1)["end"], F.lit(0)), d["start"]),
+            d["replacement"]))
+        rest = slice_blocks(b["blocks"], F.get(b["sorted"], F.size(b["sorted"]) - 1)["end"], F.length(text))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    def choose(b: Column) -> Column:
+        overlapping = F.exists(F.sequence(F.lit(1), F.size(b["sorted"])), lambda i: F.coalesce(
+            F.get(b["sorted"], i)["start"] < F.get(b["sorted"], i - 1)["end"], F.lit(False)))
+        return F.when(overlapping, splice(b["spans"])).otherwise(assemble(b))
+
+    def by_start(all_spans: Column) -> Column:
+        ordered = F.array_sort(F.transform(all_spans, lambda d, i: F.struct(
+            d["start"].alias("start"), i.alias("i"), d["end"].alias("end"), d["anonymized_value"].alias("replacement"))))
+        return let(F.struct(all_spans.alias("spans"), ordered.alias("sorted"), text_blocks(text).alias("blocks")), choose)
+
+    return F.when(F.size(spans) > 0, let(spans, by_start)).otherwise(text)

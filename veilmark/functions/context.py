@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .detect import looks_secret, password_secret
-from .text import SPACE, contains_any, exact_round, jvm_regex, let, lookup, one_of, slice_text, strip
+from .text import SPACE, contains_any, exact_round, jvm_regex, let, lookup, one_of, slice_blocks, strip, text_blocks
 from .text import words_of
 
 
@@ -24,18 +24,6 @@ def active_sources(fused: Column) -> Column:
     return F.array_sort(F.array_distinct(names))
 
 
-def context_window(text: Column, start: Column, end: Column) -> Column:
-    return F.lower(slice_text(text, start - fixed.CONTEXT_CHARS, end + fixed.CONTEXT_CHARS))
-
-
-def label_prefix(text: Column, start: Column) -> Column:
-    return slice_text(text, start - fixed.PREFIX_CHARS, start)
-
-
-def following_text(text: Column, end: Column) -> Column:
-    return slice_text(text, end, end + fixed.FOLLOWING_CHARS)
-
-
 def label_text(prefix: Column) -> Column:
     """The label written right before a value ("Order ID:"), null when there is none."""
     raw = F.regexp_extract(prefix, jvm_regex(fixed.PRECEDING_LABEL) + r"\z", 1)
@@ -231,12 +219,20 @@ def notes_of(span: Column, s: Column, structured: Column) -> Column:
     return F.filter(notes, lambda n: n.isNotNull())
 
 
-def validate_span(span: Column, text: Column, structured: Column) -> Column:
+def surroundings(span: Column, blocks: Column) -> Column:
+    """The span with the pieces of text the rules look at, cut from :func:`text_blocks`."""
+    def cut(start: Column, end: Column) -> Column:
+        return slice_blocks(blocks, start, end)
+
+    start, end = span["start"], span["end"]
+    return F.struct(
+        span.alias("d"), F.lower(cut(start - fixed.CONTEXT_CHARS, end + fixed.CONTEXT_CHARS)).alias("window"),
+        cut(start - fixed.PREFIX_CHARS, start).alias("prefix"),
+        cut(end, end + fixed.FOLLOWING_CHARS).alias("following"))
+
+
+def validate_span(span: Column, blocks: Column, structured: Column) -> Column:
     """One fused span with its rescored confidence, verdict, notes and window."""
-    def surroundings(d: Column) -> Column:
-        return F.struct(
-            d.alias("d"), context_window(text, d["start"], d["end"]).alias("window"),
-            label_prefix(text, d["start"]).alias("prefix"), following_text(text, d["end"]).alias("following"))
 
     def judge(c: Column) -> Column:
         d = c["d"]
@@ -251,13 +247,13 @@ def validate_span(span: Column, text: Column, structured: Column) -> Column:
             notes_of(d, s, structured).alias("context_notes"),
             F.left(c["window"], F.lit(fixed.CONTEXT_CHARS)).alias("context_window"))))
 
-    return let(surroundings(span), judge)
+    return let(surroundings(span, blocks), judge)
 
 
 def validate_context(fused: Column, text: Column) -> Column:
     """Validate all fused spans of a document against its text."""
-    bound = F.struct(fused.alias("fused"), text.alias("text"), has_structured(fused).alias("structured"))
-    return let(bound, lambda b: F.transform(b["fused"], lambda d: validate_span(d, b["text"], b["structured"])))
+    bound = F.struct(fused.alias("fused"), text_blocks(text).alias("blocks"), has_structured(fused).alias("structured"))
+    return let(bound, lambda b: F.transform(b["fused"], lambda d: validate_span(d, b["blocks"], b["structured"])))
 
 
 def accepted(validated: Column) -> Column:

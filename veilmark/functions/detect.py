@@ -8,16 +8,17 @@ so detection is a projection: no shuffle, and empty documents keep their row.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
-from .text import ascii_digits, constant, contains_any, digits_only, jvm_regex, let, lookup, one_of
+from .text import ascii_digits, constant, contains_any, digits_only, jvm_regex, let, lookup, one_of, running
 
 SPAN_TYPE = "struct<entity_type:string,value:string,start:int,end:int,confidence:double,source:string>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
+_MATCHES_TYPE = "array<struct<start:int,end:int,rank:int,entity_type:string,value:string>>"
 _CANDIDATE_TYPE = "struct<start:int,end:int,rank:int,entity_type:string,value:string,confidence:double>"
 _CANDIDATES_TYPE = f"array<{_CANDIDATE_TYPE}>"
 
@@ -60,16 +61,10 @@ def locate(text: Column, values: Column, regex: Column) -> Column:
     Matched values and the gaps between them alternate, so running lengths give
     the offsets without leaving built-in functions.
     """
-    def advance(state: Column, step: Column) -> Column:
-        start = state["at"] + F.length(step["gap"])
-        end = start + F.length(step["value"])
-        found = F.struct(step["value"].alias("value"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
-
     gaps = F.slice(F.split(text, regex, -1), 1, F.size(values))
-    steps = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    begin = constant({"at": 0, "found": []}).cast("struct<at:int,found:array<struct<value:string,start:int,end:int>>>")
-    return F.aggregate(steps, begin, advance, lambda state: state["found"])
+    widths = F.zip_with(gaps, values, lambda g, v: F.length(g) + F.length(v))
+    return F.zip_with(values, running(widths, lambda a, b: a + b), lambda v, end: F.struct(
+        v.alias("value"), (end - F.length(v)).alias("start"), end.alias("end")))
 
 
 def luhn_valid(value: Column) -> Column:
@@ -157,7 +152,9 @@ def raw_matches(text: Column, types: list[str] | None = None) -> Column:
         values = F.array(*[values_of(b, name, regex) for _, name, regex in wanted])
         hits = F.filter(F.zip_with(values, rules, lambda v, r: F.struct(v.alias("values"), r.alias("rule"))),
                         lambda hit: F.size(hit["values"]) > 0)
-        return F.flatten(F.transform(hits, lambda hit: of_rule(b, hit)))
+        found = F.flatten(F.transform(hits, lambda hit: of_rule(b, hit)))
+        return F.when(reduce(or_, [b["gates"][gate] for gate in sorted(used)]), found).otherwise(
+            F.array().cast(_MATCHES_TYPE))
 
     def with_gates(b: Column) -> Column:
         gates = F.struct(*[test(b["text"], b["low"]).alias(n) for n, test in _GATES.items() if n in used])
@@ -175,24 +172,24 @@ def candidates(text: Column, types: list[str] | None = None) -> Column:
     return F.filter(judged, lambda c: c["confidence"].isNotNull())
 
 
-def overlap_islands(spans: Column, element_type: str) -> Column:
-    """Cut spans (sorted by start) into runs that overlap; a one-pass fold.
+def overlap_islands(spans: Column) -> Column:
+    """Cut spans (sorted by start) into runs that overlap.
 
     Spans of different islands share no position, so any overlap rule can be
     decided island by island. Keeps pairwise work small in span-rich documents.
     """
-    many, one = f"array<array<{element_type}>>", f"array<{element_type}>"
+    def cut(b: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(b["spans"]) - 1), lambda i: (i == 0) | (
+            F.get(b["spans"], i)["start"] >= F.get(b["reach"], i - 1)))
+        return let(F.concat(firsts, F.array(F.size(b["spans"]))), lambda edges: F.zip_with(
+            F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1),
+            lambda a, z: F.slice(b["spans"], a + 1, z - a)))
 
-    def step(state: Column, span: Column) -> Column:
-        apart = (span["start"] >= state["reach"]) & (F.size(state["open"]) > 0)
-        return F.struct(
-            F.when(apart, F.concat(state["closed"], F.array(state["open"]))).otherwise(state["closed"]).alias("closed"),
-            F.when(apart, F.array(span)).otherwise(F.concat(state["open"], F.array(span))).alias("open"),
-            F.greatest(state["reach"], span["end"]).alias("reach"))
+    def bind(all_spans: Column) -> Column:
+        reach = running(F.transform(all_spans, lambda d: d["end"]), F.greatest)
+        return let(F.struct(all_spans.alias("spans"), reach.alias("reach")), cut)
 
-    begin = F.struct(F.array().cast(many).alias("closed"), F.array().cast(one).alias("open"),
-                     F.lit(0).alias("reach"))
-    return F.aggregate(spans, begin, step, lambda s: F.concat(s["closed"], F.array(s["open"])))
+    return let(spans, bind)
 
 
 def suppress_overlaps(found: Column) -> Column:
@@ -215,7 +212,7 @@ def suppress_overlaps(found: Column) -> Column:
             blocked(kept, c), kept).otherwise(F.concat(kept, F.array(c))))
 
     def resolve(all_found: Column) -> Column:
-        islands = overlap_islands(F.array_sort(all_found), _CANDIDATE_TYPE)
+        islands = overlap_islands(F.array_sort(all_found))
         kept = F.flatten(F.transform(islands, lambda i: F.when(F.size(i) > 1, greedy(i)).otherwise(i)))
         return F.when(F.size(all_found) > 1, by_priority(kept)).otherwise(all_found)
 

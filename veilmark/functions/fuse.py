@@ -47,7 +47,7 @@ def group_overlaps(spans: Column) -> Column:
         return F.aggregate(island, F.array().cast(groups_type), place)
 
     return F.when(F.size(spans) > 0, F.flatten(F.transform(
-        overlap_islands(spans, SPAN_TYPE),
+        overlap_islands(spans),
         lambda i: F.when(F.size(i) > 1, first_fit(i)).otherwise(F.array(i))))).otherwise(F.array().cast(groups_type))
 
 

@@ -16,14 +16,15 @@ def _rules() -> Column:
 
 def match_rules(types: Column) -> Column:
     """All combination rules whose types are all present."""
-    return F.filter(_rules(), lambda r: F.size(F.array_except(r["combination"], types)) == 0)
+    fired = F.filter(_rules(), lambda r: F.forall(r["combination"], lambda t: F.array_contains(types, t)))
+    return F.when(F.size(types) > 1, fired).otherwise(F.slice(_rules(), 1, 0))
 
 
 def superset_dedup(fired: Column) -> Column:
     """Drop a fired rule when a larger fired rule contains it."""
     def covered(rule: Column, all_fired: Column) -> Column:
         return F.exists(all_fired, lambda o: (F.size(rule["combination"]) < F.size(o["combination"]))
-                        & (F.size(F.array_except(rule["combination"], o["combination"])) == 0))
+                        & F.forall(rule["combination"], lambda t: F.array_contains(o["combination"], t)))
 
     return let(fired, lambda rules: F.filter(rules, lambda r: ~covered(r, rules)))
 

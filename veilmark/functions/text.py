@@ -112,6 +112,57 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, first + 1, F.greatest(end - first, F.lit(0)))
 
 
+BLOCK = 4096
+_RUN = 256
+
+
+def text_blocks(text: Column) -> Column:
+    """The text as pieces of 4096 characters.
+
+    ``substring`` walks a string from its start. Cutting many windows out of a
+    long text goes through these pieces, so each cut walks two of them at most.
+    """
+    count = F.floor((F.length(text) - 1) / BLOCK).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count), lambda b: F.substring(text, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(pieces)
+
+
+def slice_blocks(blocks: Column, start: Column, end: Column) -> Column:
+    """Like :func:`slice_text`, on the pieces of a text; ``end`` may lie beyond it."""
+    first = F.greatest(start, F.lit(0))
+    width = F.greatest(end - first, F.lit(0))
+    block = F.floor(first / BLOCK).cast("int")
+    count = F.when(width > 0, F.floor((first + width - 1) / BLOCK).cast("int") - block + 1).otherwise(F.lit(0))
+    return F.substring(F.array_join(F.slice(blocks, block + 1, count), ""), first - block * BLOCK + 1, width)
+
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sum, maximum or the like of an integer array, inclusive.
+
+    A fold that appends copies its array at every step. Runs of 256 are folded
+    on their own and shifted by the running value of the runs before them, so
+    the work stays close to linear in documents with very many spans.
+    """
+    none = F.array().cast("array<int>")
+
+    def scan(values: Column) -> Column:
+        return F.aggregate(values, none, lambda done, x: F.concat(done, F.array(F.when(
+            F.size(done) > 0, combine(F.get(done, F.size(done) - 1), x)).otherwise(x))))
+
+    def shifted(runs: Column) -> Column:
+        lasts = scan(F.transform(runs, lambda run: F.get(run, F.size(run) - 1)))
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(lasts, 1, F.size(runs) - 1))
+        return F.flatten(F.zip_with(runs, before, lambda run, last: F.transform(
+            run, lambda x: F.when(last.isNull(), x).otherwise(combine(last, x)))))
+
+    def cut(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), F.lit(_RUN))
+        runs = F.transform(starts, lambda at: scan(F.slice(values, at, F.lit(_RUN))))
+        return F.when(F.size(values) > _RUN, let(runs, shifted)).otherwise(scan(values))
+
+    return let(numbers, cut)
+
+
 def first_level(score: Column, floors: list[tuple[str, float]], lowest: str = "LOW") -> Column:
     """Name of the highest band whose floor ``score`` reaches."""
     level = F.lit(lowest)

@@ -6,16 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
-from .text import exact_round, let, lookup, one_of, slice_text, strip
+from .text import exact_round, let, lookup, one_of, slice_blocks, strip
 
 
-def sentence_of(text: Column, start: Column, end: Column) -> Column:
+def sentence_of(blocks: Column, start: Column, end: Column) -> Column:
     """The sentence around a span: up to the nearest ``. ! ?`` or newline on each
-    side within 300 characters, the closing mark included; else the 300-character edge."""
+    side within 300 characters, the closing mark included; else the 300-character
+    edge. ``blocks`` are the :func:`text_blocks` of the text."""
     reach = fixed.SENTENCE_REACH
-    left = F.regexp_extract(slice_text(text, start - reach, start), r"[^.!?\n]*\z", 0)
-    right = F.regexp_extract(slice_text(text, end, end + reach), r"^[^.!?\n]*[.!?\n]?", 0)
-    return strip(F.concat(left, slice_text(text, start, end), right))
+    left = F.regexp_extract(slice_blocks(blocks, start - reach, start), r"[^.!?\n]*\z", 0)
+    right = F.regexp_extract(slice_blocks(blocks, end, end + reach), r"^[^.!?\n]*[.!?\n]?", 0)
+    return strip(F.concat(left, slice_blocks(blocks, start, end), right))
 
 
 def needs_verification(entity_type: Column, confidence: Column, sentence: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import context, fuse, verify
 from ..functions import fixed_values as fixed
-from ..functions.text import exploded, lookup
+from ..functions.text import exploded, let, lookup, text_blocks
 
 
 def explode_spans(df: DataFrame, spans: str, *keep: str) -> DataFrame:
@@ -21,10 +21,8 @@ def with_surroundings(df: DataFrame) -> DataFrame:
     The pieces are cut while the text is at hand, so later steps carry a few
     hundred characters per span and never the document.
     """
-    cut = F.transform(F.col("detected")["fused"], lambda d: F.struct(
-        d.alias("d"), context.context_window(F.col("clean_text"), d["start"], d["end"]).alias("window"),
-        context.label_prefix(F.col("clean_text"), d["start"]).alias("prefix"),
-        context.following_text(F.col("clean_text"), d["end"]).alias("following")))
+    cut = let(text_blocks(F.col("clean_text")), lambda blocks: F.transform(
+        F.col("detected")["fused"], lambda d: context.surroundings(d, blocks)))
     flagged = df.select("*", context.has_structured(F.col("detected")["fused"]).alias("structured"))
     rows = exploded(flagged, cut, "doc_id", "structured", element="c")
     before = F.right(F.col("c.prefix"), F.lit(fixed.VERSION_PREFIX_CHARS))
@@ -34,10 +32,10 @@ def with_surroundings(df: DataFrame) -> DataFrame:
 
 def verification_requests(df: DataFrame) -> DataFrame:
     """``(sentence, hypothesis, counter_hypothesis)`` rows for an external sentence scorer."""
-    cut = F.transform(F.col("judged")["accepted"], lambda d: F.struct(
-        d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["end"].alias("end"),
-        d["confidence"].alias("confidence"),
-        verify.sentence_of(F.col("clean_text"), d["start"], d["end"]).alias("sentence")))
+    cut = let(text_blocks(F.col("clean_text")), lambda blocks: F.transform(
+        F.col("judged")["accepted"], lambda d: F.struct(
+            d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["end"].alias("end"),
+            d["confidence"].alias("confidence"), verify.sentence_of(blocks, d["start"], d["end"]).alias("sentence"))))
     rows = exploded(df, cut, "doc_id", element="c").select("doc_id", "c.*")
     wanted = rows.filter(verify.needs_verification(F.col("entity_type"), F.col("confidence"), F.col("sentence")))
     return wanted.select(

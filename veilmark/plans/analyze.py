@@ -50,11 +50,29 @@ def with_clean_text(df: DataFrame, options: Options = Options()) -> DataFrame:
     return df.withColumn("clean_text", clean.clean_text(F.col("text"), normal_form=options.normal_form))
 
 
+@saved_column
+def _candidates() -> Column:
+    return detect.candidates(F.col("clean_text"))
+
+
+@saved_column
+def _regex_spans() -> Column:
+    return detect.to_spans(detect.suppress_overlaps(F.col("candidates")))
+
+
+def with_regex_spans(df: DataFrame) -> DataFrame:
+    """Add ``regex_spans``: the pattern spans of ``clean_text``.
+
+    One column per step: deeply nested lambdas take the analyzer many rounds.
+    """
+    return with_once(with_once(df, "candidates", _candidates()), "regex_spans", _regex_spans()).drop("candidates")
+
+
 @saved_column
 def _detected(outside: str | None) -> Column:
     none = F.array().cast(SPANS_TYPE)
     given = none if outside is None else F.coalesce(F.col(outside), none)
-    bound = F.struct(detect.regex_detect(F.col("clean_text")).alias("regex"), given.alias("outside"))
+    bound = F.struct(F.col("regex_spans").alias("regex"), given.alias("outside"))
 
     def split_sources(b: Column) -> Column:
         return F.struct(
@@ -73,7 +91,8 @@ def _detected(outside: str | None) -> Column:
 
 def with_detections(df: DataFrame) -> DataFrame:
     """Add ``detected``: span counts per source and the fused spans of all sources."""
-    return with_once(df, "detected", _detected("annotations" if "annotations" in df.columns else None))
+    fused = _detected("annotations" if "annotations" in df.columns else None)
+    return with_once(with_regex_spans(df), "detected", fused).drop("regex_spans")
 
 
 @saved_column
