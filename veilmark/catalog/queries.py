@@ -7,7 +7,6 @@ for the same rows, absent where SQL cannot say it. Arrays come out joined by
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +18,7 @@ from ..functions import confidence as conf
 from ..functions import fixed_values as fixed
 from ..functions.text import exploded, let, saved_column, text_blocks, with_once
 from ..operators import metrics, spans, tables, vault
-from ..operators.lineage import checkpointed
+from ..operators.lineage import checkpointed, shared_folder
 from ..plans import analyze
 from ..sources import annotations as ann
 from ..sources import audit, files, parts
@@ -61,10 +60,7 @@ def in_sql(column: str) -> str:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for files a query writes and reads back, in the cluster's shared place."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="veilmark-")
-    return f"{shared}/veilmark-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/veilmark-{uuid.uuid4().hex}"
 
 
 _FIN = oracle.TEXTS["fin"]
