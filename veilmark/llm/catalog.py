@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from veilmark.llm import sharding, urls
+from veilmark.llm import langid, quality, sharding, urls
 
 QUERIES = {
+    "op1_language_id": langid.op1,
+    "op3_quality_rules": quality.op3,
     "op8_url_filter": urls.op8,
     "op9_reshard": sharding.op9,
 }

@@ -71,3 +71,20 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str | Column], name:
     within = W.partitionBy(*keys, "_salt").orderBy("_h", *order)
     return (salted.withColumn("_rn", F.row_number().over(within)).join(first.drop("_n"), [*keys, "_salt"])
             .withColumn(name, (F.col("_first") + F.col("_rn") - 1).cast("long")).drop("_h", "_salt", "_rn", "_first"))
+
+
+def bounded_sample(df: DataFrame, key: str, per_key: int, ident: list[str]) -> DataFrame:
+    """About ``per_key`` rows at most of each value of ``key``, drawn by a hash of ``ident``; ``_h`` is that hash.
+
+    For fitting only. A value with more rows is thinned to about twice the bound before its
+    rows meet in one task. The counts per value go to the driver, so values must be few, as classes are.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(key).count().collect()}
+    hashed = df.withColumn("_h", F.xxhash64(*ident))
+    share = F.lit(1.0)
+    for value, n in counts.items():
+        if n > 2 * per_key:
+            share = F.when(F.col(key) == value, 2.0 * per_key / n).otherwise(share)
+    thinned = hashed.filter(F.col("_h").cast("double") < (share * 2.0 - 1.0) * 2.0 ** 63)
+    first = W.partitionBy(key).orderBy("_h", *ident)
+    return thinned.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= per_key).drop("_rn")
