@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from veilmark.llm import langid, quality, sharding, urls
+from veilmark.llm import langid, mixing, packing, quality, sharding, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op2_pack": packing.op2,
     "op3_quality_rules": quality.op3,
+    "op6_mix_sources": mixing.op6,
     "op8_url_filter": urls.op8,
     "op9_reshard": sharding.op9,
 }
