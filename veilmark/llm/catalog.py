@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from veilmark.llm import langid, mixing, packing, quality, sharding, urls
+from veilmark.llm import langid, mixing, packing, quality, sharding, topk, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_pack": packing.op2,
     "op3_quality_rules": quality.op3,
     "op6_mix_sources": mixing.op6,
+    "op7_top_k": topk.op7,
     "op8_url_filter": urls.op8,
     "op9_reshard": sharding.op9,
 }
 
-ORACLES = {"op8_url_filter": urls.op8_sql()}
+ORACLES = {"op7_top_k": topk.op7_sql(), "op8_url_filter": urls.op8_sql()}
