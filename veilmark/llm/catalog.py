@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmark.llm import langid, mixing, packing, quality, sharding, topk, urls
+from veilmark.llm import langid, mixing, neardup, packing, quality, sharding, topk, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_top_k": topk.op7,
     "op8_url_filter": urls.op8,
     "op9_reshard": sharding.op9,
+    "op10_near_duplicates": neardup.op10,
 }
 
 ORACLES = {"op7_top_k": topk.op7_sql(), "op8_url_filter": urls.op8_sql()}
