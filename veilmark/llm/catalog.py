@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilmark.llm import langid, mixing, neardup, packing, quality, sanitize, sharding, topk, urls
+from veilmark.llm import langid, mixing, neardup, packing, quality, repeats, sanitize, sharding, topk, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_pack": packing.op2,
     "op3_quality_rules": quality.op3,
+    "op4_suffix_dedup": repeats.op4,
     "op5_personal_data": sanitize.op5,
     "op6_mix_sources": mixing.op6,
     "op7_top_k": topk.op7,
