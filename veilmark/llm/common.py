@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.lineage import checkpointed, shared_folder
 
-__all__ = ["arrow_rows", "bytes_of", "checkpointed", "column_sums", "read", "salted_rank", "stored"]
+__all__ = ["arrow_rows", "bytes_of", "checkpointed", "column_sums", "fresh", "read", "salted_rank", "stored"]
 
 BUCKETS = 256
 
@@ -43,6 +43,13 @@ def arrow_rows(df: DataFrame, work: Callable, schema: str, *args) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, made from ``name``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a text column."""
     return column.cast(pa.binary()).to_pylist()

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import arrow_rows, bytes_of, read, stored
+from veilmark.llm.common import arrow_rows, bytes_of, fresh, read, stored
 from veilmark.llm.hashing import mixed, shingle_set
 
 SYMBOLS, CHUNKS, DIFFER, PERCENT, BLOCK, SEED = 32, 7, 13, 85, 1024, 11
@@ -59,21 +59,27 @@ def entries(signatures: np.ndarray) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     size, one, two, sign = [], [], [], []
-    for text in bytes_of(batch.column(1)):
+    for text in bytes_of(batch.column(2)):
         s = shingle_set(text)
         size.append(s.size)
         one.append(int(mixed(s).sum().view(np.int64)) if s.size else None)
         two.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if s.size else None)
         sign.append(signature(s).tobytes() if s.size else None)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                       pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "node", "check", "sign"])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+         pa.array(sign, pa.binary())], ["doc_id", "row", "n_shingles", "node", "check", "sign"])
+
+
+def row_key() -> Column:
+    """A row by its id and text, never null."""
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, check, sign): node and check are two hashes of the set, null when it is empty."""
+    """(doc_id, row, n_shingles, node, check, sign): node and check are two hashes of the set, null when it is empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_rows(docs.select("doc_id", "text"), _sets,
-                      f"doc_id {kind}, n_shingles long, node long, check long, sign binary")
+    return arrow_rows(docs.select("doc_id", row_key(), "text"), _sets,
+                      f"doc_id {kind}, row long, n_shingles long, node long, check long, sign binary")
 
 
 def _entered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -245,7 +251,7 @@ def classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of (doc_id, text)."""
+    """(doc_id, row, n_shingles, component_id, kept) of (doc_id, text); ``row`` is :func:`row_key`."""
     docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs))
     nodes = stored(rows.filter("node is not null").groupBy("node", "check").agg(
@@ -256,15 +262,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_node = of_node.join(least, "label").select("node", "check", "component_id")
     out = rows.join(of_node, ["node", "check"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("row")
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, with its columns; of repeated rows one stays."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    name = fresh(docs, "row")
+    kept = near_duplicates(docs).filter("kept").select(F.col("row").alias(name)).distinct()
+    return docs.withColumn(name, row_key()).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

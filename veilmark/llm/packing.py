@@ -306,3 +306,8 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(pieces(read(spark, sf_dir, "documents"))))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places (see :func:`op2`)."""
+    return pack(stored(pieces(docs)))

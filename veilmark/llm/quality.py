@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import bounded_sample, bytes_of, read
+from veilmark.llm.common import bounded_sample, bytes_of, fresh, read
 
 SAMPLE, FIT_LINES, CONTENT_SHARE = 1500, 256, 0.5
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -238,7 +238,5 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, with their columns."""
     field = train_field(docs, read(spark, sf_dir, "labels"))
-    name = "_kept"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "_kept")
     return docs.withColumn(name, judged(F.col("text"), field)["kept"]).filter(name).drop(name)

@@ -95,9 +95,9 @@ def _key(row: list[str]) -> Column:
     return F.xxhash64(*row)
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _key, _base): the rows with their valid spans."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _key(["doc_id", "text"]).alias("_key"))
+def found(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(doc_id, keep, text, _key, _base): the rows with their valid spans."""
+    rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"), _key(["doc_id", "text"]).alias("_key"))
     return with_once(rows, "_base", base_spans(F.col("text")))
 
 
@@ -132,9 +132,9 @@ def disclosing(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter((ic > 0) & (pmi >= DISCLOSURE * ic)).select("c", "t", (pmi / ic).alias("disclosure"))
 
 
-def annotate(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _key, _base, _terms): valid spans of each kind, and the spans of disclosing terms."""
-    rows = found(docs)
+def annotate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, keep, text, _key, _base, _terms): valid spans of each kind, and the spans of disclosing terms."""
+    rows = found(docs, keep or [])
     pairs = stored(cooccurrence(rows))
     revealing = disclosing(docs.select("text"), pairs).select("c", "t")
     of_doc = stored(pairs.filter("t != ''").join(revealing, ["c", "t"]).groupBy("_key").agg(F.collect_set("t").alias("_reveal")))
@@ -189,8 +189,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with sanitised texts; ``n_chars``, where it is a column, is counted anew."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select(F.struct("doc_id", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")).alias("doc_id"), "text")
-    rows = annotate(packed)
-    out = rows.select("doc_id.doc_id", "doc_id.rest.*", sanitized(rows).alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in rest else out.select(docs.columns)
+    rest = {c: f"_rest{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = annotate(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in rest.items()]), list(rest.values()))
+    rows = with_once(rows, "_clean", sanitized(rows))
+    columns = {c: F.col(x) for c, x in rest.items()} | {"doc_id": F.col("doc_id"), "text": F.col("_clean")}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.length("_clean").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[columns[c].alias(c) for c in docs.columns])
