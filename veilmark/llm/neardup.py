@@ -10,9 +10,9 @@ Entries are joined without making all pairs of a bucket:
 1. Stars. Each bucket names a leader by hash, each node is compared with the closest of its leaders, confirmed on full sets, and
    confirmed links are joined into classes.
 2. Rest. Buckets whose nodes are in several classes are searched for pairs of different classes: all but the largest class against all,
-   in blocks of ``BLOCK`` rows. A pair is looked at in the first bucket it shares, must pass the signature threshold and an upper bound of the
-   similarity from 16-bit shingle hashes, and the best pairs of a node with a class are confirmed on full sets. This repeats with more pairs
-   per node and class until no pair of different classes is left unconfirmed. Links inside a class change no class and need no confirmation.
+   in blocks of ``BLOCK`` rows. A pair is looked at in the first bucket it shares and must pass the signature threshold; then the nodes
+   left bring their full sets, and the pairs of a node with a class are confirmed, closest first, until one is. Further links between two
+   nodes that are joined by then change no class and need no confirmation.
 
 A document without words (null, empty) has no shingles and is linked with nothing. Repeated rows are copies of one set. Rows with a null id take part with
 the smallest other id of their class. An empty table gives an empty result, other columns are left alone.
@@ -23,7 +23,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import arrow_rows, bytes_of, fresh, read, stored
@@ -94,17 +93,20 @@ def _small_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
                                        pa.array([b for _, b in rows], pa.binary())], ["node", "n", "shingles"])
 
 
+def similar(m: int, n: int, one: bytes, two: bytes) -> bool:
+    """Whether two full sets of m and n shingles, sorted, are similar enough."""
+    s, t = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")
+    shared = int((t[np.minimum(np.searchsorted(t, s), t.size - 1)] == s).sum())
+    return 100 * shared >= PERCENT * (int(m) + int(n) - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
     one, two = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
 
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-        keep = []
-        for m, n, s, t in zip(column["n_a"].to_pylist(), column["n_b"].to_pylist(), column["s_a"], column["s_b"], strict=True):
-            s, t = np.frombuffer(s.as_buffer(), "<u4"), np.frombuffer(t.as_buffer(), "<u4")
-            shared = int((t[np.minimum(np.searchsorted(t, s), t.size - 1)] == s).sum())
-            keep.append(100 * shared >= PERCENT * (m + n - shared))
+        keep = list(map(similar, *(column[c].to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))))
         return pa.RecordBatch.from_arrays([column["a"], column["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return arrow_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b"), test, "a long, b long")
@@ -137,78 +139,95 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _rest(batch, top: int):
-    """Of packed buckets (key, slot, side, node, label, n, sign, shingles): untested pairs of different classes."""
-    key, slot, side, node, label, size = (batch.column(c).to_numpy() for c in ("key", "slot", "side", "node", "label", "n"))
+def _pairs(key: np.ndarray, slot: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, signs: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of different classes, one of each side of a bucket, that are close, and how far they are.
+
+    A pair counts in the first bucket it shares only. Sizes must allow the similarity.
+    """
     order = np.lexsort((side, slot, key))
-    cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(slot[order]) != 0)) + 1
-    signs = np.stack([np.frombuffer(s, "<u2") for s in batch.column("sign").to_pylist()])
-    small = [(np.frombuffer(s, "<u4") >> np.uint32(16)).astype(np.uint16) for s in batch.column("shingles").to_pylist()]
-    flags, out = np.zeros(1 << 16, bool), []
-    for own in np.split(order, cuts):
-        left, right = own[side[own] == 0], own[side[own] == 1]
-        if not left.size or not right.size:
+    new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(slot[order]) != 0)])
+    start = np.flatnonzero(new)
+    end, group = np.append(start[1:], order.size), np.cumsum(new) - 1
+    lefts = np.add.reduceat((side[order] == 0).astype(np.int64), start)
+    left = np.flatnonzero(side[order] == 0)
+    first, count = (start + lefts)[group[left]], (end - start - lefts)[group[left]]
+    keys, out, parts = entries(signs), [], np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1 << 18))
+    for low, high in zip(parts, [*parts[1:], left.size], strict=True):
+        c = count[low:high]
+        if not c.sum():
             continue
-        keys_right = entries(signs[right])
-        for i in left:
-            other = right[label[right] != label[i]]
-            if not other.size:
-                continue
-            near = (signs[other] != signs[i]).sum(1) <= DIFFER
-            near &= 100 * np.minimum(size[other], size[i]) >= PERCENT * np.maximum(size[other], size[i])
-            other = other[near]
-            if not other.size:
-                continue
-            shared = keys_right[label[right] != label[i]][near] == entries(signs[i:i + 1])
-            first = np.take_along_axis(keys_right[label[right] != label[i]][near], shared.argmax(1)[:, None], 1)[:, 0]
-            other = other[first.view(np.int64) == key[i]]
-            if not other.size:
-                continue
-            flags[small[i]] = True
-            most = np.array([int(flags[small[j]].sum()) for j in other])
-            flags[small[i]] = False
-            bound = most / np.maximum(1, size[i] + size[other] - most)
-            good = 100 * most >= PERCENT * (size[i] + size[other] - most)
-            other, bound = other[good], bound[good]
-            for c in np.unique(label[other]):
-                mine = np.flatnonzero(label[other] == c)
-                best = mine[np.argsort(-bound[mine], kind="stable")[:top]]
-                out += [(node[i], node[j], label[i], c, bool(mine.size > top)) for j in other[best]]
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)],
-                    names=["a", "b", "label_a", "label_b", "more"])
+        at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        i, j = order[np.repeat(left[low:high], c)], order[np.repeat(first[low:high], c) + at]
+        able = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        i, j = i[able], j[able]
+        far = (signs[i] != signs[j]).sum(1)
+        i, j, far = i[far <= DIFFER], j[far <= DIFFER], far[far <= DIFFER]
+        shared = (keys[i] == keys[j]).argmax(1)
+        here = np.take_along_axis(keys[i], shared[:, None], 1)[:, 0].view(np.int64) == key[i]
+        out.append((i[here], j[here], far[here]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    signs = np.stack([np.frombuffer(s, "<u2") for s in table.column("sign").to_pylist()])
+    return _pairs(*(table.column(c).to_numpy() for c in ("key", "slot", "side", "label", "n")), signs)
+
+
+def _close_rows(table: pa.Table) -> pa.Table:
+    """The rows of packed buckets that are in a close pair."""
+    i, j, _ = _pairs_of(table)
+    return table.select(["key", "slot", "side", "node", "label", "n", "sign"]).take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
+def _new_links(table: pa.Table) -> pa.Table:
+    """Confirmed pairs (a, b) of different classes: one at least of each node with each class it has a link to in its bucket."""
+    i, j, far = _pairs_of(table)
+    node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+    sets, out, done = table.column("shingles").to_pylist(), [], set()
+    for k in np.lexsort((far, i)):
+        a, b = int(i[k]), int(j[k])
+        if (a, label[b]) not in done and similar(n[a], n[b], sets[a], sets[b]):
+            done.add((a, label[b]))
+            out.append((node[a], node[b]))
+    columns = list(zip(*out, strict=True)) or [[]] * 2
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, top: int) -> DataFrame:
-    """(a, b, label_a, label_b, more): pairs of different classes that pass every test short of the full sets."""
+def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between different classes, enough to join all classes that a link joins.
+
+    Only nodes that are close to one of another class bring their sets.
+    """
     held = _labelled(members, labels)
     of_class = held.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed_keys = of_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("c").alias("total"),
                                              F.max(F.struct("c", "label")).alias("most")).filter("classes > 1")
     mixed_keys = mixed_keys.select("key", "total", F.col("most.label").alias("major"), (F.col("total") - F.col("most.c")).alias("few"))
-    rows = held.join(mixed_keys, "key")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     deal = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30))
-    rows = rows.withColumn("all", blocks("total")).withColumn("minor", blocks("few"))
+    rows = held.join(mixed_keys, "key").withColumn("all", blocks("total")).withColumn("minor", blocks("few"))
     right = rows.withColumn("i", F.pmod(deal, F.col("all"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("minor") - 1)))
     left = rows.filter("label != major").withColumn("j", F.pmod(deal, F.col("minor"))).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-    dealt = right.withColumn("side", F.lit(1)).unionByName(left.withColumn("side", F.lit(0))).select(
-        "key", (F.col("i") * F.col("minor") + F.col("j")).cast("long").alias("slot"), "side", "node", "label")
-    dealt = stored(dealt)
-    packs = max(1, dealt.count() // 4096)
-    full = dealt.join(nodes.select("node", "sign"), "node").join(sets, "node").withColumn(
-        "pack", F.pmod(F.xxhash64("key", "slot"), F.lit(packs)))
-    return full.groupBy("pack").applyInArrow(lambda table: _rest(table, top),
-                                             "a long, b long, label_a long, label_b long, more boolean")
+    dealt = stored(right.withColumn("side", F.lit(1)).unionByName(left.withColumn("side", F.lit(0))).select(
+        "key", (F.col("i") * F.col("minor") + F.col("j")).cast("long").alias("slot"), "side", "node", "label"))
+    kind = "key long, slot long, side int, node long, label long, n long, sign binary"
+    close = stored(_packed(dealt.join(nodes.select("node", "n", "sign"), "node"), dealt.count()).applyInArrow(_close_rows, kind))
+    return _packed(close.join(sets.select("node", "shingles"), "node"), close.count()).applyInArrow(_new_links, "a long, b long")
+
+
+def _packed(rows: DataFrame, count: int):
+    """Whole buckets in packs of some thousand rows."""
+    return rows.groupBy(F.pmod(F.xxhash64("key", "slot"), F.lit(max(1, count // 4096))).alias("pack"))
 
 
 def classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, label) of the nodes linked with another; ``nodes`` is stored (node, check, doc_id, sign)."""
+    """(node, label) of the nodes linked with another; ``nodes`` is stored (node, check, doc_id, n, sign)."""
     keyed = arrow_rows(nodes.select("node", "sign"), _entered, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     turned = F.col("node").bitwiseXOR(F.xxhash64("key"))  # so that each bucket has a leader of its own
     buckets = keyed.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low != high")
@@ -229,25 +248,9 @@ def classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     stars = arrow_rows(stars.select("node", "leader", "sign", "other"), close, "a long, b long, far long").filter(F.col("far") <= DIFFER)
     stars = stored(stars.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     links = stored(confirmed(stars, sets))
-    tested, labels, top = stars, components(links), 2
-    while True:
-        labels = stored(labels)
-        left = stored(remaining(members, labels, nodes, sets, top))
-        pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-        new = left.withColumn("p", pair("a", "b")).join(tested.select(pair("a", "b").alias("p")).distinct(), "p", "left_anti")
-        some = W.partitionBy(pair("label_a", "label_b")).orderBy("a", "b")
-        new = stored(new.dropDuplicates(["p"]).withColumn("k", F.row_number().over(some)).filter(F.col("k") <= top).select("a", "b"))
-        if new.isEmpty():
-            if not left.filter("more").isEmpty():
-                top *= 8
-                continue
-            return labels
-        tested = stored(tested.union(new))
-        more = stored(confirmed(new, sets))
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        labels = components(links)
+    labels = stored(components(links))
+    more = stored(remaining(members, labels, nodes, sets))
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs))
     nodes = stored(rows.filter("node is not null").groupBy("node", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.min("sign").alias("sign")))
+        F.min("doc_id").alias("doc_id"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")))
     labels = classes(nodes, docs)
     of_node = nodes.join(labels, "node", "left").select("node", "check", "doc_id", F.coalesce("label", "node").alias("label"))
     least = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
