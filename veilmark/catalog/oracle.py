@@ -392,17 +392,18 @@ CHAIN: dict[str, str] = {
 }
 
 
-def chained(select: str) -> str:
-    """``select`` on top of the chain; stages it does not reach are not run."""
+def chained(select: str, docs: str = CHAIN["docs"]) -> str:
+    """``select`` on top of the chain over ``docs``; stages it does not reach are not run."""
     reached, todo = set(), [select]
-    names = list(CHAIN)
+    chain = CHAIN | {"docs": docs}
+    names = list(chain)
     while todo:
         body = todo.pop()
         for name in names:
             if name not in reached and _mentions(body, name):
                 reached.add(name)
-                todo.append(CHAIN[name])
-    parts = [f"{name} AS MATERIALIZED ({CHAIN[name]})" for name in names if name in reached]
+                todo.append(chain[name])
+    parts = [f"{name} AS MATERIALIZED ({chain[name]})" for name in names if name in reached]
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 

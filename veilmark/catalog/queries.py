@@ -268,7 +268,24 @@ def d21(spark, sf):
     return ann.normalize_ner(inputs.annotations(spark, sf).filter(C("source") == "spacy"))
 
 
-@query("d22_chunk_text")
+_CHUNKS = f"""WITH RECURSIVE parts AS (SELECT doc_id, text, regexp_extract_all(text, '[^{oracle.SPACES}]+') AS words,
+      regexp_split_to_array(text, '[^{oracle.SPACES}]+') AS gaps FROM documents WHERE length(text) > {fixed.CHUNK_CHARS}),
+    placed AS (SELECT doc_id, k, words[k + 1] AS word, length(words[k + 1]) AS n,
+      sum(length(words[k + 1]) + 1) OVER before AS pre, sum(length(gaps[k + 1]) + length(words[k + 1])) OVER before AS ends
+      FROM parts, unnest(range(len(words))) AS t(k) WINDOW before AS (PARTITION BY doc_id ORDER BY k)),
+    listed AS (SELECT doc_id, count(*) AS m, list(word ORDER BY k) AS words, list(n ORDER BY k) AS n, list(pre ORDER BY k) AS pre,
+      list(ends ORDER BY k) AS ends FROM placed GROUP BY doc_id),
+    cut AS (SELECT doc_id, 0::BIGINT AS ordinal, 0::BIGINT AS a, coalesce(list_filter(range(m),
+        lambda k: pre[k + 1] - 1 > {fixed.CHUNK_CHARS})[1], m) AS b, m FROM listed
+      UNION ALL SELECT doc_id, ordinal + 1, greatest(a, b - {fixed.CHUNK_OVERLAP_WORDS}), coalesce(list_filter(range(b + 1, l.m),
+        lambda k: pre[k + 1] - 1 - coalesce(pre[greatest(a, b - {fixed.CHUNK_OVERLAP_WORDS})], 0) > {fixed.CHUNK_CHARS})[1], l.m), l.m
+      FROM cut JOIN listed l USING (doc_id) WHERE b < cut.m)
+    SELECT doc_id, ordinal, CASE WHEN a = b THEN 0 ELSE ends[a + 1] - n[a + 1] END::BIGINT AS "start",
+      array_to_string(words[a + 1:b], ' ') AS chunk FROM cut JOIN listed USING (doc_id)
+    UNION ALL SELECT doc_id, 0, 0, text FROM documents WHERE length(text) <= {fixed.CHUNK_CHARS}"""
+
+
+@query("d22_chunk_text", _CHUNKS)
 def d22(spark, sf):
     docs = inputs.table(spark, sf, "documents")
     return exploded(docs, ann.chunk_text(C("text")), "doc_id", element="c").select(
@@ -370,14 +387,14 @@ _ID = ["doc_id", "ordinal", "entity_type"]
 _ID_SQL = "SELECT doc_id, ordinal, entity_type"
 
 
-@query("v1_doc_flags", chained("""SELECT doc_id, bool_or(structured) AS structured, array_to_string(list_sort(list(DISTINCT part)), '|')
+@query("v1_doc_flags", chained("""SELECT doc_id, coalesce(structured, false) AS structured, coalesce(sources, '') AS sources
+    FROM docs LEFT JOIN (SELECT doc_id, bool_or(structured) AS structured, array_to_string(list_sort(list(DISTINCT part)), '|')
     AS sources FROM (SELECT doc_id, structured, unnest(string_split(source, '+')) AS part FROM fused JOIN flags USING (doc_id))
-    GROUP BY doc_id"""))
+    GROUP BY doc_id) USING (doc_id)"""))
 def v1(spark, sf):
     fused = C("detected")["fused"]
     return inputs.detected(spark, sf).select(
-        "doc_id", context.has_structured(fused).alias("structured"), joined(context.active_sources(fused)).alias("sources")
-    ).filter(C("sources") != "")
+        "doc_id", context.has_structured(fused).alias("structured"), joined(context.active_sources(fused)).alias("sources"))
 
 
 @query("v2_context_window", chained(_ID_SQL + ", win AS context_window, left(win, 120) AS shown FROM around"))
@@ -698,10 +715,13 @@ def q3(spark, sf):
                                           C("quasi_id_combinations_found").alias("combinations"))
 
 
-@query("q4_reid_level", chained(_LINKED + " WHERE combinations > 0"))
+@query("q4_reid_level", chained(_LINKED))
 def q4(spark, sf):
     kept = tables.without_subsets(checkpointed(tables.matched_rules(_recalibrated_rows(spark, sf))))
-    return tables.correlation_scores(kept).withColumnRenamed("correlation_score", "correlation")
+    scores = tables.correlation_scores(kept).withColumnRenamed("correlation_score", "correlation")
+    every = inputs.corpus(spark, sf).select("doc_id").join(scores, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("correlation", F.lit(0.0)).alias("correlation"), F.coalesce(
+        "combinations", F.lit(0)).cast("long").alias("combinations"), F.coalesce("reid_level", F.lit("LOW")).alias("reid_level"))
 
 
 _COMBO_LINES = """coalesce((SELECT list('  → ' || array_to_string(combo, ' + ') || ': ' || description ORDER BY rule)
@@ -814,6 +834,7 @@ _NUMBERED = (f"""SELECT value, entity_type, row_number() OVER (PARTITION BY enti
     FROM (SELECT value, first(entity_type ORDER BY doc_id, ordinal, entity_type) AS entity_type,
       first(doc_id ORDER BY doc_id, ordinal, entity_type) AS doc_id, first(ordinal ORDER BY doc_id, ordinal, entity_type)
       AS ordinal FROM ({_VAULT_SPANS}) GROUP BY value)""")
+_FUSED_NUMBERED = _NUMBERED.replace(f"({_VAULT_SPANS})", "fused")
 _PSEUDONYM = ("entity_type || '_PSEUDO_' || CASE WHEN number < 100 THEN lpad(cast(number AS VARCHAR), 3, '0') ELSE "
               f"cast(number AS VARCHAR) END || '_' || {oracle.sha('value', 6)}")
 
@@ -828,17 +849,20 @@ def a12(spark, sf):
     return vault.pseudonym_map(vault.pseudonym_vault(_vault_spans(spark, sf)))
 
 
-_STRATEGIES = "CASE ordinal % 6 WHEN 0 THEN 'MASK' WHEN 1 THEN 'TOKENIZE' WHEN 2 THEN 'REDACT' WHEN 3 THEN 'GENERALIZE' " \
-              "WHEN 4 THEN 'K_ANONYMIZE' ELSE 'OTHER' END"
+_STRATEGIES = "CASE ordinal % 7 WHEN 0 THEN 'MASK' WHEN 1 THEN 'TOKENIZE' WHEN 2 THEN 'REDACT' WHEN 3 THEN 'GENERALIZE' " \
+              "WHEN 4 THEN 'K_ANONYMIZE' WHEN 5 THEN 'PSEUDONYMIZE' ELSE 'OTHER' END"
 
 
 @query("a21_anonymize", chained(f"""SELECT doc_id, ordinal, strategy, CASE strategy WHEN 'TOKENIZE' THEN {oracle.TOKEN}
     WHEN 'REDACT' THEN {oracle.REDACT} WHEN 'GENERALIZE' THEN {oracle.GENERALIZE} WHEN 'K_ANONYMIZE' THEN {oracle.GENERALIZE}
-    ELSE {oracle.MASK} END AS replacement FROM (SELECT *, {_STRATEGIES} AS strategy FROM fused)"""))
+    WHEN 'PSEUDONYMIZE' THEN pseudonym ELSE {oracle.MASK} END AS replacement
+    FROM (SELECT *, {_STRATEGIES} AS strategy FROM fused) JOIN (SELECT value, {_PSEUDONYM} AS pseudonym FROM ({_FUSED_NUMBERED}))
+    USING (value)"""))
 def a21(spark, sf):
-    rows = _fused_rows(spark, sf).withColumn("strategy", F.expr(_STRATEGIES))
-    return rows.select("doc_id", "ordinal", "strategy", anonymize.anonymized_value(
-        C("value"), C("entity_type"), C("strategy")).alias("replacement"))
+    rows = checkpointed(_fused_rows(spark, sf).withColumn("strategy", F.expr(_STRATEGIES)))
+    known = vault.pseudonym_map(vault.pseudonym_vault(rows.select("doc_id", "ordinal", "value", "entity_type")))
+    return rows.join(known, "value", "left").select("doc_id", "ordinal", "strategy", anonymize.anonymized_value(
+        C("value"), C("entity_type"), C("strategy"), C("pseudonym")).alias("replacement"))
 
 
 def _finished(spark: SparkSession, sf: str) -> DataFrame:
@@ -855,7 +879,8 @@ def a22(spark, sf):
 _KEY = bytes(range(32))
 
 
-@query("e1_encrypt_column")
+@query("e1_encrypt_column", "SELECT doc_id, 16::BIGINT AS nonce_length, 4 * ((strlen(text) + 18) // 3) AS sealed_length, "
+       "'AES-256-GCM' AS algorithm, 256::BIGINT AS key_size FROM documents")
 def e1(spark, sf):
     sealed = inputs.table(spark, sf, "documents").select("doc_id", crypto.encrypt_column(C("text"), _KEY).alias("p"))
     return sealed.select("doc_id", F.length("p.nonce").alias("nonce_length"), F.length("p.ciphertext").alias("sealed_length"),
@@ -1087,7 +1112,10 @@ def m11(spark, sf):
 
 # --- whole analyses and streams --------------------------------------------------------------------
 
-@query("p1_analyze_documents")
+@query("p1_analyze_documents", chained("""SELECT cast(doc_id[5:] AS BIGINT) AS document_id, final_score AS risk_score,
+    final_level AS risk_level, n AS entity_count, coalesce(reported, 0) AS reported, anonymized_text, true AS encrypted
+    FROM adjusted JOIN spliced USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS reported FROM entities GROUP BY doc_id)
+    USING (doc_id) WHERE starts_with(doc_id, 'doc-')"""))
 def p1(spark, sf):
     docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
     found = analyze.analyze_documents(analyze.spread(docs), analyze.Options(encryption_key=_KEY))
@@ -1108,7 +1136,13 @@ def p2(spark, sf):
     return shown.unionByName(refusals)
 
 
-@query("p3_analyze_table")
+_CUSTOMER_TEXT = " || ' | ' || ".join(
+    f"'{c}: ' || cast({c} AS VARCHAR)" for c in ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+@query("p3_analyze_table", chained("""SELECT cast(doc_id AS BIGINT) AS document_id, n AS entity_count, final_score AS risk_score,
+    anonymized_text FROM adjusted JOIN spliced USING (doc_id)""",
+    f"SELECT cast(c_custkey AS VARCHAR) AS doc_id, {_CUSTOMER_TEXT} AS text FROM customer"))
 def p3(spark, sf):
     found = analyze.analyze_table(analyze.spread(inputs.table(spark, sf, "customer")), "c_custkey")
     return found.select("document_id", "risk_analysis.entity_count", "risk_analysis.risk_score", "anonymized_text")

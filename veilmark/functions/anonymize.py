@@ -77,11 +77,22 @@ def generalize_date(value: Column) -> Column:
 
 
 def generalize_age(value: Column) -> Column:
-    """Five-year band."""
-    age = F.try_to_number(ascii_digits(digits_only(value)), F.lit("9" * 38))
-    return let(age, lambda a: F.when(a.isNull(), F.lit("[AGE_RANGE]")).otherwise(let(
-        (a - a % 5).cast("decimal(38,0)"),
-        lambda low: F.concat(low.cast("string"), F.lit("-"), (low + 5).cast("decimal(38,0)").cast("string")))))
+    """Five-year band, of a number of any length."""
+    digits = F.regexp_replace(ascii_digits(digits_only(value)), "^0+(?=[0-9])", "")
+
+    def next_ten(tens: Column) -> Column:
+        nines = F.length(F.regexp_extract(tens, "9*\\z", 0))
+        raised = F.left(tens, F.length(tens) - nines)
+        last = (F.right(raised, F.lit(1)).cast("int") + 1).cast("string")
+        return F.concat(F.when(raised == "", F.lit("1")).otherwise(F.concat(F.left(raised, F.length(raised) - 1), last)),
+                        F.repeat(F.lit("0"), nines))
+
+    def band(d: Column) -> Column:
+        tens = F.left(d, F.length(d) - 1)
+        return F.when(F.right(d, F.lit(1)) < "5", F.concat(tens, F.lit("0-"), tens, F.lit("5"))).otherwise(
+            F.concat(tens, F.lit("5-"), next_ten(tens), F.lit("0")))
+
+    return let(digits, lambda d: F.when(d == "", F.lit("[AGE_RANGE]")).otherwise(band(d)))
 
 
 def generalize_pincode(value: Column) -> Column:
@@ -119,15 +130,15 @@ def k_anonymize(value: Column, entity_type: Column) -> Column:
     return generalize(value, entity_type)
 
 
-def anonymized_value(value: Column, entity_type: Column, strategy: Column, token: Column | None = None,
-                     pseudonym_value: Column | None = None) -> Column:
+def anonymized_value(value: Column, entity_type: Column, strategy: Column, pseudonym_value: Column,
+                     token: Column | None = None) -> Column:
     """Replacement by strategy; null and unknown strategies mask.
 
-    ``token`` and ``pseudonym_value`` carry vault lookups; without a pseudonym
-    vault PSEUDONYMIZE has no counter to draw from and yields null.
+    ``pseudonym_value`` and ``token`` carry vault lookups. A pseudonym needs a number
+    from a vault or from its document, so there is no default; a value the vault lacks is redacted.
     """
     tokens = tokenize(value, entity_type) if token is None else token
-    pseudonyms = F.lit(None).cast("string") if pseudonym_value is None else pseudonym_value
+    pseudonyms = F.coalesce(pseudonym_value, redact(entity_type))
     return (F.when(strategy == "TOKENIZE", tokens).when(strategy == "REDACT", redact(entity_type))
             .when(strategy == "PSEUDONYMIZE", pseudonyms)
             .when(strategy.isin("GENERALIZE", "K_ANONYMIZE"), generalize(value, entity_type))
@@ -179,8 +190,8 @@ def anonymize_entities(spans: Column) -> Column:
 
     def replaced(f: Column) -> Column:
         return F.transform(f["spans"], lambda d: d.withField("anonymized_value", anonymized_value(
-            d["value"], d["entity_type"], d["anonymization_strategy"], F.element_at(f["tokens"], d["value"]),
-            F.element_at(f["pseudonyms"], d["value"]))).withField(
+            d["value"], d["entity_type"], d["anonymization_strategy"], F.element_at(f["pseudonyms"], d["value"]),
+            F.element_at(f["tokens"], d["value"]))).withField(
             "strategy_applied", F.coalesce(d["anonymization_strategy"], F.lit("MASK"))))
 
     return let(spans, lambda s: let(facts(s), replaced))

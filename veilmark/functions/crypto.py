@@ -16,6 +16,11 @@ def _key(key: bytes | bytearray) -> Column:
     return F.lit(bytearray(key))
 
 
+def _base64(data: Column) -> Column:
+    """Base64 on one line; the built-in breaks lines after 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def encrypt_column(text: Column, key: bytes) -> Column:
     """``struct<ciphertext, nonce, algorithm, key_size>`` with a fresh nonce per row.
 
@@ -24,8 +29,8 @@ def encrypt_column(text: Column, key: bytes) -> Column:
     """
     sealed = F.aes_encrypt(text.cast("binary"), _key(key), F.lit("GCM"))
     return F.when(text.isNotNull(), let(sealed, lambda s: F.struct(
-        F.base64(F.substring(s, F.lit(NONCE_BYTES + 1), F.length(s))).alias("ciphertext"),
-        F.base64(F.substring(s, F.lit(1), F.lit(NONCE_BYTES))).alias("nonce"),
+        _base64(F.substring(s, F.lit(NONCE_BYTES + 1), F.length(s))).alias("ciphertext"),
+        _base64(F.substring(s, F.lit(1), F.lit(NONCE_BYTES))).alias("nonce"),
         F.lit(ALGORITHM).alias("algorithm"), F.lit(KEY_BYTES * 8).alias("key_size"))))
 
 

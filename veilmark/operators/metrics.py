@@ -90,26 +90,28 @@ def audit_projection(log: DataFrame) -> DataFrame:
     return log.select("timestamp", "document_id", "document_name", "risk_level", "risk_score", "entity_count")
 
 
-def validated_types(results: DataFrame) -> DataFrame:
+def validated_types(results: DataFrame, *keep: str) -> DataFrame:
     """Types of each document that were accepted with enough confidence; also for empty documents."""
     good = F.filter(F.col("entities"), lambda e: (e["sensitivity_level"] != "IGNORED")
                     & (e["confidence"] >= fixed.RETHRESHOLD))
-    return results.select("document_id", F.array_sort(F.array_distinct(
+    return results.select("document_id", *keep, F.array_sort(F.array_distinct(
         F.transform(good, lambda e: e["entity_type"]))).alias("types"))
 
 
 def check_expectations(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """Pass flag per case: wanted types found, unwanted ones not, wanted text in the output."""
-    joined = cases.join(
-        validated_types(results).join(results.select("document_id", "anonymized_text"), "document_id")
-        .withColumnRenamed("document_id", "case_id"), "case_id")
+    """Pass flag per case: wanted types found, unwanted ones not, wanted text in the output.
+
+    A case whose document has no result fails.
+    """
+    found = validated_types(results, "anonymized_text").withColumnRenamed("document_id", "case_id")
+    joined = cases.join(found, "case_id", "left")
     wanted = F.coalesce("should_detect", F.array().cast("array<string>"))
     unwanted = F.coalesce("should_reject", F.array().cast("array<string>"))
     text = F.col("check_anonymized_contains")
     passed = ((F.size(F.array_except(wanted, F.col("types"))) == 0)
               & (F.size(F.array_intersect(unwanted, F.col("types"))) == 0)
               & (text.isNull() | F.contains(F.col("anonymized_text"), text)))
-    return joined.select("case_id", "description", passed.alias("passed"))
+    return joined.select("case_id", "description", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def pass_counts(checked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,9 +44,17 @@ def quarantined_files(routed: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """File names and sizes; the content column is pruned and never read."""
+    """File names and sizes; the content column is pruned and never read.
+
+    Scans leave out files without bytes; those are added from the scan's own listing.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return listing.select("path", "length", "modificationTime")
+    named = spark.createDataFrame([(unquote(f),) for f in listing.inputFiles()], "path string")
+    full = listing.select("path", "length", "modificationTime")
+    bare = F.regexp_replace("path", "^file:/+", "file:/")
+    empty = named.select(bare.alias("path")).join(full.select(bare.alias("path")), "path", "left_anti")
+    return full.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"),
+                                         F.lit(None).cast("timestamp").alias("modificationTime")))
 
 
 def document_name(path: Column) -> Column:
@@ -77,7 +86,7 @@ def _as_documents(files: DataFrame, text: Column, document_type: str) -> DataFra
         F.create_map(F.lit("source"), F.col("path")).alias("metadata"))
 
 
-def read_text_docs(spark: SparkSession, path: str, max_bytes: int | None = fixed.MAX_FILE_BYTES,
+def read_text_docs(spark: SparkSession, path: str, max_bytes: int | None = None,
                    universal_newlines: bool = True) -> DataFrame:
     """Every ``.txt`` file as one document; line ends become ``\\n`` as in text-mode reading."""
     text = bytes_to_text(F.col("content"))
@@ -107,7 +116,7 @@ def _csv_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "columns": [str(len(table.columns))]})
 
 
-def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = fixed.MAX_FILE_BYTES) -> DataFrame:
+def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Every ``.csv`` file as one document, whatever its columns.
 
     Files differ in their header, so each (size-gated) file is parsed in its own

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 
 SEGMENT_PARTS = 1024
-# No 10 MiB file has more lines than this, so splitting never touches a document
-# that could have come in as one file.
-VOLUME_PARTS = 8 * 1024 * 1024
 
 
 def rows_to_text(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -32,28 +29,25 @@ def drop_blank_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.filter(~is_blank(F.col("text")))
 
 
-def assemble_document(parts: DataFrame, volume_parts: int = VOLUME_PARTS) -> DataFrame:
+def assemble_document(parts: DataFrame) -> DataFrame:
     """Join the parts of each document with newlines, table rows after everything else.
 
     Input ``(doc_id, ordinal, text[, kind])``. Parts are first joined in segments
     of neighbouring ordinals, so a document with very many parts is put together
-    by many tasks and only its segments meet. A document whose ordinals exceed
-    ``volume_parts`` comes out as several rows, numbered by ``volume``: past that
-    point one string could not hold it.
+    by many tasks and only its segments meet.
     """
     late = F.col("kind") == "table_row" if "kind" in parts.columns else F.lit(False)
     placed = parts.select(
         "doc_id", F.when(late, 1).otherwise(0).alias("late"), "ordinal", "text",
-        F.floor(F.col("ordinal") / SEGMENT_PARTS).alias("segment"),
-        F.floor(F.col("ordinal") / volume_parts).alias("volume"))
+        F.floor(F.col("ordinal") / SEGMENT_PARTS).alias("segment"))
 
     def joined(order: str) -> Column:
         pieces = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("text"))))
         return F.array_join(F.transform(pieces, lambda p: p["text"]), "\n")
 
-    segments = placed.groupBy("doc_id", "late", "volume", "segment").agg(joined("ordinal").alias("text"))
+    segments = placed.groupBy("doc_id", "late", "segment").agg(joined("ordinal").alias("text"))
     ordered = segments.withColumn("place", F.struct("late", "segment"))
-    return ordered.groupBy("doc_id", "volume").agg(joined("place").alias("text"))
+    return ordered.groupBy("doc_id").agg(joined("place").alias("text"))
 
 
 def document_stats(parts: DataFrame) -> DataFrame:
