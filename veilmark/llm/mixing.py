@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import read, salted_rank, stored
 
-MOST, WEIGHTS, SEED, CAPACITY = 3, (1, 2, 3), 7, 1 << 16
+MOST, WEIGHTS, SEED, CAPACITY = 3, (1, 2, 3), 7, 1 << 15
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,8 +46,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 def fill(counts: dict[int, int], budget: int, capacity: int = CAPACITY) -> dict[int, int]:
     """How many of each length to take, ``counts`` at most, so that their sum comes closest to ``budget`` from below.
 
-    Each length first gives its proportional part rounded down; longest lengths add one each while more than ``capacity`` is
-    left; the rest is a bounded knapsack by dynamic programming over sums up to ``capacity``, a bit set per step.
+    All but ``capacity`` of the budget comes from every length in proportion, rounded down, and from one more of the longest while
+    more than ``capacity`` is left; the rest is a bounded knapsack by dynamic programming over sums up to ``capacity``, a bit set per step.
     """
     counts = {x: n for x, n in counts.items() if x > 0 and n > 0}
     total = sum(x * n for x, n in counts.items())
@@ -55,7 +55,7 @@ def fill(counts: dict[int, int], budget: int, capacity: int = CAPACITY) -> dict[
         return counts
     if budget <= 0:
         return {}
-    take = {x: n * budget // total for x, n in counts.items()}
+    take = {x: n * max(0, budget - capacity) // total for x, n in counts.items()}
     rest = budget - sum(x * n for x, n in take.items())
     for x in sorted(counts, reverse=True):
         if rest - x >= capacity and take[x] < counts[x]:
