@@ -162,6 +162,7 @@ def repeated_cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells that may repeat (k, p, low, high, g, c), and the repeating windows (g, c, low, high) of equal cells."""
     text = docs.select("text")
     twice = arrow_rows(text, _anchor_hashes, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    twice = stored(twice)  # so that a join with it can split an anchor string that a large part of the corpus has
     cells = arrow_rows(docs.select(_key(), "text"), _cells, "k long, p long, low short, high short, g long, c long")
     cells = stored(cells.join(twice, "g", "left_semi"))
     kinds = stored(cells.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "p", "low", "high")).alias("at")))
@@ -176,9 +177,10 @@ def repeated_cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packs = max(1, few.count() // TOGETHER)
     searched = few.withColumn("pack", F.pmod(F.xxhash64("g"), F.lit(packs))).groupBy("pack").applyInArrow(
         _search, "g long, c long, low short, high short")
-    many = edges.filter(F.col("m") > TOGETHER).select("g", "c", "n", "low", "high", "bytes")
+    many = edges.filter(F.col("m") > TOGETHER).select("g", "c", "n", "low", "high", "bytes").repartition("g", "c")
     hashed = arrow_rows(many, _hashed, "g long, c long, n long, low short, h array<long>").select(
         "g", "c", "n", "low", F.posexplode("h").alias("i", "h"))
+    hashed = stored(hashed)
     seen = hashed.groupBy("g", "h").agg(F.count("*").alias("s")).filter("s > 1").select("g", "h")
     offset = (F.col("low") + F.col("i")).cast("short")
     counted = hashed.filter("n = 1").join(seen, ["g", "h"], "left_semi").select("g", "c", offset.alias("low"), offset.alias("high"))
