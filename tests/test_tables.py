@@ -22,17 +22,33 @@ def test_files_are_routed_read_and_refused(spark, tmp_path):
     (tmp_path / "d.csv").write_text("name,mail\nAnn,ann@x.org\n")
     (tmp_path / "e.pdf").write_bytes(b"%PDF")
     (tmp_path / "f.exe").write_bytes(b"MZ")
+    (tmp_path / "g.txt").write_bytes(b"")
+    (tmp_path / "h.csv").write_text("a,b\n1,2,3\n")
+    (tmp_path / "i.csv").write_bytes(b"a,b\n\xff,2\n")
+    (tmp_path / "j.csv").write_text('a,b\n1,"2\n')
+    (tmp_path / "k.csv").write_text('a,a,\n"say ""hi""",2,\n\n"",,"x, y"\n')
     texts = {r.document_name: r for r in files.read_text_docs(spark, str(tmp_path)).collect()}
     assert texts["a.txt"].text == "Call me at 9876543210\nbad � byte\nend"
     sheets = {r.document_name: r for r in files.read_csv_docs(spark, str(tmp_path)).collect()}
     assert sheets["c.csv"].text == "id: 1 | note: two\nlines\nid: 2\nid: 3"
     assert (sheets["c.csv"].metadata["row_count"], sheets["d.csv"].metadata["col_count"]) == ("3", "2")
+    assert sheets["k.csv"].text == 'a: say "hi" | a.1: 2\nUnnamed: 2: x, y'
     found, refused = analyze_files(spark, str(tmp_path))
-    assert {r.document_name: r.risk_analysis.entity_count for r in found.collect()} == {"a.txt": 1, "c.csv": 0, "d.csv": 1}
+    counts = {r.document_name: r.n for r in found.select("document_name", "risk_analysis.entity_count").withColumnRenamed("entity_count", "n").collect()}
+    assert counts == {"a.txt": 1, "c.csv": 0, "d.csv": 1, "k.csv": 0}
     reasons = {files_name(r.path): r.refusal for r in refused.collect()}
-    assert reasons == {"e.pdf": "text must be supplied as parts", "f.exe": "unsupported type"}
+    assert reasons == {
+        "B.TXT": "no text", "e.pdf": "text must be supplied as parts", "f.exe": "unsupported type", "g.txt": "empty file",
+        "h.csv": "more fields than names", "i.csv": "not UTF-8", "j.csv": "quote without end"}
     small = files.size_gate(files.route_by_type(files.list_files(spark, str(tmp_path))), max_bytes=10)
-    assert {files_name(r.path) for r in files.accepted_files(small).collect()} == {"B.TXT", "e.pdf"}
+    assert {files_name(r.path) for r in files.accepted_files(small).collect()} == {
+        "B.TXT", "e.pdf", "g.txt", "h.csv", "i.csv", "j.csv"}
+
+
+def test_large_files_are_read_by_default(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("word " * 2_300_000)
+    assert files.read_text_docs(spark, str(tmp_path)).select(F.length("text").alias("n")).first().n == 11_500_000
+    assert files.read_text_docs(spark, str(tmp_path), max_bytes=100).count() == 0
 
 
 def files_name(path):
@@ -41,7 +57,7 @@ def files_name(path):
 
 def test_csv_rows_stay_strings(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,b\n007,"say ""hi"""\n,NA\n')
-    rows = files.read_csv_rows(spark, str(tmp_path / "x.csv"))
+    rows = files.read_csv_rows(spark, str(tmp_path / "x.csv"), multiline=True)
     assert [tuple(r) for r in rows.collect()] == [("007", 'say "hi"'), ("", "NA")]
     assert [r[0] for r in rows.select(parts.rows_to_text(rows)).collect()] == ['a: 007 | b: say "hi"', "b: NA"]
 

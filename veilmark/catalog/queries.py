@@ -1123,17 +1123,45 @@ def p1(spark, sf):
                         "risk_analysis.entity_count", F.size("entities").alias("reported"), "anonymized_text", "encrypted")
 
 
-@query("p2_analyze_files")
-def p2(spark, sf):
+def _mixed_files(spark: SparkSession, sf: str) -> str:
+    """A folder with a text for each supplier, a sheet for each nation's customers, and files of every kind that is refused."""
     folder = _folder(spark)
     inputs.texts(spark, sf, "fin").withColumn("name", C("doc_id")).select("name", "text").write.partitionBy(
         "name").text(folder + "/in/txt")
-    inputs.table(spark, sf, "customer").write.option("header", True).csv(folder + "/in/csv")
-    found, refused = analyze.analyze_files(spark, folder + "/in")
-    shown = found.select("document_type", "cleaned_length", "risk_analysis.entity_count", "risk_analysis.risk_level")
-    refusals = refused.groupBy("document_type").count().select(
-        "document_type", F.lit(0).alias("cleaned_length"), C("count").alias("entity_count"), F.lit("REFUSED").alias("risk_level"))
-    return shown.unionByName(refusals)
+    customers = inputs.table(spark, sf, "customer").select(
+        C("c_nationkey").alias("nation"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    customers.repartition("nation").sortWithinPartitions("nation", "c_custkey").write.partitionBy("nation").option(
+        "header", True).csv(folder + "/in/csv")
+    nations = inputs.table(spark, sf, "nation").select(C("n_nationkey").alias("name"), F.lit("  ").alias("text"))
+    nations.write.partitionBy("name").text(folder + "/in/blank")
+    regions = inputs.table(spark, sf, "region").select(C("r_regionkey").alias("name"), F.explode(
+        F.array(F.lit("a,b"), F.concat(F.lit("1,2,"), C("r_name")))).alias("line"))
+    regions.repartition("name").sortWithinPartitions("name").write.partitionBy("name").option("sep", "|").csv(folder + "/in/ragged")
+    regions.repartition("name").write.partitionBy("name").parquet(folder + "/in/other")
+    return folder + "/in"
+
+
+_SHEET = " || ' | ' || ".join(f"'{c}: ' || cast({c} AS VARCHAR)" for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+
+
+@query("p2_analyze_files", chained("""SELECT doc_id AS name, length(t) AS cleaned_length, n AS entity_count, final_level AS
+    risk_level, anonymized_text FROM adjusted JOIN clean USING (doc_id) JOIN spliced USING (doc_id)""",
+    f"""SELECT {_FIN[1]} AS doc_id, {_FIN[2]} AS text FROM supplier UNION ALL SELECT 'nation-' || c_nationkey,
+    string_agg({_SHEET}, chr(10) ORDER BY c_custkey) FROM customer GROUP BY c_nationkey"""))
+def p2(spark, sf):
+    found, _ = analyze.analyze_files(spark, _mixed_files(spark, sf))
+    source = C("metadata")["source"]
+    name = F.when(C("document_type") == "csv", F.concat(F.lit("nation-"), F.regexp_extract(source, "nation=([^/]+)/", 1))).otherwise(
+        F.regexp_extract(source, "name=([^/]+)/", 1))
+    return found.select(name.alias("name"), "cleaned_length", "risk_analysis.entity_count", "risk_analysis.risk_level",
+                        "anonymized_text")
+
+
+@query("p2_refused_files", """SELECT 'csv' AS document_type, 'more fields than names' AS refusal, count(*) AS files FROM region
+    UNION ALL SELECT 'parquet', 'unsupported type', count(*) FROM region UNION ALL SELECT 'txt', 'no text', count(*) FROM nation""")
+def p2_refused(spark, sf):
+    _, refused = analyze.analyze_files(spark, _mixed_files(spark, sf))
+    return refused.groupBy("document_type", "refusal").agg(F.count("*").alias("files"))
 
 
 _CUSTOMER_TEXT = " || ' | ' || ".join(

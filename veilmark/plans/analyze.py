@@ -11,7 +11,8 @@ from ..functions import anonymize, clean, confidence, context, crypto, detect, f
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
 from ..functions.text import exact_round, let, saved_column, with_once
-from ..sources.files import list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs
+from ..sources.files import (list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs,
+                             unreadable_files)
 from ..sources.files import route_by_type, size_gate
 from ..sources.parts import rows_to_text
 
@@ -259,15 +260,19 @@ def analyze_table(df: DataFrame, key: str, options: Options = Options()) -> Data
                                        F.lit("csv").alias("document_type")), options)
 
 
-def analyze_files(spark: SparkSession, path: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def analyze_files(spark: SparkSession, path: str, options: Options = Options(),
+                  max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Analyze the text and CSV files under ``path``; returns ``(results, refused files)``.
 
-    Types whose decoding is left to other tools come back as refused; their
+    Every file is in one of the two. Types whose decoding is left to other tools come back as refused; their
     pages or paragraphs enter through :func:`veilmark.sources.parts.assemble_document`.
     """
-    docs = reject_blank_docs(read_text_docs(spark, path).unionByName(read_csv_docs(spark, path)))
-    routed = size_gate(route_by_type(list_files(spark, path)))
+    docs = reject_blank_docs(read_text_docs(spark, path, max_bytes).unionByName(read_csv_docs(spark, path, max_bytes)))
+    routed = route_by_type(list_files(spark, path))
+    routed = routed if max_bytes is None else size_gate(routed, max_bytes)
     undecoded = ~F.col("document_type").isin("txt", "csv")
-    refused = quarantined_files(routed.withColumn("refusal", F.coalesce(
-        F.col("refusal"), F.when(undecoded, F.lit("text must be supplied as parts")))))
-    return analyze_documents(docs, options), refused
+    routed = routed.withColumn("refusal", F.coalesce(
+        "refusal", F.when(undecoded, "text must be supplied as parts"), F.when(F.col("length") == 0, "empty file")))
+    reasons = unreadable_files(spark, path, max_bytes)
+    refused = routed.join(reasons, "path", "left").withColumn("refusal", F.coalesce("refusal", "reason")).drop("reason")
+    return analyze_documents(docs, options), quarantined_files(refused)

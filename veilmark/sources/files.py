@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import is_blank
+from ..functions.text import is_blank, let, with_once
 
 
 def file_suffix(path: Column) -> Column:
@@ -95,35 +92,72 @@ def read_text_docs(spark: SparkSession, path: str, max_bytes: int | None = None,
     return _as_documents(_read_bytes(spark, path, "txt", max_bytes), text, "txt")
 
 
-def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with a header as all-string rows; empty cells are ``""``, never null.
 
-    ``multiline=False`` lets Spark split large files; quoted line breaks then end a row.
+    Large files are split among tasks, and a quoted line break ends a row; ``multiline=True`` reads
+    such breaks, with one task for each file.
     """
     rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', emptyValue="",
                           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
-def _csv_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One ``(path, text, rows, columns)`` row per CSV file."""
-    for files in batches:
-        for path, content in zip(files["path"], files["content"]):
-            table = pd.read_csv(io.BytesIO(content), dtype=str, keep_default_na=False)
-            cells = [table[c].map(lambda v, c=c: f"{c}: {v}" if v.strip() else None) for c in table.columns]
-            lines = [" | ".join(v for v in row if v is not None) for row in zip(*cells)]
-            yield pd.DataFrame({"path": [path], "text": ["\n".join(lines)], "rows": [str(len(table))],
-                                "columns": [str(len(table.columns))]})
+_RECORD, _FIELD = "\ufdd0", "\ufdd1"  # noncharacters that stand for the line ends and commas outside quotes
+
+
+def _csv_records(text: Column) -> Column:
+    """Records of a CSV text as arrays of fields.
+
+    Between quotes every second piece is quoted; an empty piece outside them, between two quoted ones, is a doubled quote.
+    """
+    def joined(pieces: Column) -> Column:
+        def outside(piece: Column) -> Column:
+            return F.translate(F.regexp_replace(piece, "\r\n?", "\n"), "\n,", _RECORD + _FIELD)
+
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when(
+            (p == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit('"')).otherwise(outside(p))), "")
+
+    whole = let(F.split(text, '"', -1), joined)
+    return F.transform(F.filter(F.split(whole, _RECORD, -1), lambda r: r != ""), lambda r: F.split(r, _FIELD, -1))
+
+
+def _csv_names(header: Column) -> Column:
+    """Column names, told apart where they repeat or are empty."""
+    named = F.transform(header, lambda n, i: F.when(n == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(n))
+    return let(named, lambda names: F.transform(names, lambda n, i: let(
+        F.size(F.filter(F.slice(names, 1, i), lambda x: x == n)),
+        lambda k: F.when(k > 0, F.concat_ws(".", n, k.cast("string"))).otherwise(n))))
+
+
+def csv_texts(files: DataFrame) -> DataFrame:
+    """``(path, text, rows, columns, problem)`` per file of ``(path, content)``; text is null where there is a problem."""
+    text = F.col("content").cast("string")
+    files = files.select("path", F.is_valid_utf8(text).alias("valid"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
+    read = with_once(files, "records", F.when(
+        F.col("valid") & (F.size(F.split("text", '"', -1)) % 2 == 1), _csv_records(F.col("text"))))
+    header, body = F.get("records", F.lit(0)), F.slice("records", 2, F.greatest(F.size("records") - 1, F.lit(0)))
+    ragged = F.exists(body, lambda r: F.size(r) > F.size(header))
+    problem = (F.when(~F.col("valid"), "not UTF-8").when(F.col("records").isNull(), "quote without end")
+               .when(F.size("records") == 0, "no header").when(ragged, "more fields than names"))
+
+    def line(record: Column, names: Column) -> Column:
+        cells = F.zip_with(F.slice(names, 1, F.size(record)), record, lambda n, v: F.when(
+            ~is_blank(v), F.concat(n, F.lit(": "), v)))
+        return F.array_join(F.filter(cells, lambda c: c.isNotNull()), " | ")
+
+    lines = let(_csv_names(header), lambda names: F.array_join(F.transform(body, lambda r: line(r, names)), "\n"))
+    return with_once(read, "problem", problem).select(
+        "path", F.when(F.col("problem").isNull(), lines).alias("text"), F.size(body).cast("string").alias("rows"),
+        F.size(header).cast("string").alias("columns"), "problem")
 
 
 def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Every ``.csv`` file as one document, whatever its columns.
+    """Every readable ``.csv`` file as one document, whatever its columns; :func:`csv_texts` tells of the others.
 
-    Files differ in their header, so each (size-gated) file is parsed in its own
-    task; a file's lines never leave it, so no shuffle is needed to join them.
+    A file's lines never leave it, so no shuffle is needed to join them.
     """
-    files = _read_bytes(spark, path, "csv", max_bytes).select("path", "content")
-    texts = files.mapInPandas(_csv_texts, "path string, text string, rows string, columns string")
+    texts = csv_texts(_read_bytes(spark, path, "csv", max_bytes).select("path", "content")).filter(F.col("problem").isNull())
     return texts.select(
         document_id(F.col("path"), F.col("text")).alias("doc_id"), document_name(F.col("path")).alias("document_name"),
         F.lit("csv").alias("document_type"), "text", F.create_map(
@@ -131,5 +165,14 @@ def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = None)
             F.lit("col_count"), F.col("columns")).alias("metadata"))
 
 
+def unreadable_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """``(path, reason)`` of text and CSV files without a text to analyze."""
+    texts = read_text_docs(spark, path, max_bytes).select(F.col("metadata")["source"].alias("path"), "text",
+                                                          F.lit(None).cast("string").alias("problem"))
+    sheets = csv_texts(_read_bytes(spark, path, "csv", max_bytes).select("path", "content")).select("path", "text", "problem")
+    reason = F.coalesce("problem", F.when(is_blank(F.col("text")), "no text"))
+    return texts.unionByName(sheets).select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def reject_blank_docs(docs: DataFrame) -> DataFrame:
     return docs.filter(~is_blank(F.col("text")))
