@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from veilmark.llm.common import arrow_rows, read, salted_rank, stored
 
 LENGTH, SMALL, GROUPS = 2048, 600, (24, 48, 96)
 VOCABULARY = "byte_bpe_50k.json"
-CACHED, END = 400_000, bytes(4)
+CACHED, END = 600_000, bytes(4)
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------------------
@@ -56,26 +57,27 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
+        return [array("I", e.ids).tobytes() for e in got]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, ended by id 0."""
         if len(self.known) > CACHED:
             self.known.clear()
-        known = self.known  # words after a space, by the word alone; None: white space beside a space
+        known = self.known  # words after a space, by the word alone; None: white space beside white space
         split = [(text or "").split(" ") for text in texts]
-        new = [w for w in {w for words in split for w in words[1:] if w not in known}]
-        plain = [w for w in new if not w or not w[0].isspace() and not w[-1].isspace()]
+        heads = [words.pop(0) for words in split]
+        new = set().union(*split).difference(known)
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         known.update(dict.fromkeys(new))
         known.update(zip(plain, self.encode([" " + w for w in plain]), strict=True))
-        heads = self.encode([words[0] for words in split])
-        out: list[bytes | None] = []
-        for words, head in zip(split, heads, strict=True):
-            parts = [known[w] for w in words[1:]]
-            whole = None in parts or words[0] and words[0][-1].isspace() or "" in words[1:]
-            out.append(None if whole else head + b"".join(parts) + END)
-        odd = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(odd, self.encode([texts[i] or "" for i in odd]), strict=True):
+        word, out, odd = known.__getitem__, [], []
+        for i, (words, ids) in enumerate(zip(split, self.encode(heads), strict=True)):
+            parts = [ids, *map(word, words), END]
+            if None in parts or heads[i] and heads[i][-1].isspace():
+                odd.append(i)
+                parts = []
+            out.append(b"".join(parts))
+        for i, ids in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
             out[i] = ids + END
         return out
 
