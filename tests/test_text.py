@@ -56,36 +56,7 @@ def test_foreign_digits(spark):
     assert run(spark, ["٣4५", "x²"], ascii_digits(F.col("text"))) == ["345", "x²"]
 
 
-def python_spans(text):
-    """Greedy detection by brute force, for texts whose matches are all valid by form."""
-    kept = []
-    for name, pattern in fixed.PATTERNS:
-        for m in re.finditer(pattern, text):
-            start, end, value = m.start(), m.end(), m.group()
-            if any(s <= start < e or s < end <= e for _, _, s, e in kept):
-                continue
-            digits = re.sub(r"\D", "", value)
-            if name == "PHONE" and len(digits) < 10:
-                continue
-            if name == "AADHAAR" and (len(digits) != 12 or len(set(digits)) < 3):
-                continue
-            if name == "CREDIT_CARD":
-                total = sum(int(d) * (1 + i % 2) - 9 * (i % 2 and int(d) > 4) for i, d in enumerate(reversed(digits)))
-                if total % 10:
-                    continue
-            if name == "IP_ADDRESS":
-                octets = [int(p) for p in value.split(".")]
-                if max(octets) > 255 or set(octets) <= {0, 255}:
-                    continue
-            if name == "PASSWORD":
-                secret = re.match(r"(?i)(?:password|passwd|pwd)[\s:=]+(\S+)", value).group(1)
-                if not secret.rstrip(":;,.!?"):
-                    continue
-            kept.append((name, value, start, end))
-    return kept
-
-
-def test_spans_match_python_regex(spark):
+def test_spans_obey_the_rules(spark):
     pieces = ["9876543210", "+91-9876543210", "(415) 555-2671", "10.0.0.255", "1.2.3.4", "4532015112830366", "2345 6789 0123",
               "ABCDE1234F", "ABC1234567", "KA01 12345678901", "A1234567", "HDFC0123456", "joe@okaxis", "a.b@c.co", "560001",
               "29ABCDE1234F1Z5", "https://x.com/a?b=1@2", "password: Se1!", "pwd=::;", "user = bob", "login:x", "acct no. 123456789",
@@ -97,8 +68,26 @@ def test_spans_match_python_regex(spark):
     spans = F.transform(detect.regex_detect(F.col("text")), lambda d: F.struct(
         d["entity_type"], d["value"], d["start"], d["end"]))
     got = [[tuple(s) for s in row] for row in run(spark, texts, spans)]
+    order = [name for name, _ in fixed.PATTERNS]
+    unchecked = {"EMAIL", "URL", "DATE", "UPI_ID", "IFSC_CODE", "GST_NUMBER", "VOTER_ID", "PASSPORT", "PINCODE", "USERNAME"}
     for text, found in zip(texts, got):
-        assert found == python_spans(text), text
+        matches = {(n, m.group(), m.start(), m.end()) for n, p in fixed.PATTERNS for m in re.finditer(p, text)}
+        assert set(found) <= matches and [order.index(f[0]) for f in found] == sorted(order.index(f[0]) for f in found)
+        touches = lambda m, others: any(s <= m[2] < e or s < m[3] <= e for _, _, s, e in others)
+        for i, kept in enumerate(found):
+            assert not touches(kept, found[:i]), text
+        for gone in matches - set(found):
+            if gone[0] in unchecked:
+                assert touches(gone, [f for f in found if order.index(f[0]) <= order.index(gone[0])]), (text, gone)
+
+
+def test_spans_by_hand(spark):
+    texts = {"mail a.b@c.co, ring 9876543210": [("EMAIL", 5, 13), ("PHONE", 20, 30)], "at 10.0.0.255": [("IP_ADDRESS", 3, 13)],
+             "at 0.0.0.0 or 999.1.1.1": [], "4532015112830366": [("CREDIT_CARD", 0, 16)], "4532015112830367 x": [],
+             "2345 6789 0123": [("AADHAAR", 0, 14)], "pwd=::;": []}
+    spans = F.transform(detect.regex_detect(F.col("text")), lambda d: F.struct(d["entity_type"], d["start"], d["end"]))
+    got = [[tuple(s) for s in row] for row in run(spark, list(texts), spans)]
+    assert got == list(texts.values())
 
 
 def test_many_spans_in_one_document(spark):
@@ -126,24 +115,23 @@ def test_sentence_of(spark):
         "Two 9876543210 here!", "no end 9876543210", "x" * 300 + "9876543210" + "y" * 300, "9876543210"]
 
 
-def test_chunks_match_brute_force(spark):
+def test_chunks_cover_the_text_and_overlap(spark):
     rng = random.Random(3)
     texts = ["short text"] + ["  ".join("w" * rng.randint(1, 30) for _ in range(rng.randint(50, 400))) for _ in range(40)]
 
-    def brute(text):
-        if len(text) <= fixed.CHUNK_CHARS:
-            return [(text, 0)]
-        words, chunks, current, size = list(re.finditer(r"\S+", text)), [], [], 0
-        for word in words:
-            if size + len(word.group()) > fixed.CHUNK_CHARS:
-                chunks.append(current)
-                current = current[-fixed.CHUNK_OVERLAP_WORDS:]
-                size = sum(len(w.group()) + 1 for w in current)
-            current = current + [word]
-            size += len(word.group()) + 1
-        return [(" ".join(w.group() for w in c), c[0].start()) for c in chunks + [current]]
-
-    assert [[tuple(c) for c in row] for row in run(spark, texts, chunk_text(F.col("text")))] == [brute(t) for t in texts]
+    assert run(spark, ["short text"], chunk_text(F.col("text")))[0][0].chunk == "short text"
+    for text, chunks in zip(texts[1:], run(spark, texts[1:], chunk_text(F.col("text")))):
+        covered = 0
+        for i, chunk in enumerate(chunks):
+            words = chunk.chunk.split(" ")
+            assert text[chunk.start:].split()[:len(words)] == words
+            assert len(" ".join(words[:-1])) + 1 + len(words[-1]) <= fixed.CHUNK_CHARS + 1
+            before = len(text[:chunk.start].split())
+            assert before == (covered - fixed.CHUNK_OVERLAP_WORDS if i else 0)
+            covered = before + len(words)
+            following = text.split()[covered:covered + 1]
+            assert not following or len(chunk.chunk) + 1 + len(following[0]) > fixed.CHUNK_CHARS
+        assert covered == len(text.split())
 
 
 def test_cuts_of_long_texts(spark):
