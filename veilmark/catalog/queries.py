@@ -1192,9 +1192,10 @@ def _drained(stream_out: DataFrame, folder: str, mode: str = "append") -> DataFr
 
 
 @query("p4_analyze_stream", chained("""SELECT doc_id AS document_id, final_score AS risk_score, anonymized_text FROM adjusted
-    JOIN spliced USING (doc_id) WHERE starts_with(doc_id, 'fin-')"""))
+    JOIN spliced USING (doc_id) WHERE NOT starts_with(doc_id, 'kyc-')"""))
 def p4(spark, sf):
-    source, folder = _streamed(spark, inputs.texts(spark, sf, "fin"), "docs")
+    # all texts but those that have annotations, which a stream of texts does not bring
+    source, folder = _streamed(spark, inputs.corpus(spark, sf).filter("doc_id NOT LIKE 'kyc-%'"), "docs")
     shown = stream.analyze_stream(source).select("document_id", "risk_analysis.risk_score", "anonymized_text")
     return _drained(shown, folder)
 
@@ -1206,17 +1207,18 @@ def p5(spark, sf):
     log = audit.to_audit_log(_dated_results(spark, sf)).select("timestamp", "entity_count", "risk_score", "risk_level")
     source, folder = _streamed(spark, log, "log")
     totals = stream.stream_audit_metrics(source)
-    updates = totals.writeStream.format("memory").queryName("veilmark_audit_metrics").outputMode("complete")
-    updates.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    shown = spark.table("veilmark_audit_metrics")
+    # each batch writes the totals so far; a batch that is run again writes the same folder
+    totals.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(
+        lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/totals")).trigger(availableNow=True).start().awaitTermination()
+    shown = spark.read.schema(totals.schema).parquet(f"{folder}/totals")
     return shown.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "documents", "pii_detected",
                         C("high_risk").cast("bigint").alias("high_risk"), F.round("mean_risk", 6).alias("mean_risk"))
 
 
 @query("p6_stream_vault", chained(f"""SELECT value, entity_type, entity_type || '_TOKEN_' || {oracle.sha('value', 8)} AS token
-    FROM (SELECT DISTINCT value, entity_type FROM kept WHERE starts_with(doc_id, 'gov-'))"""))
+    FROM (SELECT DISTINCT value, entity_type FROM kept)"""))
 def p6(spark, sf):
-    source, folder = _streamed(spark, inputs.texts(spark, sf, "gov"), "docs")
+    source, folder = _streamed(spark, inputs.corpus(spark, sf), "docs")
     spotted = analyze.with_regex_spans(analyze.with_clean_text(source))
     found = exploded(spotted, "regex_spans", "doc_id").select(
         "doc_id", "ordinal", "d.value", "d.entity_type")
