@@ -11,9 +11,8 @@ from ..functions import anonymize, clean, confidence, context, crypto, detect, f
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
 from ..functions.text import exact_round, let, saved_column, with_once
-from ..sources.files import (list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs,
-                             unreadable_files)
-from ..sources.files import route_by_type, size_gate
+from ..sources.files import (list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs, route_by_type,
+                             size_gate, unreadable_files)
 from ..sources.parts import rows_to_text
 
 SCORES_TYPE = "array<struct<entity_type:string,start:int,end:int,pii_score:double>>"
