@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="veilmark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.
+    """The folder of ``spark.checkpoint.dir``, or the checkpoint folder that is set.
 
-    A folder of our own is made only in local mode; on a cluster a local folder
+    A folder of our own, one for the process, is made only in local mode; on a cluster a local folder
     would be lost with its machine, so the setting is required there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="veilmark-")
+        folder = _own_folder()
     return folder
 
 
