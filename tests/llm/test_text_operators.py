@@ -148,6 +148,22 @@ def test_terms_that_reveal_a_value(spark):
     assert "TERM" not in removed and "Zaphod" not in removed
 
 
+def test_terms_of_values_that_do_not_repeat(spark):
+    rng = random.Random(18)
+    common = [" ".join(rng.choice(["plain", "words", "here", "again", "other"]) for _ in range(40)) for _ in range(80)]
+    far = "Li 7741 " + common[0]  # a short name and a number, far from the value
+    texts = common + [f"{far} {common[i]} p{i}x@clinic.example.org" for i in range(4)] + [f"{common[5]} Li {common[6]}"]
+    texts += [f"Ana {common[i]} {common[i + 1]} card 4111 11{i}" for i in range(3)]
+    rows = sanitize.annotate(frame(spark, texts), everywhere=True)
+    got = {r.doc_id: r.spans for r in sanitize.digest(rows).collect()}
+    for i in range(80, 84):
+        assert got[i].endswith("term:0:2,term:3:7")
+    assert got[84] == f"term:{len(common[5]) + 1}:{len(common[5]) + 3}"
+    assert all(got[i] == "" for i in [*range(80), 85, 86, 87])
+    clean = {r.doc_id: r.t for r in rows.select("doc_id", sanitize.sanitized(rows).alias("t")).collect()}
+    assert "Li" not in clean[84] and clean[80].startswith("[TERM] [TERM] ") and clean[0] == texts[0]
+
+
 def test_replacing_islands(spark):
     text = "0123456789" * 900
     spans = [(2, 5, "[A]"), (4, 8, "[B]"), (8, 9, "[C]"), (4000, 8500, "[D]"), (8999, 9000, "[E]")]
