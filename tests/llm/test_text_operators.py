@@ -367,6 +367,15 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.neardup_stage(spark, stored(odd.limit(0)), "").count() == 0
 
 
+def test_near_copies_with_null_or_shared_ids(spark):
+    rng = random.Random(21)
+    one, two = ([f"w{rng.randint(0, 999)}" for _ in range(150)] for _ in range(2))
+    rows = [(None, " ".join(one)), (4, " ".join([*one[:-1], "end"])), (7, " ".join(two)), (7, "another text of the same id"),
+            (8, " ".join([*two[:-1], "end"]))]
+    got = neardup.near_duplicates(stored(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == [("4", 146, 4), ("7", 2, 7), ("7", 146, 7), ("8", 146, 7), ("None", 146, 4)]
+
+
 def test_word_hashes_of_long_texts(monkeypatch):
     text = " ".join(f"w{i % 91}\t" for i in range(4000)).encode()
     whole = hashing.word_hashes(text)

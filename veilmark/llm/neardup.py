@@ -227,14 +227,14 @@ def _packed(rows: DataFrame, count: int):
 
 
 def classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, label) of the nodes linked with another; ``nodes`` is stored (node, check, doc_id, n, sign)."""
+    """(node, label) of the nodes linked with another; ``nodes`` is stored (node, check, doc_id, row, n, sign); ``row`` is of one member."""
     keyed = arrow_rows(nodes.select("node", "sign"), _entered, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     turned = F.col("node").bitwiseXOR(F.xxhash64("key"))  # so that each bucket has a leader of its own
     buckets = keyed.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low != high")
     members = stored(keyed.join(buckets.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("leader")), "key"))
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node")
+    found = docs.select(row_key(), "text").join(wanted, "row").select("node", "text")
     sets = stored(arrow_rows(found, _small_sets, "node long, n long, shingles binary").dropDuplicates(["node"]))
 
     def close(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs))
     nodes = stored(rows.filter("node is not null").groupBy("node", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")))
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")))
     labels = classes(nodes, docs)
     of_node = nodes.join(labels, "node", "left").select("node", "check", "doc_id", F.coalesce("label", "node").alias("label"))
     least = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
