@@ -367,6 +367,21 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.neardup_stage(spark, stored(odd.limit(0)), "").count() == 0
 
 
+def test_stage_links_from_four_fifths_on(spark):
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(500)]
+    one = [rng.choice(words) for _ in range(204)]
+    texts = [" ".join(one), " ".join([*one[:-20], *(f"x{i}" for i in range(20))])]  # 180 shingles of 220: 0.82
+    docs = frame(spark, texts)
+    assert [neardup.near_duplicates(docs, law).filter("kept").count() for law in (neardup.OP10, neardup.STAGE)] == [2, 1]
+    assert neardup.neardup_stage(spark, docs, "").count() == 1
+    signs = np.random.default_rng(5).integers(0, 1 << 16, (300, neardup.SYMBOLS)).astype("<u2")
+    other, law = signs.copy(), neardup.STAGE
+    for row in other:
+        row[np.random.default_rng(int(row[0])).choice(neardup.SYMBOLS, law.differ, replace=False)] ^= 1
+    assert (neardup.entries(signs, law.chunks) == neardup.entries(other, law.chunks)).any(1).all()
+
+
 def test_near_copies_with_null_or_shared_ids(spark):
     rng = random.Random(21)
     one, two = ([f"w{rng.randint(0, 999)}" for _ in range(150)] for _ in range(2))

@@ -3,7 +3,7 @@
 A document is the set of its distinct shingles of five words. Equal sets are one node. A node has a signature of ``SYMBOLS`` b-bit minimums, and two
 nodes with a Jaccard similarity of 0.85 or more differ in more than ``DIFFER`` of them with a probability below 1 in 10,000. Signatures
 are split into ``CHUNKS`` chunks, so two that differ in at most ``DIFFER`` symbols differ in at most ``DIFFER // CHUNKS`` = 1 in some chunk
-(pigeonhole): every chunk is entered once for each of its symbols left out. All pairs under the signature threshold share an entry.
+(pigeonhole). Similarity, symbols and chunks are a :class:`Law`: op10 has these, the pipeline's stage links from 0.80 on (``STAGE``): every chunk is entered once for each of its symbols left out. All pairs under the signature threshold share an entry.
 
 Entries are joined without making all pairs of a bucket:
 
@@ -20,6 +20,8 @@ the smallest other id of their class. An empty table gives an empty result, othe
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,17 @@ SYMBOLS, CHUNKS, DIFFER, PERCENT, BLOCK, SEED = 32, 7, 13, 85, 1024, 11
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
-_CHUNK = [c.tolist() for c in np.array_split(np.arange(SYMBOLS), CHUNKS)]
+
+
+class Law(NamedTuple):
+    """Percent of similarity from which nodes are linked, and how many symbols in how many chunks may differ: less than two a chunk."""
+
+    percent: int = PERCENT
+    differ: int = DIFFER
+    chunks: int = CHUNKS
+
+
+OP10, STAGE = Law(), Law(80, 16, 9)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -43,10 +55,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(48)).astype("<u2")
 
 
-def entries(signatures: np.ndarray) -> np.ndarray:
+def entries(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """Keys (signature, entry): of every chunk, what is left when one symbol is left out."""
     out = np.empty((len(signatures), SYMBOLS), np.uint64)
-    for number, chunk in enumerate(_CHUNK):
+    for number, chunk in enumerate(c.tolist() for c in np.array_split(np.arange(SYMBOLS), chunks)):
         for gone in chunk:
             key = np.full(len(signatures), number * 64 + gone + 1, np.uint64)
             for at in chunk:
@@ -81,8 +93,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                       f"doc_id {kind}, row long, n_shingles long, node long, check long, sign binary")
 
 
-def _entered(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys = entries(np.stack([np.frombuffer(s, "<u2") for s in batch.column(1).to_pylist()])).view(np.int64)
+def _entered(batch: pa.RecordBatch, chunks: int) -> pa.RecordBatch:
+    keys = entries(np.stack([np.frombuffer(s, "<u2") for s in batch.column(1).to_pylist()]), chunks).view(np.int64)
     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SYMBOLS, pa.int32()), pa.array(keys.ravel()))
     return pa.RecordBatch.from_arrays([batch.column(0), flat], ["node", "keys"])
 
@@ -93,20 +105,20 @@ def _small_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
                                        pa.array([b for _, b in rows], pa.binary())], ["node", "n", "shingles"])
 
 
-def similar(m: int, n: int, one: bytes, two: bytes) -> bool:
+def similar(m: int, n: int, one: bytes, two: bytes, percent: int = PERCENT) -> bool:
     """Whether two full sets of m and n shingles, sorted, are similar enough."""
     s, t = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")
     shared = int((t[np.minimum(np.searchsorted(t, s), t.size - 1)] == s).sum())
-    return 100 * shared >= PERCENT * (int(m) + int(n) - shared)
+    return 100 * shared >= percent * (int(m) + int(n) - shared)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
     one, two = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
 
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-        keep = list(map(similar, *(column[c].to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))))
+        keep = [similar(*x, percent) for x in zip(*(column[c].to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)]
         return pa.RecordBatch.from_arrays([column["a"], column["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return arrow_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b"), test, "a long, b long")
@@ -139,8 +151,8 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _pairs(key: np.ndarray, slot: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, signs: np.ndarray
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(key: np.ndarray, slot: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, signs: np.ndarray,
+           law: Law = OP10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (i, j) of different classes, one of each side of a bucket, that are close, and how far they are.
 
     A pair counts in the first bucket it shares only. Sizes must allow the similarity.
@@ -152,42 +164,42 @@ def _pairs(key: np.ndarray, slot: np.ndarray, side: np.ndarray, label: np.ndarra
     lefts = np.add.reduceat((side[order] == 0).astype(np.int64), start)
     left = np.flatnonzero(side[order] == 0)
     first, count = (start + lefts)[group[left]], (end - start - lefts)[group[left]]
-    keys, out, parts = entries(signs), [], np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1 << 18))
+    keys, out, parts = entries(signs, law.chunks), [], np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1 << 18))
     for low, high in zip(parts, [*parts[1:], left.size], strict=True):
         c = count[low:high]
         if not c.sum():
             continue
         at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         i, j = order[np.repeat(left[low:high], c)], order[np.repeat(first[low:high], c) + at]
-        able = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        able = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= law.percent * np.maximum(n[i], n[j]))
         i, j = i[able], j[able]
         far = (signs[i] != signs[j]).sum(1)
-        i, j, far = i[far <= DIFFER], j[far <= DIFFER], far[far <= DIFFER]
+        i, j, far = i[far <= law.differ], j[far <= law.differ], far[far <= law.differ]
         shared = (keys[i] == keys[j]).argmax(1)
         here = np.take_along_axis(keys[i], shared[:, None], 1)[:, 0].view(np.int64) == key[i]
         out.append((i[here], j[here], far[here]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of(table: pa.Table, law: Law) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     signs = np.stack([np.frombuffer(s, "<u2") for s in table.column("sign").to_pylist()])
-    return _pairs(*(table.column(c).to_numpy() for c in ("key", "slot", "side", "label", "n")), signs)
+    return _pairs(*(table.column(c).to_numpy() for c in ("key", "slot", "side", "label", "n")), signs, law)
 
 
-def _close_rows(table: pa.Table) -> pa.Table:
+def _close_rows(table: pa.Table, law: Law) -> pa.Table:
     """The rows of packed buckets that are in a close pair."""
-    i, j, _ = _pairs_of(table)
+    i, j, _ = _pairs_of(table, law)
     return table.select(["key", "slot", "side", "node", "label", "n", "sign"]).take(pa.array(np.unique(np.concatenate([i, j]))))
 
 
-def _new_links(table: pa.Table) -> pa.Table:
+def _new_links(table: pa.Table, law: Law) -> pa.Table:
     """Confirmed pairs (a, b) of different classes: one at least of each node with each class it has a link to in its bucket."""
-    i, j, far = _pairs_of(table)
+    i, j, far = _pairs_of(table, law)
     node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
     sets, out, done = table.column("shingles").to_pylist(), [], set()
     for k in np.lexsort((far, i)):
         a, b = int(i[k]), int(j[k])
-        if (a, label[b]) not in done and similar(n[a], n[b], sets[a], sets[b]):
+        if (a, label[b]) not in done and similar(n[a], n[b], sets[a], sets[b], law.percent):
             done.add((a, label[b]))
             out.append((node[a], node[b]))
     columns = list(zip(*out, strict=True)) or [[]] * 2
@@ -198,7 +210,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, law: Law = OP10) -> DataFrame:
     """(a, b): confirmed links between different classes, enough to join all classes that a link joins.
 
     Only nodes that are close to one of another class bring their sets.
@@ -217,8 +229,8 @@ def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Dat
     dealt = stored(right.withColumn("side", F.lit(1)).unionByName(left.withColumn("side", F.lit(0))).select(
         "key", (F.col("i") * F.col("minor") + F.col("j")).cast("long").alias("slot"), "side", "node", "label"))
     kind = "key long, slot long, side int, node long, label long, n long, sign binary"
-    close = stored(_packed(dealt.join(nodes.select("node", "n", "sign"), "node"), dealt.count()).applyInArrow(_close_rows, kind))
-    return _packed(close.join(sets.select("node", "shingles"), "node"), close.count()).applyInArrow(_new_links, "a long, b long")
+    close = stored(_packed(dealt.join(nodes.select("node", "n", "sign"), "node"), dealt.count()).applyInArrow(lambda t: _close_rows(t, law), kind))
+    return _packed(close.join(sets.select("node", "shingles"), "node"), close.count()).applyInArrow(lambda t: _new_links(t, law), "a long, b long")
 
 
 def _packed(rows: DataFrame, count: int):
@@ -226,9 +238,9 @@ def _packed(rows: DataFrame, count: int):
     return rows.groupBy(F.pmod(F.xxhash64("key", "slot"), F.lit(max(1, count // 4096))).alias("pack"))
 
 
-def classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def classes(nodes: DataFrame, docs: DataFrame, law: Law = OP10) -> DataFrame:
     """(node, label) of the nodes linked with another; ``nodes`` is stored (node, check, doc_id, row, n, sign); ``row`` is of one member."""
-    keyed = arrow_rows(nodes.select("node", "sign"), _entered, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    keyed = arrow_rows(nodes.select("node", "sign"), _entered, "node long, keys array<long>", law.chunks).select("node", F.explode("keys").alias("key"))
     turned = F.col("node").bitwiseXOR(F.xxhash64("key"))  # so that each bucket has a leader of its own
     buckets = keyed.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low != high")
     members = stored(keyed.join(buckets.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("leader")), "key"))
@@ -245,21 +257,21 @@ def classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     signs = nodes.select("node", "sign")
     stars = members.filter("node != leader").select("node", "leader").distinct()
     stars = stars.join(signs, "node").join(signs.select(F.col("node").alias("leader"), F.col("sign").alias("other")), "leader")
-    stars = arrow_rows(stars.select("node", "leader", "sign", "other"), close, "a long, b long, far long").filter(F.col("far") <= DIFFER)
+    stars = arrow_rows(stars.select("node", "leader", "sign", "other"), close, "a long, b long, far long").filter(F.col("far") <= law.differ)
     stars = stored(stars.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    links = stored(confirmed(stars, sets))
+    links = stored(confirmed(stars, sets, law.percent))
     labels = stored(components(links))
-    more = stored(remaining(members, labels, nodes, sets))
+    more = stored(remaining(members, labels, nodes, sets, law))
     return labels if more.isEmpty() else components(links.union(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, law: Law = OP10) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) of (doc_id, text); ``row`` is :func:`row_key`."""
     docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs))
     nodes = stored(rows.filter("node is not null").groupBy("node", "check").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")))
-    labels = classes(nodes, docs)
+    labels = classes(nodes, docs, law)
     of_node = nodes.join(labels, "node", "left").select("node", "check", "doc_id", F.coalesce("label", "node").alias("label"))
     least = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = of_node.join(least, "label").select("node", "check", "component_id")
@@ -275,5 +287,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, with its columns; of repeated rows one stays."""
     name = fresh(docs, "row")
-    kept = near_duplicates(docs).filter("kept").select(F.col("row").alias(name)).distinct()
+    kept = near_duplicates(docs, STAGE).filter("kept").select(F.col("row").alias(name)).distinct()
     return docs.withColumn(name, row_key()).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
