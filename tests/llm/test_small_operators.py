@@ -113,6 +113,29 @@ def test_fill_comes_closest_from_below():
         assert reached == exact
 
 
+def test_fill_with_long_documents(monkeypatch):
+    assert mixing.fill({50000: 2}, 65000) == {50000: 1}
+    assert mixing.fill({50001: 1, 45000: 1, 40000: 1}, 85000) == {45000: 1, 40000: 1}
+    rng = random.Random(17)
+    for _ in range(60):
+        counts = {rng.randint(1, 9) * rng.randint(10, 20000): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        budget = rng.randint(0, sum(x * n for x, n in counts.items()))
+        got = mixing.fill(counts, budget)
+        assert all(n <= counts[x] for x, n in got.items())
+        units = [range(n + 1) for n in counts.values()]
+        exact = max(s for s in (sum(x * n for x, n in zip(counts, c)) for c in itertools.product(*units)) if s <= budget)
+        assert sum(x * n for x, n in got.items()) == exact
+    monkeypatch.setattr(mixing, "ROOM", 0)  # the rest only
+    assert mixing.fill({50000: 2}, 65000) == {50000: 1} and mixing.fill({90000: 1, 80000: 5}, 89999) == {80000: 1}
+    for _ in range(60):
+        counts = {rng.randint(1, 200000): rng.randint(1, 9) for _ in range(rng.randint(1, 30))}
+        budget = rng.randint(0, sum(x * n for x, n in counts.items()))
+        got = mixing.fill(counts, budget)
+        rest = budget - sum(x * n for x, n in got.items())
+        assert rest >= 0 and all(n <= counts[x] for x, n in got.items())
+        assert all(x > rest for x in counts if got.get(x, 0) < counts[x])
+
+
 def test_targets_share_all_and_respect_caps():
     got = mixing.targets([("b", 10), ("a", 500), (None, 20), ("", 100)])
     assert sum(got.values()) == 630 and got["b"] == 30 and got[None] < got["a"]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import read, salted_rank, stored
 
-MOST, WEIGHTS, SEED, CAPACITY = 3, (1, 2, 3), 7, 1 << 15
+MOST, WEIGHTS, SEED, CAPACITY, ROOM = 3, (1, 2, 3), 7, 1 << 15, 1 << 30
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,8 +46,9 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 def fill(counts: dict[int, int], budget: int, capacity: int = CAPACITY) -> dict[int, int]:
     """How many of each length to take, ``counts`` at most, so that their sum comes closest to ``budget`` from below.
 
-    All but ``capacity`` of the budget comes from every length in proportion, rounded down, and from one more of the longest while
-    more than ``capacity`` is left; the rest is a bounded knapsack by dynamic programming over sums up to ``capacity``, a bit set per step.
+    The knapsack is dynamic programming over sums, a bit set per step. It takes the whole budget where its bit sets need ``ROOM`` bits at most.
+    Where they need more, all but ``capacity``, or what ``ROOM`` allows, comes from every length in proportion, rounded down, and from
+    one more of the longest while more than that is left, and the knapsack is exact for the whole rest only.
     """
     counts = {x: n for x, n in counts.items() if x > 0 and n > 0}
     total = sum(x * n for x, n in counts.items())
@@ -55,6 +56,7 @@ def fill(counts: dict[int, int], budget: int, capacity: int = CAPACITY) -> dict[
         return counts
     if budget <= 0:
         return {}
+    capacity = max(capacity, min(budget, ROOM // sum(n.bit_length() for n in counts.values())))
     take = {x: n * max(0, budget - capacity) // total for x, n in counts.items()}
     rest = budget - sum(x * n for x, n in take.items())
     for x in sorted(counts, reverse=True):
@@ -65,7 +67,10 @@ def fill(counts: dict[int, int], budget: int, capacity: int = CAPACITY) -> dict[
         if rest > capacity:
             more = min(counts[x] - take[x], (rest - capacity) // x)
             take[x], rest = take[x] + more, rest - more * x
-    space = min(rest, capacity)
+    if rest > 2 * capacity:  # every length left is more than rest - capacity, so one document fits at most
+        one = max((x for x in counts if x <= rest and take[x] < counts[x]), default=None)
+        return {x: n + (x == one) for x, n in take.items() if n or x == one}
+    space = rest
     limit, reach, steps = (1 << (space + 1)) - 1, 1, []
     for x in sorted(counts, reverse=True):
         left, part = min(counts[x] - take[x], space // x), 1
