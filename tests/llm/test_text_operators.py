@@ -190,6 +190,17 @@ def test_tokens_are_the_tokenizers(spark):
     assert tokens.ids(texts) == [tokens.encode([t or ""])[0] + bytes(4) for t in texts]
 
 
+def test_tokens_are_those_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "é", "1", "'s", "<|endoftext|>", " <|endoftext|> ", "<|endof", "the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(3000)] + ["x<|endoftext|>y", "<|endoftext|>", None]
+    fresh = Tokenizer.from_file(packing.vocabulary())
+    want = [np.asarray(fresh.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() + bytes(4) for t in texts]
+    assert packing.Tokens(packing.vocabulary()).ids(texts) == want and np.uint32(50256).tobytes() in want[-2]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)

@@ -44,7 +44,7 @@ class Tokens:
     """Token ids as bytes (little-endian, 4 each), with a bounded cache of words.
 
     The tokenizer splits before a space that has no other white space beside it, so a text in which every space is such a
-    one is the sequence of its words' tokens. Other texts are encoded as a whole.
+    one is the sequence of its words' tokens. Other texts, and those that hold an added token, are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,7 +52,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -64,7 +64,8 @@ class Tokens:
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known  # words after a space, by the word alone; None: white space beside white space
-        split = [(text or "").split(" ") for text in texts]
+        whole = [any(a in (text or "") for a in self.added) for text in texts]
+        split = [[""] if w else (text or "").split(" ") for text, w in zip(texts, whole, strict=True)]
         heads = [words.pop(0) for words in split]
         new = set().union(*split).difference(known)
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
@@ -73,7 +74,7 @@ class Tokens:
         word, out, odd = known.__getitem__, [], []
         for i, (words, ids) in enumerate(zip(split, self.encode(heads), strict=True)):
             parts = [ids, *map(word, words), END]
-            if None in parts or heads[i] and heads[i][-1].isspace():
+            if whole[i] or None in parts or heads[i] and heads[i][-1].isspace():
                 odd.append(i)
                 parts = []
             out.append(b"".join(parts))
