@@ -304,6 +304,7 @@ def test_family_of_suffix_arrays_matches_brute_force(monkeypatch):
 
 def test_repeats_of_odd_rows(odd):
     rows = {(r.doc_id, r.n_bytes): r for r in repeats.without_repeats(odd).collect()}
+    assert all(r.text.encode() == r.kept for r in rows.values())
     assert rows[7, 5000].spans[0].end == 5000 and rows[3, 0].kept == b"" and repeats.without_repeats(odd.limit(0)).count() == 0
 
 
@@ -407,3 +408,9 @@ def test_word_hashes_of_long_texts(monkeypatch):
     whole = hashing.word_hashes(text)
     monkeypatch.setattr(hashing, "PART", 512)
     assert (hashing.word_hashes(text) == whole).all() and len(set(whole.tolist())) == 91
+
+
+def test_a_cut_through_a_character_leaves_valid_text(spark):
+    same = "q" * 399 + "\u00e9"  # the last byte of the repeated string is half of a character
+    got = repeats.without_repeats(frame(spark, [same + "one", "q" * 399 + "\u00ea" + "two"])).collect()
+    assert all(r.kept[0] >= 0x80 and r.text in ("one", "two") for r in got)

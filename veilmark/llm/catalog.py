@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmark.llm import langid, mixing, neardup, packing, quality, repeats, sanitize, sharding, topk, urls
+from veilmark.llm import langid, lines, mixing, neardup, negatives, packing, quality, repeats, sanitize, sharding, topk, urls, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,6 +15,10 @@ QUERIES = {
     "op8_url_filter": urls.op8,
     "op9_reshard": sharding.op9,
     "op10_near_duplicates": neardup.op10,
+    "op11_line_dedup": lines.op11,
+    "op12_hard_negatives": negatives.op12,
+    "op13_whitening": whitening.op13,
 }
 
-ORACLES = {"op7_top_k": topk.op7_sql(), "op8_url_filter": urls.op8_sql()}
+ORACLES = {"op7_top_k": topk.op7_sql(), "op8_url_filter": urls.op8_sql(), "op11_line_dedup": lines.op11_sql(),
+           "op12_hard_negatives": negatives.op12_sql()}

@@ -213,23 +213,27 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): the maximal removed byte ranges, and the bytes that are left."""
+    """(doc_id, n_bytes, spans, kept, text): the maximal removed byte ranges, the bytes that are left, and the text they make.
+
+    A cut may go through a character of several bytes; ``text`` leaves out the pieces of such a character, ``kept`` has them.
+    """
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, spans = bytes_of(batch.column(1)), [merged_spans(s) for s in batch.column(2).to_pylist()]
         kept = [kept_bytes(t or b"", s) for t, s in zip(texts, spans, strict=True)]
         ranges = [[{"start": a, "end": b} for a, b in s] for s in spans]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(ranges, kind),
-                                           pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                                           pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                                          ["doc_id", "n_bytes", "spans", "kept", "text"])
 
     docs = docs.select("doc_id", "text")
     rows = docs.withColumn("k", _key()).join(repeated_spans(docs), "k", "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_rows(rows, cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return arrow_rows(rows, cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, text string")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), "text")
