@@ -392,9 +392,9 @@ CHAIN: dict[str, str] = {
 }
 
 
-def chained(select: str, docs: str = CHAIN["docs"]) -> str:
-    """``select`` on top of the chain over ``docs``; stages it does not reach are not run."""
-    reached, todo = set(), [select]
+def chained(select: str, docs: str = CHAIN["docs"], more: str = "") -> str:
+    """``select`` on top of the chain over ``docs`` and of ``more`` expressions; stages it does not reach are not run."""
+    reached, todo = set(), [select, more]
     chain = CHAIN | {"docs": docs}
     names = list(chain)
     while todo:
@@ -404,7 +404,7 @@ def chained(select: str, docs: str = CHAIN["docs"]) -> str:
                 reached.add(name)
                 todo.append(chain[name])
     parts = [f"{name} AS MATERIALIZED ({chain[name]})" for name in names if name in reached]
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    return "WITH " + ",\n".join([*parts, *([more] if more else [])]) + "\n" + select
 
 
 def _mentions(sql: str, name: str) -> bool:

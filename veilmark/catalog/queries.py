@@ -1225,3 +1225,6 @@ def p6(spark, sf):
     found.writeStream.foreachBatch(stream.vault_writer(f"{folder}/vault")).option(
         "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.VAULT_SCHEMA).parquet(f"{folder}/vault").select("value", "entity_type", "token")
+
+
+from . import extensions  # noqa: E402, F401  registers more queries
