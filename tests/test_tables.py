@@ -169,20 +169,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(streamed) == 30 and streamed == batch
 
 
-def test_stream_vault_is_replayable(spark, tmp_path):
-    path = str(tmp_path / "vault")
-    write = stream.vault_writer(path)
-    schema = "doc_id int, ordinal int, value string, entity_type string"
-    first = spark.createDataFrame([(1, 0, "a", "PHONE"), (1, 1, "b", "PHONE"), (2, 0, "a", "NAME")], schema)
-    second = spark.createDataFrame([(3, 0, "b", "NAME"), (3, 1, "c", "NAME")], schema)
-    write(first, 0)
-    write(second, 1)
-    write(second, 1)
-    write(first, 0)
-    rows = spark.read.parquet(path).collect()
-    assert sorted((r.value, r.entity_type, r.batch_id) for r in rows) == [("a", "PHONE", 0), ("b", "PHONE", 0), ("c", "NAME", 1)]
-
-
 def test_table_scan_and_feed(spark):
     people = spark.createDataFrame([(1, "ann@x.org", " "), (2, "", "9876543210")], "id int, mail string, phone string")
     found = analyze_table(people, "id")

@@ -23,6 +23,7 @@ from ..plans import analyze
 from ..sources import annotations as ann
 from ..sources import audit, files, parts
 from ..streaming import stream
+from ..streaming.vault import StreamVault
 from . import inputs, oracle
 from .oracle import chained
 
@@ -1222,9 +1223,34 @@ def p6(spark, sf):
     spotted = analyze.with_regex_spans(analyze.with_clean_text(source))
     found = exploded(spotted, "regex_spans", "doc_id").select(
         "doc_id", "ordinal", "d.value", "d.entity_type")
-    found.writeStream.foreachBatch(stream.vault_writer(f"{folder}/vault")).option(
+    kept = StreamVault(f"{folder}/vault")
+    found.writeStream.foreachBatch(kept.writer()).option(
         "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.VAULT_SCHEMA).parquet(f"{folder}/vault").select("value", "entity_type", "token")
+    return kept.read(spark, batches=1).select("value", "entity_type", "token")
+
+
+_PARTS = [("documents", "pages"), ("kyc", "label"), ("version", "fin", "gov")]  # arrive one after the other
+_PART = ("CASE WHEN starts_with(doc_id, 'doc-') OR starts_with(doc_id, 'page-') THEN 0 "
+         "WHEN starts_with(doc_id, 'kyc-') OR starts_with(doc_id, 'label-') THEN 1 ELSE 2 END")
+_ARRIVED = ("SELECT value, " + ", ".join(f"first({c} ORDER BY part, doc_id, ordinal, entity_type) AS {c}" for c in (
+    "entity_type", "part", "doc_id", "ordinal")) + f" FROM (SELECT *, {_PART} AS part FROM kept) GROUP BY value")
+
+
+@query("a11_stream_pseudonyms", chained(f"""SELECT value, entity_type, number, {_PSEUDONYM} AS pseudonym, {oracle.TOKEN} AS token,
+    cast(part AS BIGINT) AS batch_id FROM (SELECT value, entity_type, part, row_number() OVER (PARTITION BY entity_type ORDER BY part, doc_id,
+        ordinal, value) AS number FROM ({_ARRIVED}))"""))
+def a11_stream(spark, sf):
+    folder = _folder(spark)
+    kept, schema = StreamVault(f"{folder}/vault"), "doc_id string, text string"
+    for names in _PARTS:
+        for name in names:
+            inputs.texts(spark, sf, name).write.mode("append").parquet(f"{folder}/docs")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/docs")
+        spotted = analyze.with_regex_spans(analyze.with_clean_text(source))
+        found = exploded(spotted, "regex_spans", "doc_id").select("doc_id", "ordinal", "d.value", "d.entity_type")
+        found.writeStream.foreachBatch(kept.writer()).option("checkpointLocation", f"{folder}/state").trigger(
+            availableNow=True).start().awaitTermination()
+    return kept.read(spark, len(_PARTS)).select("value", "entity_type", "number", "pseudonym", "token", "batch_id")
 
 
 from . import extensions  # noqa: E402, F401  registers more queries

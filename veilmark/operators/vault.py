@@ -64,8 +64,8 @@ def detokenize(tokens: DataFrame, vault: DataFrame) -> DataFrame:
     return tokens.join(vault.select("token", F.col("value").alias("original_value")), "token", "left")
 
 
-def pseudonym_vault(spans: DataFrame) -> DataFrame:
-    """``(value, entity_type, number, pseudonym)``: numbered by first appearance within type.
+def numbered(first: DataFrame) -> DataFrame:
+    """``(value, entity_type, number)``: first appearances (see :func:`first_seen`) numbered from 1 within their type.
 
     A running number over a whole type would put that type in one task. The
     first appearances are spread by range instead, numbered inside each range,
@@ -73,15 +73,19 @@ def pseudonym_vault(spans: DataFrame) -> DataFrame:
     stored with it by the checkpoint: a recomputed one could differ.
     """
     order = ["entity_type", "doc_id", "ordinal", "value"]
-    ranged = checkpointed(first_seen(spans).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ranged = checkpointed(first.select("value", "entity_type", "doc_id", "ordinal").repartitionByRange(*order).withColumn(
+        "part", F.spark_partition_id()))
     counts = ranged.groupBy("entity_type", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("entity_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("entity_type", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("entity_type", "part").orderBy("doc_id", "ordinal", "value")
-    numbered = ranged.withColumn("place", F.row_number().over(inside)).join(shifts, ["entity_type", "part"])
-    number = F.col("place") + F.col("shift")
-    return numbered.select("value", "entity_type", number.alias("number"),
-                           pseudonym(F.col("value"), F.col("entity_type"), number).alias("pseudonym"))
+    placed = ranged.withColumn("place", F.row_number().over(inside)).join(shifts, ["entity_type", "part"])
+    return placed.select("value", "entity_type", (F.col("place") + F.col("shift")).alias("number"))
+
+
+def pseudonym_vault(spans: DataFrame) -> DataFrame:
+    """``(value, entity_type, number, pseudonym)``: numbered by first appearance within type."""
+    return numbered(first_seen(spans)).withColumn("pseudonym", pseudonym(F.col("value"), F.col("entity_type"), F.col("number")))
 
 
 def pseudonym_map(vault: DataFrame) -> DataFrame:
