@@ -1,6 +1,7 @@
 """The driver contract, and a cross-section of the registered queries against SQL."""
 
 import os
+import sys
 
 import pytest
 
@@ -31,3 +32,10 @@ def test_query_matches_sql(spark, sf_dir, name):
     sql = entry.oracle_sql().get(name)
     assert got.num_rows > 0
     assert sql is None or compare(database(sf_dir), got, sql) == ""
+
+
+def test_queries_without_what_the_subpackage_needs(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith(("veilmark.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)  # as if it were not installed
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)

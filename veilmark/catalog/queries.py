@@ -867,7 +867,7 @@ def a21(spark, sf):
 
 
 def _finished(spark: SparkSession, sf: str) -> DataFrame:
-    return with_once(inputs.assessed(spark, sf), "f", analyze._finished()).select("doc_id", "f.*")
+    return analyze.with_finished(inputs.assessed(spark, sf)).select("doc_id", "finished.*")
 
 
 @query("a22_apply_to_text", chained("SELECT doc_id, anonymized_text FROM spliced"))

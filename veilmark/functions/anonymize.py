@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_digits, digits_only, let, slice_blocks, text_blocks, words_of
+from .text import ascii_digits, digits_only, first_alike, let, rank_alike, running, slice_blocks, text_blocks, words_of
 
 
 def _stars(n: Column) -> Column:
@@ -145,88 +145,156 @@ def anonymized_value(value: Column, entity_type: Column, strategy: Column, pseud
             .otherwise(mask(value, entity_type)))
 
 
-def _first_of_each_value(spans: Column, strategy: str) -> Column:
-    """Spans of one strategy, only the first of each value."""
-    chosen = F.filter(spans, lambda d: d["anonymization_strategy"] == strategy)
+def _chosen(spans: Column, strategy: str) -> Column:
+    """The value of each span of one strategy, null for the others."""
+    return F.transform(spans, lambda d: F.when(d["anonymization_strategy"] == strategy, d["value"]))
 
-    def firsts(b: Column) -> Column:
-        return F.filter(b["chosen"], lambda d, i: F.array_position(b["values"], d["value"]) == i + 1)
 
-    return let(chosen, lambda c: let(F.struct(
-        c.alias("chosen"), F.transform(c, lambda d: d["value"]).alias("values")), firsts))
+def _has(spans: Column, strategy: str) -> Column:
+    return F.exists(spans, lambda d: F.coalesce(d["anonymization_strategy"] == strategy, F.lit(False)))
 
 
-def _in_document_numbers(spans: Column) -> Column:
-    """Map from a pseudonymized value to its pseudonym, numbered within the document."""
-    def named(b: Column) -> Column:
-        return F.map_from_entries(F.transform(b["first"], lambda d, i: F.struct(
-            d["value"].alias("value"), pseudonym(d["value"], d["entity_type"], F.size(F.filter(
-                F.slice(b["types"], 1, i + 1), lambda t: t == d["entity_type"]))).alias("pseudonym"))))
+def _in_document_tokens(spans: Column) -> Column:
+    """``(token, is_first)`` of each span; the token is null unless the span is tokenized. The first type seen for a value wins."""
+    def named(firsts: Column) -> Column:
+        return F.transform(firsts, lambda first, i: F.struct(F.when(
+            F.get(spans, i)["anonymization_strategy"] == "TOKENIZE", tokenize(F.get(spans, i)["value"], F.get(spans, first)["entity_type"])).alias("token"),
+            (first == i).alias("is_first")))
 
-    return let(_first_of_each_value(spans, "PSEUDONYMIZE"), lambda first: let(F.struct(
-        first.alias("first"), F.transform(first, lambda d: d["entity_type"]).alias("types")), named))
+    return F.when(_has(spans, "TOKENIZE"), let(first_alike(_chosen(spans, "TOKENIZE")), named))
 
 
-def _in_document_tokens(spans: Column) -> Column:
-    """Map from a tokenized value to its token: the first type seen for a value wins."""
-    return F.map_from_entries(F.transform(_first_of_each_value(spans, "TOKENIZE"), lambda d: F.struct(
-        d["value"].alias("value"), tokenize(d["value"], d["entity_type"]).alias("token"))))
+def _in_document_pseudonyms(spans: Column) -> Column:
+    """The pseudonym of each pseudonymized span, null for the others: values numbered within their type by first appearance."""
+    def types(firsts: Column) -> Column:
+        return F.zip_with(spans, F.transform(firsts, lambda first, i: first == i), lambda d, is_first: F.when(
+            is_first & (d["anonymization_strategy"] == "PSEUDONYMIZE"), d["entity_type"]))
 
+    def named(b: Column) -> Column:
+        return F.zip_with(spans, b["firsts"], lambda d, first: F.when(d["anonymization_strategy"] == "PSEUDONYMIZE", pseudonym(
+            d["value"], F.get(spans, first)["entity_type"], F.get(b["numbers"], first))))
 
-def token_map(spans: Column) -> Column:
-    """``map<value, token>`` of the spans of one document that were tokenized."""
-    return let(spans, _in_document_tokens)
+    numbered = let(first_alike(_chosen(spans, "PSEUDONYMIZE")), lambda firsts: let(F.struct(
+        firsts.alias("firsts"), rank_alike(types(firsts)).alias("numbers")), named))
+    return F.when(_has(spans, "PSEUDONYMIZE"), numbered)
 
 
-def anonymize_entities(spans: Column) -> Column:
-    """Each classified span with ``anonymized_value`` and ``strategy_applied``.
+def anonymize_document(spans: Column) -> Column:
+    """``struct<spans, token_map>`` of the classified spans of one document.
 
-    Tokens and pseudonyms are consistent within the document; corpus-wide
-    consistency comes from the vault operators.
+    Every span gets ``anonymized_value`` and ``strategy_applied``; ``token_map`` maps the tokenized values to their tokens. Tokens and
+    pseudonyms are consistent within the document; corpus-wide consistency comes from the vault operators. Work grows with n log n
+    of the spans.
     """
+    def replaced(b: Column) -> Column:
+        return F.transform(b["spans"], lambda d, i: d.withField("anonymized_value", anonymized_value(
+            d["value"], d["entity_type"], d["anonymization_strategy"], F.get(b["pseudonyms"], i), F.get(b["tokens"], i)["token"])).withField(
+            "strategy_applied", F.coalesce(d["anonymization_strategy"], F.lit("MASK"))))
+
+    def mapped(b: Column) -> Column:
+        pairs = F.zip_with(b["spans"], b["tokens"], lambda d, t: F.struct(d["value"].alias("value"), F.when(
+            t["is_first"] & d["value"].isNotNull(), t["token"]).alias("token")))
+        none = F.array().cast("array<struct<value:string,token:string>>")
+        return F.map_from_entries(F.filter(F.coalesce(pairs, none), lambda p: p["token"].isNotNull()))
+
     def facts(all_spans: Column) -> Column:
         return F.struct(all_spans.alias("spans"), _in_document_tokens(all_spans).alias("tokens"),
-                        _in_document_numbers(all_spans).alias("pseudonyms"))
+                        _in_document_pseudonyms(all_spans).alias("pseudonyms"))
 
-    def replaced(f: Column) -> Column:
-        return F.transform(f["spans"], lambda d: d.withField("anonymized_value", anonymized_value(
-            d["value"], d["entity_type"], d["anonymization_strategy"], F.element_at(f["pseudonyms"], d["value"]),
-            F.element_at(f["tokens"], d["value"]))).withField(
-            "strategy_applied", F.coalesce(d["anonymization_strategy"], F.lit("MASK"))))
+    return let(spans, lambda s: let(facts(s), lambda b: F.struct(replaced(b).alias("spans"), mapped(b).alias("token_map"))))
 
-    return let(spans, lambda s: let(facts(s), replaced))
 
+def anonymize_entities(spans: Column) -> Column:
+    """Each classified span with ``anonymized_value`` and ``strategy_applied``."""
+    return anonymize_document(spans)["spans"]
 
-def apply_to_text(text: Column, spans: Column) -> Column:
-    """Splice replacements into the text from right to left by original offsets.
 
-    Spans with equal starts keep their order. Overlapping spans are spliced in
-    the same order, so an outer span replaces whatever its end now points at.
+def token_map(spans: Column) -> Column:
+    """``map<value, token>`` of the spans of one document that were tokenized."""
+    return anonymize_document(spans)["token_map"]
+
+
+def _spliced(text: Column, spans: Column) -> Column:
+    """``struct<t, over>``: replacements put into a text by starts from right to left, equal starts in given order.
+
+    Ends point at places of the text as it was, so one that replacements before it have moved in takes what it finds there; ``over`` is the
+    number of characters it takes beyond the end.
+    """
+    def put(state: Column, d: Column) -> Column:
+        size = F.length(state["t"])
+        return F.struct(F.concat(F.left(state["t"], d["start"]), d["replacement"], F.substring(
+            state["t"], d["end"] + 1, F.greatest(size - d["end"], F.lit(0)))).alias("t"),
+            (state["over"] + F.greatest(d["end"] - size, F.lit(0))).alias("over"))
+
+    keyed = F.transform(spans, lambda d: F.struct((-d["start"]).alias("order"), d["i"].alias("i"), d["start"].alias("start"),
+                                                  d["end"].alias("end"), d["replacement"].alias("replacement")))
+    return F.aggregate(F.array_sort(keyed), F.struct(text.alias("t"), F.lit(0).alias("over")), put)
+
+
+def splice_pieces(text: Column, spans: Column) -> Column:
+    """The text with its replacements in, as ``array<struct<t, over>>``; see :func:`apply_to_text`.
+
+    ``over`` tells how many characters a piece takes of those that follow it.
     """
-    def splice(all_spans: Column) -> Column:
-        keyed = F.transform(all_spans, lambda d, i: F.struct(
-            (-d["start"]).alias("order"), i.alias("i"), d["start"].alias("start"), d["end"].alias("end"),
-            d["anonymized_value"].alias("replacement")))
-        return F.aggregate(F.array_sort(keyed), text, lambda t, d: F.concat(
-            F.left(t, d["start"]), d["replacement"],
-            F.substring(t, d["end"] + 1, F.greatest(F.length(t) - d["end"], F.lit(0)))))
-
-    def assemble(b: Column) -> Column:
-        """Kept and replaced pieces in reading order, when no spans overlap."""
-        pieces = F.transform(b["sorted"], lambda d, i: F.concat(
-            slice_blocks(b["blocks"], F.coalesce(F.get(b["sorted"], i - 1)["end"], F.lit(0)), d["start"]),
-            d["replacement"]))
-        rest = slice_blocks(b["blocks"], F.get(b["sorted"], F.size(b["sorted"]) - 1)["end"], F.length(text))
-        return F.concat(F.array_join(pieces, ""), rest)
-
-    def choose(b: Column) -> Column:
-        overlapping = F.exists(F.sequence(F.lit(1), F.size(b["sorted"])), lambda i: F.coalesce(
-            F.get(b["sorted"], i)["start"] < F.get(b["sorted"], i - 1)["end"], F.lit(False)))
-        return F.when(overlapping, splice(b["spans"])).otherwise(assemble(b))
+    def outputs(b: Column) -> Column:
+        """Per island the piece before it and what replaces it, with the characters it takes beyond its end."""
+        def one(first: Column, j: Column) -> Column:
+            last = F.coalesce(F.get(b["firsts"], j + 1), F.size(b["sorted"])) - 1
+            start, end = F.get(b["sorted"], first)["start"], F.get(b["ends"], last)
+            gap = slice_blocks(b["blocks"], F.coalesce(F.get(b["ends"], first - 1), F.lit(0)), start)
+            own = F.transform(F.slice(b["sorted"], first + 1, last - first + 1), lambda d: F.struct(
+                (d["start"] - start).alias("start"), (d["end"] - start).alias("end"), d["i"].alias("i"), d["replacement"].alias("replacement")))
+            alone = F.struct(F.get(b["sorted"], first)["replacement"].alias("t"), F.lit(0).alias("over"))
+            made = F.when(last == first, alone).otherwise(_spliced(slice_blocks(b["blocks"], start, end), own))
+            return F.array(F.struct(gap.alias("t"), F.lit(0).alias("over")), made)
+
+        rest = slice_blocks(b["blocks"], F.get(b["ends"], F.size(b["ends"]) - 1), F.length(text))
+        return F.concat(F.flatten(F.transform(b["firsts"], one)), F.array(F.struct(rest.alias("t"), F.lit(0).alias("over"))))
+
+    def islands(b: Column) -> Column:
+        def opens(j: Column) -> Column:
+            start = F.get(b["sorted"], j)["start"]
+            return (j == 0) | ((start >= F.get(b["ends"], j - 1)) & (start > F.get(b["sorted"], j - 1)["start"]))
+
+        firsts = F.filter(F.sequence(F.lit(0), F.size(b["sorted"]) - 1), opens)
+        return let(F.struct(b["sorted"].alias("sorted"), b["ends"].alias("ends"), firsts.alias("firsts"), text_blocks(text).alias("blocks")),
+                   outputs)
 
     def by_start(all_spans: Column) -> Column:
         ordered = F.array_sort(F.transform(all_spans, lambda d, i: F.struct(
             d["start"].alias("start"), i.alias("i"), d["end"].alias("end"), d["anonymized_value"].alias("replacement"))))
-        return let(F.struct(all_spans.alias("spans"), ordered.alias("sorted"), text_blocks(text).alias("blocks")), choose)
+        return let(ordered, lambda o: let(F.struct(o.alias("sorted"), running(F.transform(o, lambda d: d["end"]), F.greatest).alias("ends")), islands))
+
+    whole = F.array(F.struct(text.alias("t"), F.lit(0).alias("over")))
+    return F.when(F.size(spans) > 0, let(spans, by_start)).otherwise(whole)
+
+
+def join_pieces(pieces: Column) -> Column:
+    """The text of :func:`splice_pieces`."""
+    def pending(p: Column, j: Column) -> Column:
+        """Characters that pieces before this one take of it and what follows: grows by what each takes, shrinks by each length, never below 0."""
+        return F.when(j == 0, F.lit(0)).otherwise(
+            F.get(p["sums"], j - 1) - F.least(F.get(p["lowest"], j - 1), F.lit(0)) + F.get(pieces, j - 1)["over"])
 
-    return F.when(F.size(spans) > 0, let(spans, by_start)).otherwise(text)
+    def trimmed(p: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda piece, j: F.substring(
+            piece["t"], pending(p, j) + 1, F.length(piece["t"]))), "")
+
+    steps = F.transform(pieces, lambda piece, j: F.when(j == 0, F.lit(0)).otherwise(
+        F.get(pieces, j - 1)["over"]) - F.length(piece["t"]))
+    taking = let(running(steps, lambda a, b: a + b), lambda sums: let(
+        F.struct(sums.alias("sums"), running(sums, F.least).alias("lowest")), trimmed))
+    plain = F.array_join(F.transform(pieces, lambda piece: piece["t"]), "")
+    return F.when(F.exists(pieces, lambda piece: piece["over"] > 0), taking).otherwise(plain)
+
+
+def apply_to_text(text: Column, spans: Column) -> Column:
+    """Splice replacements into the text from right to left by original offsets.
+
+    Spans with equal starts keep their order. Overlapping spans are spliced in
+    the same order, so an outer span replaces whatever its end now points at.
+    Spans that overlap make islands; only an island with several spans is spliced
+    one by one, on its own piece of the text. Where such an island takes characters
+    beyond its end, they go from the pieces that follow.
+    """
+    return F.when(F.size(spans) > 0, let(splice_pieces(text, spans), join_pieces)).otherwise(text)

@@ -163,6 +163,34 @@ def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Col
     return let(numbers, cut)
 
 
+def _with_heads(keys: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(sorted, heads)``: elements ``(key, i)`` in the order of their keys, and for each the place of its first equal."""
+    def heads(ordered: Column) -> Column:
+        return running(F.transform(ordered, lambda s, j: F.when(
+            (j > 0) & s["key"].eqNullSafe(F.get(ordered, j - 1)["key"]), F.lit(0)).otherwise(j)), F.greatest)
+
+    ordered = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("i"))))
+    return let(ordered, lambda o: let(F.struct(o.alias("sorted"), heads(o).alias("heads")), lambda b: body(b["sorted"], b["heads"])))
+
+
+def first_alike(keys: Column) -> Column:
+    """For each element of an array the index of the first element equal to it; nulls equal each other."""
+    def firsts(ordered: Column, heads: Column) -> Column:
+        placed = F.transform(ordered, lambda s, j: F.struct(s["i"].alias("i"), F.get(ordered, F.get(heads, j))["i"].alias("first")))
+        return F.transform(F.array_sort(placed), lambda p: p["first"])
+
+    return _with_heads(keys, firsts)
+
+
+def rank_alike(keys: Column) -> Column:
+    """For each element of an array its number, from 1, among the elements equal to it."""
+    def ranks(ordered: Column, heads: Column) -> Column:
+        placed = F.transform(ordered, lambda s, j: F.struct(s["i"].alias("i"), (j - F.get(heads, j) + 1).alias("rank")))
+        return F.transform(F.array_sort(placed), lambda p: p["rank"])
+
+    return _with_heads(keys, ranks)
+
+
 def first_level(score: Column, floors: list[tuple[str, float]], lowest: str = "LOW") -> Column:
     """Name of the highest band whose floor ``score`` reaches."""
     level = F.lit(lowest)

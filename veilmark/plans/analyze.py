@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import anonymize, clean, confidence, context, crypto, detect, fuse, quasi, risk, verify
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
-from ..functions.text import exact_round, let, saved_column, with_once
+from ..functions.text import exact_round, let, running, saved_column, with_once
 from ..sources.files import (list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs, route_by_type,
                              size_gate, unreadable_files)
 from ..sources.parts import rows_to_text
@@ -107,13 +107,37 @@ def with_validation(df: DataFrame) -> DataFrame:
     return with_once(df, "judged", _judged())
 
 
+def _scores_in_order(spans: Column, scores: Column) -> Column:
+    """The score of each span, null where there is none; of several for one span the first.
+
+    Both sides are sorted together, scores before the span they are for, and each span looks
+    at the last score before it: n log n, however many there are.
+    """
+    none = F.lit(None).cast("double")
+
+    def keyed(x: Column, kind: int, at: Column, score: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["entity_type"].alias("entity_type"),
+                        F.lit(kind).alias("kind"), at.alias("at"), score.alias("score"))
+
+    def found(b: Column) -> Column:
+        def own(x: Column, j: Column) -> Column:
+            given = F.get(b["sorted"], F.get(b["last"], j))
+            same = (given["start"] == x["start"]) & (given["end"] == x["end"]) & (given["entity_type"] == x["entity_type"])
+            return F.struct(x["at"].alias("at"), x["kind"].alias("kind"), F.when(same, given["score"]).alias("score"))
+
+        matched = F.filter(F.transform(b["sorted"], own), lambda x: x["kind"] == 1)
+        return F.transform(F.array_sort(matched), lambda x: x["score"])
+
+    def last(ordered: Column) -> Column:
+        places = F.transform(ordered, lambda x, j: F.when(x["kind"] == 0, j).otherwise(F.lit(-1)))
+        return F.struct(ordered.alias("sorted"), running(places, F.greatest).alias("last"))
+
+    together = F.concat(F.transform(scores, lambda s, i: keyed(s, 0, -i, s["pii_score"])), F.transform(spans, lambda d, i: keyed(d, 1, i, none)))
+    return let(F.array_sort(together), lambda o: let(last(o), found))
+
+
 def rescore(judged: Column, scores: Column) -> Column:
     """Apply verifier scores to accepted spans and move the weak ones to the rejected."""
-    def score_of(d: Column, given: Column) -> Column:
-        mine = F.filter(given, lambda s: (s["entity_type"] == d["entity_type"]) & (s["start"] == d["start"])
-                        & (s["end"] == d["end"]))
-        return F.when(F.size(mine) > 0, mine[0]["pii_score"])
-
     def apply(d: Column, score: Column) -> Column:
         noted = F.when(score.isNull(), d["context_notes"]).otherwise(
             F.concat(d["context_notes"], F.array(verify.verifier_note(score))))
@@ -121,8 +145,8 @@ def rescore(judged: Column, scores: Column) -> Column:
             "context_notes", noted)
 
     def scored(b: Column) -> Column:
-        return F.transform(b["judged"]["accepted"], lambda d: let(
-            score_of(d, b["scores"]), lambda score: apply(d, score)))
+        return let(_scores_in_order(b["judged"]["accepted"], b["scores"]), lambda found: F.zip_with(
+            b["judged"]["accepted"], found, apply))
 
     def split(b: Column, spans: Column) -> Column:
         strong = F.filter(spans, lambda d: d["confidence"] >= fixed.RETHRESHOLD)
@@ -198,22 +222,31 @@ def document_type_of(df: DataFrame) -> Column:
     return F.coalesce(_column_or(df, "document_type", F.lit("txt")), F.lit("txt"))
 
 
+@saved_column
+def _anonymized() -> Column:
+    return anonymize.anonymize_document(F.col("assessed")["spans"])
+
+
+@saved_column
+def _pieces() -> Column:
+    return anonymize.splice_pieces(F.col("clean_text"), F.col("anonymized")["spans"])
+
+
 @saved_column
 def _finished() -> Column:
-    def finish(b: Column) -> Column:
-        return F.struct(
-            entities_report(b["spans"], b["rejected"]).alias("entities"),
-            anonymize.apply_to_text(b["text"], b["spans"]).alias("anonymized_text"),
-            anonymize.token_map(b["spans"]).alias("token_map"))
+    return F.struct(entities_report(F.col("anonymized")["spans"], F.col("judged")["rejected"]).alias("entities"),
+                    anonymize.join_pieces(F.col("pieces")).alias("anonymized_text"), F.col("anonymized")["token_map"].alias("token_map"))
+
 
-    anonymized = anonymize.anonymize_entities(F.col("assessed")["spans"])
-    return let(F.struct(anonymized.alias("spans"), F.col("judged")["rejected"].alias("rejected"),
-                        F.col("clean_text").alias("text")), finish)
+def with_finished(df: DataFrame) -> DataFrame:
+    """Add ``finished``: the entity list, the anonymized text and its token map."""
+    made = with_once(with_once(df, "anonymized", _anonymized()), "pieces", _pieces())
+    return with_once(made, "finished", _finished()).drop("anonymized", "pieces")
 
 
 def assemble_result(df: DataFrame, options: Options = Options()) -> DataFrame:
     """The final nested row per document."""
-    ready = df.withColumn("finished", _finished()).withColumn("risk_analysis", _risk_analysis())
+    ready = with_finished(df).withColumn("risk_analysis", _risk_analysis())
     entities = F.col("finished")["entities"]
     if not options.keep_original:
         entities = F.transform(entities, lambda e: e.dropFields("original_value"))
