@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import anonymize
 from veilmark.functions.text import first_alike, rank_alike
+from veilmark.operators.spans import overlap_pairs
 from veilmark.plans import analyze
 
 SPLICE = "array<struct<start:int,end:int,anonymized_value:string>>"
@@ -89,6 +90,25 @@ def test_scores_meet_their_spans(spark):
         assert r.f == want and len(r.r.accepted) + len(r.r.rejected) == len(spans)
 
 
+def test_overlapping_pairs(spark):
+    rng = random.Random(11)
+    lists = [[(s, s + rng.choice([0, 1, 2, 5, 30]), f"T{rng.randint(0, 3)}") for s in rng.choices(range(40), k=n)] for n in (0, 1, 2, 9, 40, 300)]
+    frame = spark.createDataFrame(list(enumerate(lists)), "doc_id int, s array<struct<start:int,end:int,entity_type:string>>")
+    found = overlap_pairs(frame, "s")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append((r.ordinal_a, r.ordinal_b, r.type_a, r.type_b, r.iou))
+    for doc, own in enumerate(lists):
+        want = []
+        for i, a in enumerate(own):
+            for j, b in enumerate(own[i + 1:], i + 1):
+                if a[0] < b[1] and b[0] < a[1]:
+                    shared = max(0, min(a[1], b[1]) - max(a[0], b[0]))
+                    want.append((i, j, a[2], b[2], shared / (a[1] - a[0] + b[1] - b[0] - shared) if shared else 0.0))
+        assert sorted(got.get(doc, [])) == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def seconds(frame, column):
     best = 9e9
     for _ in range(3):

@@ -331,7 +331,7 @@ def f1(spark, sf):
     JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, src, o) - 1 AS ordinal FROM everything) b
     ON a.doc_id = b.doc_id AND a.ordinal < b.ordinal AND a.s < b.e AND b.s < a.e"""))
 def f2(spark, sf):
-    return spans.overlap_pairs(spans.explode_spans(_all_spans(spark, sf), "united"))
+    return spans.overlap_pairs(_all_spans(spark, sf), "united")
 
 
 @query("f3_group_overlaps", chained("""SELECT doc_id, ordinal, place - 1 AS place, m.entity_type AS entity_type, m.s AS "start",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .detect import SPAN_TYPE, SPANS_TYPE, overlap_islands
-from .text import exact_round, let, lookup
+from .text import exact_round, let, lookup, running
 
 
 def overlap_length(a: Column, b: Column) -> Column:
@@ -21,6 +21,39 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(shared > 0, shared / union).otherwise(F.lit(0.0))
 
 
+def overlapping_pairs(spans: Column) -> Column:
+    """Overlapping pairs of an array of spans with their intersection over union, each pair once and in array order.
+
+    A sweep: in the order of starts, a span overlaps those after it that start before it ends. How many
+    start before each end comes from one sort of starts and ends together, so work follows the overlaps.
+    """
+    def counts(ordered: Column) -> Column:
+        def event(at: Column, kind: int, j: Column) -> Column:
+            return F.struct(at.alias("at"), F.lit(kind).alias("kind"), j.alias("j"))
+
+        events = F.array_sort(F.concat(F.transform(ordered, lambda d, j: event(d["start"], 1, j)),
+                                       F.transform(ordered, lambda d, j: event(d["end"], 0, j))))
+        begun = let(events, lambda e: F.zip_with(e, running(F.transform(e, lambda x: x["kind"]), lambda a, b: a + b), lambda x, n: F.struct(
+            x["j"].alias("j"), x["kind"].alias("kind"), n.alias("n"))))
+        return F.transform(F.array_sort(F.filter(begun, lambda x: x["kind"] == 0)), lambda x: x["n"])
+
+    def pair(a: Column, b: Column) -> Column:
+        first, second = (F.when(a["i"] < b["i"], x).otherwise(y) for x, y in ((a, b), (b, a)))
+        return F.struct(first["i"].alias("ordinal_a"), second["i"].alias("ordinal_b"), first["entity_type"].alias("type_a"),
+                        second["entity_type"].alias("type_b"), iou(a, b).alias("iou"))
+
+    def swept(b: Column) -> Column:
+        def of(d: Column, j: Column) -> Column:
+            others = F.slice(b["sorted"], j + 2, F.greatest(F.get(b["begun"], j) - j - 1, F.lit(0)))
+            return F.transform(F.filter(others, lambda x: x["end"] > d["start"]), lambda x: pair(d, x))
+
+        return F.flatten(F.transform(b["sorted"], of))
+
+    ordered = F.array_sort(F.transform(spans, lambda d, i: F.struct(
+        d["start"].alias("start"), i.alias("i"), d["end"].alias("end"), d["entity_type"].alias("entity_type"))))
+    return let(ordered, lambda o: let(F.struct(o.alias("sorted"), counts(o).alias("begun")), swept))
+
+
 def union_detections(*detections: Column) -> Column:
     """Spans of all sources in source order, stably sorted by start."""
     together = F.concat(*[F.coalesce(d, F.array().cast(SPANS_TYPE)) for d in detections])

@@ -57,25 +57,6 @@ def apply_verifier_scores(entities: DataFrame, scores: DataFrame) -> DataFrame:
         "confidence", verify.verified_confidence(F.col("confidence"), F.col("pii_score")))
 
 
-def overlap_pairs(spans: DataFrame) -> DataFrame:
-    """Overlapping span pairs of one document with their intersection over union.
-
-    A range join done as an equi-join: each span is filed under every block of
-    64 characters it touches, pairs meet only in shared blocks and are kept in
-    the first one. Work follows the overlaps, not the square of a document's
-    span count.
-    """
-    block = 64
-    cells = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
-    filed = spans.select("doc_id", "ordinal", "entity_type", "start", "end", F.explode(cells).alias("block"))
-    a, b = filed.alias("a"), filed.alias("b")
-    meet = ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.block") == F.col("b.block"))
-            & (F.col("a.ordinal") < F.col("b.ordinal")) & (F.col("a.start") < F.col("b.end"))
-            & (F.col("b.start") < F.col("a.end")))
-    first = F.floor(F.greatest(F.col("a.start"), F.col("b.start")) / block) == F.col("a.block")
-    pair_a = F.struct(F.col("a.start").alias("start"), F.col("a.end").alias("end"))
-    pair_b = F.struct(F.col("b.start").alias("start"), F.col("b.end").alias("end"))
-    return a.join(b, meet).filter(first).select(
-        F.col("a.doc_id").alias("doc_id"), F.col("a.ordinal").alias("ordinal_a"),
-        F.col("b.ordinal").alias("ordinal_b"), F.col("a.entity_type").alias("type_a"),
-        F.col("b.entity_type").alias("type_b"), fuse.iou(pair_a, pair_b).alias("iou"))
+def overlap_pairs(df: DataFrame, spans: str) -> DataFrame:
+    """Overlapping span pairs of one document with their intersection over union; a sweep on the row, no join."""
+    return exploded(df, fuse.overlapping_pairs(F.col(spans)), "doc_id", position="pair").select("doc_id", "d.*")
