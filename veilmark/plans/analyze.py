@@ -11,6 +11,8 @@ from ..functions import anonymize, clean, confidence, context, crypto, detect, f
 from ..functions import fixed_values as fixed
 from ..functions.detect import SPANS_TYPE
 from ..functions.text import exact_round, let, running, saved_column, with_once
+from ..sources.annotations import read_annotations
+from ..sources.colocated import StoredDocuments
 from ..sources.files import (list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs, route_by_type,
                              size_gate, unreadable_files)
 from ..sources.parts import rows_to_text
@@ -162,6 +164,11 @@ def _rescored() -> Column:
     return rescore(F.col("unscored"), F.col("scores"))
 
 
+def with_rescored(df: DataFrame) -> DataFrame:
+    """``judged`` after the verifier scores of the column ``scores``."""
+    return with_once(df.withColumnRenamed("judged", "unscored"), "judged", _rescored())
+
+
 @saved_column
 def _assessed() -> Column:
     def assess(b: Column) -> Column:
@@ -276,10 +283,17 @@ def analyze_documents(df: DataFrame, options: Options = Options()) -> DataFrame:
     """
     df = with_validation(with_detections(with_clean_text(df, options)))
     if "scores" in df.columns:
-        df = with_once(df.withColumnRenamed("judged", "unscored"), "judged", _rescored())
+        df = with_rescored(df)
     return assemble_result(with_risk(df), options)
 
 
+def analyze_stored(spark: SparkSession, stored: StoredDocuments, annotations: DataFrame | None = None, scores: DataFrame | None = None,
+                   options: Options = Options()) -> DataFrame:
+    """Analyze a bucketed corpus with raw ``annotations`` and verifier ``scores`` from tables; no text is shuffled."""
+    normalized = None if annotations is None else read_annotations(annotations)
+    return analyze_documents(stored.with_findings(spark, normalized, scores), options)
+
+
 def sanitize(results: DataFrame) -> DataFrame:
     """Results without the token map (the encryption key is never a column)."""
     return results.drop("token_map", "encryption_key")

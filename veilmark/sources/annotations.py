@@ -43,21 +43,30 @@ def _attach(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.join(lists, "doc_id", "left")
 
 
-def attach_annotations(docs: DataFrame, normalized: DataFrame) -> DataFrame:
-    """Put each document's external spans on its row, as ``annotations``."""
+def annotation_lists(normalized: DataFrame) -> DataFrame:
+    """``(doc_id, annotations)``: each document's external spans in order of place."""
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "entity_type",
                     "value", "confidence", "source")
-    lists = _gathered(normalized, span, "listed")
     ordered = F.transform(F.col("listed"), lambda d: F.struct(
         *[d[c].alias(c) for c in ("entity_type", "value", "start", "end", "confidence", "source")]))
-    return _attach(docs, lists.select("doc_id", ordered.alias("annotations")))
+    return _gathered(normalized, span, "listed").select("doc_id", ordered.alias("annotations"))
 
 
-def attach_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Put each document's verifier scores on its row, as ``scores``."""
+def score_lists(scores: DataFrame) -> DataFrame:
+    """``(doc_id, scores)``: each document's verifier scores."""
     item = F.struct("entity_type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
                     "pii_score")
-    return _attach(docs, _gathered(scores, item, "scores"))
+    return _gathered(scores, item, "scores")
+
+
+def attach_annotations(docs: DataFrame, normalized: DataFrame) -> DataFrame:
+    """Put each document's external spans on its row, as ``annotations``; see ``colocated`` for a corpus that is kept."""
+    return _attach(docs, annotation_lists(normalized))
+
+
+def attach_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Put each document's verifier scores on its row, as ``scores``."""
+    return _attach(docs, score_lists(scores))
 
 
 def chunk_text(text: Column, max_chars: int = fixed.CHUNK_CHARS) -> Column:
