@@ -20,6 +20,7 @@ _ACCOUNT = "CASE s_suppkey % 3 WHEN 0 THEN 'Account number is ' WHEN 1 THEN 'acc
 TEXTS = {
     "documents": ("documents", "concat('doc-', cast(doc_id AS string))", "text"),
     "pages": ("pages", "concat('page-', cast(page_id AS string))", "html"),
+    "talk": ("conversations", "concat('talk-', cast(conv_id AS string), '-', cast(turn AS string))", "text"),
     "kyc": ("customer", "concat('kyc-', cast(c_custkey AS string))",
             f"concat('Name: ', c_name, ' | Aadhaar: ', substr({_AADHAAR},1,4), ' ', substr({_AADHAAR},5,4), ' ', "
             f"substr({_AADHAAR},9,4), ' | PAN: ABCDE', lpad(cast(c_custkey % 10000 AS string),4,'0'), "
@@ -81,6 +82,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with a time, a processing time and a name, from the number in their id."""
+    docs = corpus(spark, sf_dir).withColumn("number", F.regexp_extract("doc_id", "[0-9]+", 0).cast("bigint"))
+    return docs.select("doc_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("number") * 977).alias("ts"),
+                       (F.col("number") % 50).cast("double").alias("processing_time_ms"), F.concat(F.lit("text "), "doc_id").alias("document_name"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw outside findings on the customer texts; one pass over the table."""
     rows = [F.struct(*[F.expr(e).alias(c) for e, c in zip(found, ANNOTATION_COLUMNS)]) for found in ANNOTATIONS]

@@ -392,10 +392,13 @@ CHAIN: dict[str, str] = {
 }
 
 
-def chained(select: str, docs: str = CHAIN["docs"], more: str = "") -> str:
-    """``select`` on top of the chain over ``docs`` and of ``more`` expressions; stages it does not reach are not run."""
+def chained(select: str, docs: str = CHAIN["docs"], more: str = "", bare: bool = False) -> str:
+    """``select`` on top of the chain over ``docs`` and of ``more`` expressions; stages it does not reach are not run.
+
+    ``bare`` leaves the findings of outside models away.
+    """
     reached, todo = set(), [select, more]
-    chain = CHAIN | {"docs": docs}
+    chain = CHAIN | {"docs": docs} | ({"annotations": f"SELECT * FROM ({CHAIN['annotations']}) WHERE false"} if bare else {})
     names = list(chain)
     while todo:
         body = todo.pop()

@@ -23,6 +23,7 @@ from ..plans import analyze
 from ..sources import annotations as ann
 from ..sources import audit, files, parts
 from ..streaming import stream
+from ..streaming.daily import DailyTotals
 from ..streaming.vault import StreamVault
 from . import inputs, oracle
 from .oracle import chained
@@ -951,25 +952,22 @@ def o4(spark, sf):
     return shown.select("document_id", "risk_analysis.risk_score", F.lit(secrets).alias("secrets"))
 
 
-_TS = "timestamp_seconds(1704067200 + o_orderkey * 977)"
-_TS_SQL = "to_timestamp(1704067200 + o_orderkey * 977)::TIMESTAMP"
-_ORDER_OF = "cast(substr(doc_id, 7) AS BIGINT)"
+_NUMBER = "cast(regexp_extract(doc_id, '[0-9]+') AS BIGINT)"
 
 
 def _dated_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Analysis of the order texts with a time per document."""
-    source, key, text = inputs.TEXTS["label"]
-    docs = inputs.table(spark, sf, source).selectExpr(
-        f"{key} AS doc_id", f"{text} AS text", f"{_TS} AS ts", "cast(o_orderkey % 50 AS double) AS processing_time_ms",
-        "concat('order ', cast(o_orderkey AS string)) AS document_name")
-    return analyze.analyze_documents(analyze.spread(docs), analyze.Options(keep_original=True))
+    """Analysis of all texts with a time per document."""
+    return analyze.analyze_documents(inputs.dated(spark, sf), analyze.Options(keep_original=True))
 
 
-# Records of the order texts, for the SQL side.
-_LOG = f"""(SELECT doc_id AS document_id, to_timestamp(1704067200 + {_ORDER_OF} * 977) AT TIME ZONE 'UTC' AS ts,
-    'order ' || substr(doc_id, 7) AS document_name, n AS entity_count, final_score AS risk_score, final_level AS risk_level,
-    {_ORDER_OF} % 50 AS ms FROM adjusted WHERE starts_with(doc_id, 'label-'))"""
-_LOG_ENTITIES = "(SELECT * FROM entities WHERE starts_with(doc_id, 'label-'))"
+# Records of all texts, for the SQL side.
+_LOG = f"""(SELECT doc_id AS document_id, to_timestamp(1704067200 + {_NUMBER} * 977) AT TIME ZONE 'UTC' AS ts,
+    'text ' || doc_id AS document_name, n AS entity_count, final_score AS risk_score, final_level AS risk_level,
+    {_NUMBER} % 50 AS ms FROM adjusted)"""
+
+
+def logged(select: str) -> str:
+    return chained(select, bare=True)
 
 
 def _shown_time(column: str = "timestamp") -> Column:
@@ -980,7 +978,7 @@ _SHOWN = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
 _LOG_COLUMNS = ["document_id", "document_name", "entity_count", "risk_score", "risk_level"]
 
 
-@query("o5_write_audit", chained(f"SELECT {', '.join(_LOG_COLUMNS)}, {_SHOWN} AS shown, {_SHOWN}[1:10] AS dt FROM {_LOG}"))
+@query("o5_write_audit", logged(f"SELECT {', '.join(_LOG_COLUMNS)}, {_SHOWN} AS shown, {_SHOWN}[1:10] AS dt FROM {_LOG}"))
 def o5(spark, sf):
     folder = _folder(spark) + "/audit"
     audit.write_audit(audit.to_audit_log(_dated_results(spark, sf)), folder)
@@ -988,7 +986,7 @@ def o5(spark, sf):
     return log.select(*_LOG_COLUMNS, _shown_time().alias("shown"), C("dt").cast("string").alias("dt"))
 
 
-@query("s11_read_audit", chained(f"SELECT document_id, risk_level, {_SHOWN} AS shown FROM {_LOG} WHERE {_SHOWN}[1:10] >= '2024-01-10'"))
+@query("s11_read_audit", logged(f"SELECT document_id, risk_level, {_SHOWN} AS shown FROM {_LOG} WHERE {_SHOWN}[1:10] >= '2024-01-10'"))
 def s11(spark, sf):
     folder = _folder(spark) + "/audit"
     audit.write_audit(audit.to_audit_log(_dated_results(spark, sf)), folder, "parquet")
@@ -996,13 +994,13 @@ def s11(spark, sf):
     return log.select("document_id", "risk_level", _shown_time().alias("shown"))
 
 
-@query("o6_recent_audit", chained(f"SELECT {', '.join(_LOG_COLUMNS)}, {_SHOWN} AS shown FROM {_LOG} ORDER BY ts DESC, document_id LIMIT 50"))
+@query("o6_recent_audit", logged(f"SELECT {', '.join(_LOG_COLUMNS)}, {_SHOWN} AS shown FROM {_LOG} ORDER BY ts DESC, document_id LIMIT 50"))
 def o6(spark, sf):
     return audit.recent_audit(audit.to_audit_log(_dated_results(spark, sf)), 50).select(
         *_LOG_COLUMNS, _shown_time().alias("shown"))
 
 
-@query("o7_to_audit_log", chained(f"""SELECT l.document_id, entity_count, risk_score, ms::DOUBLE AS processing_time_ms,
+@query("o7_to_audit_log", logged(f"""SELECT l.document_id, entity_count, risk_score, ms::DOUBLE AS processing_time_ms,
     coalesce(k.n, 0) AS regex_count, coalesce(strategies, '') AS strategies FROM {_LOG} l
     LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id) k ON k.doc_id = l.document_id
     LEFT JOIN (SELECT doc_id, array_to_string(list_sort(list(DISTINCT strategy)), '|') AS strategies FROM planned GROUP BY doc_id) p
@@ -1013,15 +1011,15 @@ def o7(spark, sf):
                       joined("strategies_used").alias("strategies"))
 
 
-@query("o8_to_detected_entities", chained(f"""SELECT doc_id AS document_id, entity_type, sensitivity_level, confidence,
-    strategy AS anonymization_strategy, source AS detector_source FROM {_LOG_ENTITIES}"""))
+@query("o8_to_detected_entities", logged(f"""SELECT doc_id AS document_id, entity_type, sensitivity_level, confidence,
+    strategy AS anonymization_strategy, source AS detector_source FROM entities"""))
 def o8(spark, sf):
     return audit.to_detected_entities(_dated_results(spark, sf)).drop("timestamp")
 
 
 # --- corpus analytics ---------------------------------------------------------------------------
 
-@query("m1_overview", chained(f"""SELECT count(*) AS documents, cast(coalesce(sum(m), 0) AS BIGINT) AS entities,
+@query("m1_overview", logged(f"""SELECT count(*) AS documents, cast(coalesce(sum(m), 0) AS BIGINT) AS entities,
     round(avg(risk_score), 6) AS mean_risk, round(avg(ms), 6) AS mean_latency_ms FROM {_LOG} l
     LEFT JOIN (SELECT doc_id, count(*) AS m FROM entities GROUP BY doc_id) e ON e.doc_id = l.document_id"""))
 def m1(spark, sf):
@@ -1030,7 +1028,7 @@ def m1(spark, sf):
         F.round("mean_latency_ms", 6).alias("mean_latency_ms"))
 
 
-@query("m2_recent_analyses", chained(f"SELECT {_SHOWN} AS shown, document_id, document_name, entity_count, risk_level "
+@query("m2_recent_analyses", logged(f"SELECT {_SHOWN} AS shown, document_id, document_name, entity_count, risk_level "
                                      f"FROM {_LOG} ORDER BY ts DESC, document_id LIMIT 8"))
 def m2(spark, sf):
     newest = metrics.recent_analyses(audit.to_audit_log(_dated_results(spark, sf)))
@@ -1047,7 +1045,7 @@ def m3(spark, sf):
     return metrics.entity_breakdown_all(_reported(spark, sf))
 
 
-@query("m4_daily_trend", chained(f"""SELECT {_SHOWN}[1:10] AS day, count(*) AS documents, cast(sum(entity_count) AS BIGINT)
+@query("m4_daily_trend", logged(f"""SELECT {_SHOWN}[1:10] AS day, count(*) AS documents, cast(sum(entity_count) AS BIGINT)
     AS pii_detected, count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL')) AS high_risk FROM {_LOG} GROUP BY 1"""))
 def m4(spark, sf):
     return metrics.daily_trend(audit.to_audit_log(_dated_results(spark, sf))).withColumn("day", C("day").cast("string"))
@@ -1066,7 +1064,7 @@ def m6(spark, sf):
     return metrics.transformation_history(_finished(spark, sf).withColumnRenamed("doc_id", "document_id"))
 
 
-@query("m7_audit_feed", chained(f"""SELECT document_name || ' processed — ' || cast(coalesce(m, 0) AS VARCHAR) ||
+@query("m7_audit_feed", logged(f"""SELECT document_name || ' processed — ' || cast(coalesce(m, 0) AS VARCHAR) ||
     ' entities, risk ' || risk_level AS message, 'doc_id: ' || document_id || ' · score: ' || regexp_replace(
     cast(risk_score AS VARCHAR), '\\.0$', '') || ' · ' || cast(ms AS VARCHAR) || 'ms · encrypted: no' AS detail,
     CASE risk_level WHEN 'CRITICAL' THEN 'err' WHEN 'HIGH' THEN 'warn' ELSE 'ok' END AS status
@@ -1084,7 +1082,7 @@ def m8(spark, sf):
     return metrics.confidence_by_type(_reported(spark, sf)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
-@query("m9_audit_projection", chained(f"SELECT {', '.join(_LOG_COLUMNS)}, {_SHOWN} AS shown FROM {_LOG}"))
+@query("m9_audit_projection", logged(f"SELECT {', '.join(_LOG_COLUMNS)}, {_SHOWN} AS shown FROM {_LOG}"))
 def m9(spark, sf):
     shown = metrics.audit_projection(audit.to_audit_log(_dated_results(spark, sf)))
     return shown.withColumn("shown", _shown_time()).drop("timestamp")
@@ -1193,27 +1191,39 @@ def _drained(stream_out: DataFrame, folder: str, mode: str = "append") -> DataFr
 
 
 @query("p4_analyze_stream", chained("""SELECT doc_id AS document_id, final_score AS risk_score, anonymized_text FROM adjusted
-    JOIN spliced USING (doc_id) WHERE NOT starts_with(doc_id, 'kyc-')"""))
+    JOIN spliced USING (doc_id)""", bare=True))
 def p4(spark, sf):
-    # all texts but those that have annotations, which a stream of texts does not bring
-    source, folder = _streamed(spark, inputs.corpus(spark, sf).filter("doc_id NOT LIKE 'kyc-%'"), "docs")
+    source, folder = _streamed(spark, inputs.corpus(spark, sf), "docs")
     shown = stream.analyze_stream(source).select("document_id", "risk_analysis.risk_score", "anonymized_text")
     return _drained(shown, folder)
 
 
-@query("p5_stream_audit_metrics", chained(f"""SELECT {_SHOWN}[1:10] AS day, count(*) AS documents, cast(sum(entity_count) AS BIGINT)
-    AS pii_detected, count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL')) AS high_risk, round(avg(risk_score), 6) AS mean_risk
-    FROM {_LOG} GROUP BY 1"""))
+_ARRIVALS = 3
+_ARRIVING = f"""(SELECT *, cast(ts AS DATE) AS day, max(CASE WHEN arrival = 0 THEN ts END) OVER () AS first_end, max(CASE WHEN arrival < 2 THEN ts END)
+    OVER () AS second_end FROM (SELECT l.*, cast(regexp_extract(document_id, '[0-9]+') AS BIGINT) // 7 % {_ARRIVALS} AS arrival FROM {_LOG} l))"""
+
+
+@query("p5_stream_audit_metrics", logged(f"""SELECT {_SHOWN}[1:10] AS day, count(*) AS documents, cast(sum(entity_count) AS BIGINT)
+    AS pii_detected, count(*) FILTER (risk_level IN ('HIGH', 'CRITICAL')) AS high_risk, round(avg(risk_score), 6) AS mean_risk,
+    count(*) FILTER (arrival > 0 AND cast(day AS TIMESTAMP) + INTERVAL 1 DAY <= CASE arrival WHEN 1 THEN first_end ELSE second_end END
+        - INTERVAL 1 HOUR) AS late FROM {_ARRIVING} GROUP BY 1"""))
 def p5(spark, sf):
-    log = audit.to_audit_log(_dated_results(spark, sf)).select("timestamp", "entity_count", "risk_score", "risk_level")
-    source, folder = _streamed(spark, log, "log")
-    totals = stream.stream_audit_metrics(source)
-    # each batch writes the totals so far; a batch that is run again writes the same folder
-    totals.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(
-        lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/totals")).trigger(availableNow=True).start().awaitTermination()
-    shown = spark.read.schema(totals.schema).parquet(f"{folder}/totals")
-    return shown.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "documents", "pii_detected",
-                        C("high_risk").cast("bigint").alias("high_risk"), F.round("mean_risk", 6).alias("mean_risk"))
+    log = audit.to_audit_log(_dated_results(spark, sf)).select(
+        "document_id", "timestamp", C("entity_count").cast("bigint").alias("entity_count"), "risk_score", "risk_level")
+    folder = _folder(spark)
+    number = F.regexp_extract("document_id", "[0-9]+", 0).cast("bigint")
+    log.withColumn("arrival", F.floor(number / 7) % _ARRIVALS).drop("document_id").write.partitionBy("arrival").parquet(f"{folder}/log")
+    kept = DailyTotals(f"{folder}/daily")
+    for arrival in range(_ARRIVALS):  # three deliveries over the same days, so later ones bring records of closed days
+        part = spark.read.parquet(f"{folder}/log").filter(C("arrival") == arrival).drop("arrival")
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        source.writeStream.foreachBatch(kept.writer()).option("checkpointLocation", f"{folder}/state").trigger(
+            availableNow=True).start().awaitTermination()
+    late = kept.corrections(spark, _ARRIVALS).select("day", C("documents").alias("late"))
+    return kept.totals(spark, _ARRIVALS).join(late, "day", "left").select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "documents", "pii_detected", "high_risk", F.round("mean_risk", 6).alias("mean_risk"),
+        F.coalesce("late", F.lit(0)).alias("late"))
 
 
 @query("p6_stream_vault", chained(f"""SELECT value, entity_type, entity_type || '_TOKEN_' || {oracle.sha('value', 8)} AS token
@@ -1229,8 +1239,8 @@ def p6(spark, sf):
     return kept.read(spark, batches=1).select("value", "entity_type", "token")
 
 
-_PARTS = [("documents", "pages"), ("kyc", "label"), ("version", "fin", "gov")]  # arrive one after the other
-_PART = ("CASE WHEN starts_with(doc_id, 'doc-') OR starts_with(doc_id, 'page-') THEN 0 "
+_PARTS = [("documents", "pages", "talk"), ("kyc", "label"), ("version", "fin", "gov")]  # arrive one after the other
+_PART = ("CASE WHEN starts_with(doc_id, 'doc-') OR starts_with(doc_id, 'page-') OR starts_with(doc_id, 'talk-') THEN 0 "
          "WHEN starts_with(doc_id, 'kyc-') OR starts_with(doc_id, 'label-') THEN 1 ELSE 2 END")
 _ARRIVED = ("SELECT value, " + ", ".join(f"first({c} ORDER BY part, doc_id, ordinal, entity_type) AS {c}" for c in (
     "entity_type", "part", "doc_id", "ordinal")) + f" FROM (SELECT *, {_PART} AS part FROM kept) GROUP BY value")
