@@ -78,13 +78,15 @@ def s1(spark, sf):
                        clean.strip_text(C("text")).alias("text"))
 
 
-@query("s2_read_csv_rows", "SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, "
-       "CASE c_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a, \"quoted\" b' ELSE c_mktsegment END AS note FROM customer")
+_NOTES = ("CASE c_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a, \"quoted\" b' WHEN 2 THEN concat('two', chr(10), chr(10), '\"lines\", ', c_name) "
+          "ELSE c_mktsegment END")
+
+
+@query("s2_read_csv_rows", f"SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, {_NOTES} AS note FROM customer")
 def s2(spark, sf):
     folder = _folder(spark) + "/csv"
-    inputs.table(spark, sf, "customer").selectExpr(
-        "c_custkey", "c_name", "CASE c_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a, \"quoted\" b' ELSE c_mktsegment END "
-        "AS note").write.option("header", True).option("escape", '"').csv(folder)
+    inputs.table(spark, sf, "customer").selectExpr("c_custkey", "c_name", f"{_NOTES} AS note").write.option("header", True).option(
+        "escape", '"').csv(folder)
     return files.read_csv_rows(spark, folder)
 
 

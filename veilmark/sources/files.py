@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import is_blank, let, with_once
+from .csv_records import csv_records
 
 
 def file_suffix(path: Column) -> Column:
@@ -92,15 +93,17 @@ def read_text_docs(spark: SparkSession, path: str, max_bytes: int | None = None,
     return _as_documents(_read_bytes(spark, path, "txt", max_bytes), text, "txt")
 
 
-def read_csv_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header as all-string rows; empty cells are ``""``, never null.
 
-    Large files are split among tasks, and a quoted line break ends a row; ``multiline=True`` reads
-    such breaks, with one task for each file.
+    Large files are read in splits, quoted line breaks included (see ``csv_records``). Names come from the first file; every file's first
+    record is its header. A record with fewer fields is filled up, one with more is cut.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', emptyValue="",
-                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
+    options = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = spark.read.options(**options).csv(path, header=True, inferSchema=False, multiLine=True).columns  # opens one file
+    schema = ", ".join(f"`{i}` string" for i in range(len(names)))
+    cells = csv_records(spark, path).filter(~F.col("first")).select(F.from_csv("record", F.lit(schema), options).alias("r"))
+    return cells.select(*(F.coalesce(F.col("r")[str(i)], F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
 _RECORD, _FIELD = "\ufdd0", "\ufdd1"  # noncharacters that stand for the line ends and commas outside quotes
