@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import crypto
 from veilmark.operators import metrics, spans, vault
-from veilmark.plans.analyze import analyze_documents, analyze_files, analyze_table, sanitize
+from veilmark.plans.analyze import analyze_contents, analyze_documents, analyze_files, analyze_table, sanitize
 from veilmark.sources import annotations as ann
 from veilmark.sources import audit, files, parts
+from veilmark.sources.listing import list_tree
 from veilmark.streaming import stream
 
 KEY = bytes(range(32))
@@ -40,11 +41,30 @@ def test_files_are_routed_read_and_refused(spark, tmp_path):
     assert reasons == {
         "B.TXT": "no text", "e.pdf": "text must be supplied as parts", "f.exe": "unsupported type", "g.txt": "empty file",
         "h.csv": "more fields than names", "i.csv": "not UTF-8", "j.csv": "quote without end"}
-    small = files.size_gate(files.route_by_type(files.list_files(spark, str(tmp_path))), max_bytes=10)
+    small = files.size_gate(files.route_by_type(list_tree(spark, str(tmp_path))), max_bytes=10)
     assert {files_name(r.path) for r in files.accepted_files(small).collect()} == {
         "B.TXT", "e.pdf", "g.txt", "h.csv", "i.csv", "j.csv"}
 
 
+def test_a_table_of_contents_gives_what_the_folder_gives(spark, tmp_path):
+    contents = {"a.txt": b"Call me at 9876543210\r\nend", "b/B.TXT": b"   ", "b/c.csv": b'id,note\n1,"two\nlines"\n', "d.pdf": b"%PDF", "e.exe": b"MZ",
+                "b/deep/f.txt": b"", "b/deep/g.csv": b"a,b\n1,2,3\n", "_hidden.txt": b"x@y.org", ".h/i.txt": b"x@y.org"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    listed = {r.path: r.length for r in list_tree(spark, str(tmp_path)).collect()}
+    shown = {n: c for n, c in contents.items() if not n.startswith(("_", "."))}
+    assert listed == {f"file:{tmp_path}/{n}": len(c) for n, c in shown.items()}
+    assert [r.path for r in list_tree(spark, str(tmp_path / "a.txt")).collect()] == [f"file:{tmp_path}/a.txt"]
+    assert list_tree(spark, str(tmp_path / "none")).count() == 0
+    table = spark.createDataFrame([(f"file:{tmp_path}/{n}", bytearray(c)) for n, c in shown.items()], "path string, content binary")
+    for by_folder, by_table in zip(analyze_files(spark, str(tmp_path)), analyze_contents(table)):
+        columns = [c for c in by_table.columns if c in by_folder.columns and c != "token_map"]
+        assert sorted(map(str, by_folder.select(columns).collect())) == sorted(map(str, by_table.select(columns).collect()))
+    found, refused = analyze_contents(table, max_bytes=20)
+    assert found.count() == 0 and {r.path.rsplit("/", 1)[1]: r.refusal for r in refused.collect()}["c.csv"] == "file too large"
+
+
 def test_large_files_are_read_by_default(spark, tmp_path):
     (tmp_path / "l.txt").write_text("word " * 2_300_000)
     assert files.read_text_docs(spark, str(tmp_path)).select(F.length("text").alias("n")).first().n == 11_500_000
@@ -187,3 +207,14 @@ def test_costly_columns_are_computed_once(spark, sf_dir):
     assert plan.count("okhdfcbank") == 2  # one scan pattern and its copy in the rule table
     assert "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_every_selection_of_result_columns(spark):
+    """The optimizer prunes nested fields through the stages; no selection may lose one."""
+    results = analyze_documents(dated(spark, 3))
+    whole = results.collect()
+    for columns in ([], ["risk_analysis.*"], ["entities"], ["token_map", "detection_stats"], ["risk_analysis.base_risk_score", "anonymized_text"],
+                    ["risk_analysis.quasi_identifier_analysis.recommendations", "risk_analysis.entity_breakdown", "entities.confidence"],
+                    [c for c in results.columns if c != "token_map"]):
+        assert len(results.select("document_id", *columns).collect()) == len(whole) == 3
+    assert results.filter("risk_analysis.risk_score > 1000").select("anonymized_text").count() == 0

@@ -70,12 +70,9 @@ _FIN = oracle.TEXTS["fin"]
 
 @query("s1_read_text_docs", f"SELECT {_FIN[1]} AS doc_id, {_FIN[2]} AS text FROM supplier")
 def s1(spark, sf):
-    folder = _folder(spark) + "/docs"
-    inputs.texts(spark, sf, "fin").withColumn("name", C("doc_id")).select("name", "text").write.partitionBy(
-        "name").option("compression", "none").text(folder)
-    docs = files.read_text_docs(spark, folder)
-    return docs.select(F.regexp_extract(C("metadata")["source"], "name=([^/]+)/", 1).alias("doc_id"),
-                       clean.strip_text(C("text")).alias("text"))
+    contents = inputs.texts(spark, sf, "fin").select(F.concat(F.lit("store/"), "doc_id", F.lit(".txt")).alias("path"), C("text").cast("binary").alias("content"))
+    docs = files.text_docs(contents)
+    return docs.select(F.regexp_replace("document_name", "[.]txt$", "").alias("doc_id"), clean.strip_text(C("text")).alias("text"))
 
 
 _NOTES = ("CASE c_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a, \"quoted\" b' WHEN 2 THEN concat('two', chr(10), chr(10), '\"lines\", ', c_name) "
@@ -1125,10 +1122,8 @@ def p1(spark, sf):
 
 
 def _mixed_files(spark: SparkSession, sf: str) -> str:
-    """A folder with a text for each supplier, a sheet for each nation's customers, and files of every kind that is refused."""
+    """A folder with a sheet for each nation's customers, and files of every kind that is refused, one for each nation or region."""
     folder = _folder(spark)
-    inputs.texts(spark, sf, "fin").withColumn("name", C("doc_id")).select("name", "text").write.partitionBy(
-        "name").text(folder + "/in/txt")
     customers = inputs.table(spark, sf, "customer").select(
         C("c_nationkey").alias("nation"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     customers.repartition("nation").sortWithinPartitions("nation", "c_custkey").write.partitionBy("nation").option(
@@ -1142,15 +1137,19 @@ def _mixed_files(spark: SparkSession, sf: str) -> str:
     return folder + "/in"
 
 
-_SHEET = " || ' | ' || ".join(f"'{c}: ' || cast({c} AS VARCHAR)" for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+def _mixed_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same sheets and a text for each supplier as rows ``(path, content)``."""
+    texts = inputs.texts(spark, sf, "fin").select(F.concat(F.lit("in/name="), "doc_id", F.lit("/part.TXT")).alias("path"), "text")
+    columns = ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    line = F.concat_ws(",", *(C(c).cast("string") for c in columns))
+    sheets = inputs.table(spark, sf, "customer").groupBy("c_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines")).select(
+        F.concat(F.lit("in/nation="), C("c_nationkey").cast("string"), F.lit("/part.csv")).alias("path"),
+        F.array_join(F.concat(F.array(F.lit(",".join(columns))), F.transform("lines", lambda x: x["line"])), "\r\n").alias("text"))
+    return texts.unionAll(sheets).select("path", C("text").cast("binary").alias("content"))
 
 
-@query("p2_analyze_files", chained("""SELECT doc_id AS name, length(t) AS cleaned_length, n AS entity_count, final_level AS
-    risk_level, anonymized_text FROM adjusted JOIN clean USING (doc_id) JOIN spliced USING (doc_id)""",
-    f"""SELECT {_FIN[1]} AS doc_id, {_FIN[2]} AS text FROM supplier UNION ALL SELECT 'nation-' || c_nationkey,
-    string_agg({_SHEET}, chr(10) ORDER BY c_custkey) FROM customer GROUP BY c_nationkey"""))
-def p2(spark, sf):
-    found, _ = analyze.analyze_files(spark, _mixed_files(spark, sf))
+def _found_in_files(found: DataFrame) -> DataFrame:
     source = C("metadata")["source"]
     name = F.when(C("document_type") == "csv", F.concat(F.lit("nation-"), F.regexp_extract(source, "nation=([^/]+)/", 1))).otherwise(
         F.regexp_extract(source, "name=([^/]+)/", 1))
@@ -1158,6 +1157,24 @@ def p2(spark, sf):
                         "anonymized_text")
 
 
+_SHEET = " || ' | ' || ".join(f"'{c}: ' || cast({c} AS VARCHAR)" for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+_IN_FILES = """SELECT doc_id AS name, length(t) AS cleaned_length, n AS entity_count, final_level AS
+    risk_level, anonymized_text FROM adjusted JOIN clean USING (doc_id) JOIN spliced USING (doc_id)"""
+_SHEETS = f"SELECT 'nation-' || c_nationkey AS doc_id, string_agg({_SHEET}, chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY c_nationkey"
+
+
+@query("p2_analyze_files", chained(_IN_FILES, _SHEETS))
+def p2(spark, sf):
+    found, _ = analyze.analyze_files(spark, _mixed_files(spark, sf))
+    return _found_in_files(found)
+
+
+@query("p2_analyze_contents", chained(_IN_FILES, f"SELECT {_FIN[1]} AS doc_id, {_FIN[2]} AS text FROM supplier UNION ALL {_SHEETS}"))
+def p2_contents(spark, sf):
+    found, _ = analyze.analyze_contents(_mixed_contents(spark, sf))
+    return _found_in_files(found)
+
+
 @query("p2_refused_files", """SELECT 'csv' AS document_type, 'more fields than names' AS refusal, count(*) AS files FROM region
     UNION ALL SELECT 'parquet', 'unsupported type', count(*) FROM region UNION ALL SELECT 'txt', 'no text', count(*) FROM nation""")
 def p2_refused(spark, sf):

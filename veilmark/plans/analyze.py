@@ -13,8 +13,9 @@ from ..functions.detect import SPANS_TYPE
 from ..functions.text import exact_round, let, running, saved_column, with_once
 from ..sources.annotations import read_annotations
 from ..sources.colocated import StoredDocuments
-from ..sources.files import (list_files, quarantined_files, read_csv_docs, read_text_docs, reject_blank_docs, route_by_type,
-                             size_gate, unreadable_files)
+from ..sources.files import (csv_docs, file_suffix, quarantined_files, read_bytes, reject_blank_docs, route_by_type, size_gate, text_docs,
+                             unreadable)
+from ..sources.listing import list_tree
 from ..sources.parts import rows_to_text
 
 SCORES_TYPE = "array<struct<entity_type:string,start:int,end:int,pii_score:double>>"
@@ -253,7 +254,7 @@ def with_finished(df: DataFrame) -> DataFrame:
 
 def assemble_result(df: DataFrame, options: Options = Options()) -> DataFrame:
     """The final nested row per document."""
-    ready = with_finished(df).withColumn("risk_analysis", _risk_analysis())
+    ready = with_finished(with_once(df, "risk_analysis", _risk_analysis()))
     entities = F.col("finished")["entities"]
     if not options.keep_original:
         entities = F.transform(entities, lambda e: e.dropFields("original_value"))
@@ -306,6 +307,17 @@ def analyze_table(df: DataFrame, key: str, options: Options = Options()) -> Data
                                        F.lit("csv").alias("document_type")), options)
 
 
+def _analyzed_files(texts: DataFrame, sheets: DataFrame, listed: DataFrame, options: Options, max_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    docs = reject_blank_docs(text_docs(texts).unionByName(csv_docs(sheets)))
+    routed = route_by_type(listed)
+    routed = routed if max_bytes is None else size_gate(routed, max_bytes)
+    undecoded = ~F.col("document_type").isin("txt", "csv")
+    routed = routed.withColumn("refusal", F.coalesce(
+        "refusal", F.when(undecoded, "text must be supplied as parts"), F.when(F.col("length") == 0, "empty file")))
+    refused = routed.join(unreadable(texts, sheets), "path", "left").withColumn("refusal", F.coalesce("refusal", "reason")).drop("reason")
+    return analyze_documents(docs, options), quarantined_files(refused)
+
+
 def analyze_files(spark: SparkSession, path: str, options: Options = Options(),
                   max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Analyze the text and CSV files under ``path``; returns ``(results, refused files)``.
@@ -313,12 +325,14 @@ def analyze_files(spark: SparkSession, path: str, options: Options = Options(),
     Every file is in one of the two. Types whose decoding is left to other tools come back as refused; their
     pages or paragraphs enter through :func:`veilmark.sources.parts.assemble_document`.
     """
-    docs = reject_blank_docs(read_text_docs(spark, path, max_bytes).unionByName(read_csv_docs(spark, path, max_bytes)))
-    routed = route_by_type(list_files(spark, path))
-    routed = routed if max_bytes is None else size_gate(routed, max_bytes)
-    undecoded = ~F.col("document_type").isin("txt", "csv")
-    routed = routed.withColumn("refusal", F.coalesce(
-        "refusal", F.when(undecoded, "text must be supplied as parts"), F.when(F.col("length") == 0, "empty file")))
-    reasons = unreadable_files(spark, path, max_bytes)
-    refused = routed.join(reasons, "path", "left").withColumn("refusal", F.coalesce("refusal", "reason")).drop("reason")
-    return analyze_documents(docs, options), quarantined_files(refused)
+    return _analyzed_files(read_bytes(spark, path, "txt", max_bytes), read_bytes(spark, path, "csv", max_bytes), list_tree(spark, path),
+                           options, max_bytes)
+
+
+def analyze_contents(files: DataFrame, options: Options = Options(), max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`analyze_files` for a table ``(path, content)``, the form for very many small files: names decide, contents are rows."""
+    listed = files.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length"))
+    small = files.filter(F.octet_length("content") > 0)
+    small = small if max_bytes is None else small.filter(F.octet_length("content") <= max_bytes)
+    of_type = {t: small.filter(file_suffix(F.col("path")) == t).select("path", "content") for t in ("txt", "csv")}
+    return _analyzed_files(of_type["txt"], of_type["csv"], listed, options, max_bytes)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +39,6 @@ def quarantined_files(routed: DataFrame) -> DataFrame:
     return routed.filter(F.col("refusal").isNotNull())
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """File names and sizes; the content column is pruned and never read.
-
-    Scans leave out files without bytes; those are added from the scan's own listing.
-    """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = spark.createDataFrame([(unquote(f),) for f in listing.inputFiles()], "path string")
-    full = listing.select("path", "length", "modificationTime")
-    bare = F.regexp_replace("path", "^file:/+", "file:/")
-    empty = named.select(bare.alias("path")).join(full.select(bare.alias("path")), "path", "left_anti")
-    return full.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"),
-                                         F.lit(None).cast("timestamp").alias("modificationTime")))
-
-
 def document_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
 
@@ -64,7 +48,7 @@ def document_id(path: Column, text: Column) -> Column:
     return F.left(F.sha2(F.concat(path, text), 256), F.lit(12))
 
 
-def _read_bytes(spark: SparkSession, path: str, suffix: str, max_bytes: int | None) -> DataFrame:
+def read_bytes(spark: SparkSession, path: str, suffix: str, max_bytes: int | None) -> DataFrame:
     # The file-name filter prunes the listing, the length filter skips reading content.
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.[" + "][".join(c + c.upper() for c in suffix) + "]").load(path))
@@ -84,13 +68,18 @@ def _as_documents(files: DataFrame, text: Column, document_type: str) -> DataFra
         F.create_map(F.lit("source"), F.col("path")).alias("metadata"))
 
 
-def read_text_docs(spark: SparkSession, path: str, max_bytes: int | None = None,
-                   universal_newlines: bool = True) -> DataFrame:
-    """Every ``.txt`` file as one document; line ends become ``\\n`` as in text-mode reading."""
+def text_docs(files: DataFrame, universal_newlines: bool = True) -> DataFrame:
+    """Every row of ``(path, content)`` as one document; line ends become ``\\n`` as in text-mode reading."""
     text = bytes_to_text(F.col("content"))
     if universal_newlines:
         text = F.regexp_replace(text, "\r\n?", "\n")
-    return _as_documents(_read_bytes(spark, path, "txt", max_bytes), text, "txt")
+    return _as_documents(files, text, "txt")
+
+
+def read_text_docs(spark: SparkSession, path: str, max_bytes: int | None = None,
+                   universal_newlines: bool = True) -> DataFrame:
+    """Every ``.txt`` file as one document."""
+    return text_docs(read_bytes(spark, path, "txt", max_bytes), universal_newlines)
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -155,12 +144,12 @@ def csv_texts(files: DataFrame) -> DataFrame:
         F.size(header).cast("string").alias("columns"), "problem")
 
 
-def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Every readable ``.csv`` file as one document, whatever its columns; :func:`csv_texts` tells of the others.
+def csv_docs(files: DataFrame) -> DataFrame:
+    """Every readable CSV of ``(path, content)`` as one document, whatever its columns; :func:`csv_texts` tells of the others.
 
     A file's lines never leave it, so no shuffle is needed to join them.
     """
-    texts = csv_texts(_read_bytes(spark, path, "csv", max_bytes).select("path", "content")).filter(F.col("problem").isNull())
+    texts = csv_texts(files.select("path", "content")).filter(F.col("problem").isNull())
     return texts.select(
         document_id(F.col("path"), F.col("text")).alias("doc_id"), document_name(F.col("path")).alias("document_name"),
         F.lit("csv").alias("document_type"), "text", F.create_map(
@@ -168,13 +157,17 @@ def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = None)
             F.lit("col_count"), F.col("columns")).alias("metadata"))
 
 
-def unreadable_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """``(path, reason)`` of text and CSV files without a text to analyze."""
-    texts = read_text_docs(spark, path, max_bytes).select(F.col("metadata")["source"].alias("path"), "text",
-                                                          F.lit(None).cast("string").alias("problem"))
-    sheets = csv_texts(_read_bytes(spark, path, "csv", max_bytes).select("path", "content")).select("path", "text", "problem")
+def read_csv_docs(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Every readable ``.csv`` file as one document."""
+    return csv_docs(read_bytes(spark, path, "csv", max_bytes))
+
+
+def unreadable(texts: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``(path, reason)`` of text and CSV files, both ``(path, content)``, without a text to analyze."""
+    plain = text_docs(texts).select(F.col("metadata")["source"].alias("path"), "text", F.lit(None).cast("string").alias("problem"))
+    tables = csv_texts(sheets.select("path", "content")).select("path", "text", "problem")
     reason = F.coalesce("problem", F.when(is_blank(F.col("text")), "no text"))
-    return texts.unionByName(sheets).select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return plain.unionByName(tables).select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def reject_blank_docs(docs: DataFrame) -> DataFrame:
