@@ -414,3 +414,81 @@ def test_a_cut_through_a_character_leaves_valid_text(spark):
     same = "q" * 399 + "\u00e9"  # the last byte of the repeated string is half of a character
     got = repeats.without_repeats(frame(spark, [same + "one", "q" * 399 + "\u00ea" + "two"])).collect()
     assert all(r.kept[0] >= 0x80 and r.text in ("one", "two") for r in got)
+
+
+def chained_text(rng, good, bad):
+    """Lines with their labels: a boilerplate head and foot around sentences, or the other way round."""
+    def menu():
+        return " | ".join(f"{rng.choice(['Home', 'Login', 'Cart', 'Help'])}{rng.randint(0, 999)}" for _ in range(4)) + " >>>"
+
+    def plain():
+        return " ".join("".join(rng.choices("aeinorst", k=rng.randint(3, 8))) for _ in range(rng.randint(9, 16))) + "."
+
+    head = [(menu(), 0) for _ in range(bad)]
+    return [*head, *((plain(), 1) for _ in range(good)), *((menu(), 0) for _ in range(bad))]
+
+
+def test_heads_and_feet_are_told_from_the_lines_between(spark):
+    """The field is fitted on one label a document, yet labels change inside a text."""
+    rng = random.Random(12)
+    texts, labels, truth = [], [], []
+    for i in range(240):
+        fine = i % 3 > 0
+        lines = chained_text(rng, 14 if fine else 2, 2 if fine else 9)
+        texts.append("\n".join(t for t, _ in lines))
+        truth.append([y for _, y in lines])
+        labels.append((i, int(fine)))
+    docs = frame(spark, texts)
+    field = quality.train_field(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    right = total = 0
+    for i in range(0, 240, 7):
+        got = quality.read_text(texts[i].encode())
+        if got.base_failed:
+            continue
+        found = quality.viterbi(np.asarray(got.features) @ field.emission, field)
+        right += sum(a == b for a, b in zip(found, truth[i]))
+        total += len(truth[i])
+        share = quality.content_share(got, field)
+        assert 0 < share < 1 and (share >= 0.5) == bool(labels[i][1])
+    assert total > 300 and right / total > 0.97
+
+
+def test_field_maximises_the_likelihood():
+    """Against the likelihood by enumeration of all labellings of short chains."""
+    rng = np.random.default_rng(3)
+    chains = [rng.random((n, quality.FEATURES)) for n in (1, 2, 3, 4, 4, 3)]
+    labels = [rng.integers(0, 2, len(c)) for c in chains]
+    field = quality.fit_field(chains, labels)
+
+    def loss(emission, transition, first):
+        total, lines = 0.0, sum(len(c) for c in chains)
+        for c, y in zip(chains, labels):
+            def score(path, c=c):
+                return first[path[0]] + sum((c[i] @ emission)[k] for i, k in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:]))
+            every = [score(p) for p in itertools.product((0, 1), repeat=len(c))]
+            total += np.logaddexp.reduce(every) - score(tuple(y))
+        return total / lines + quality.RIDGE / 2 * (np.sum(emission ** 2) + np.sum(transition ** 2) + np.sum(first ** 2))
+
+    best = loss(field.emission, field.transition, field.first)
+    for _ in range(40):
+        e, t, f = (0.05 * rng.normal(size=a.shape) for a in (field.emission, field.transition, field.first))
+        assert loss(field.emission + e, field.transition + t, field.first + f) > best - 1e-3
+
+
+def test_large_sets_just_below_the_border_are_not_linked():
+    """A million shingles: on 32 bits chance matches would lift the pair over the border."""
+    rng = np.random.default_rng(2)
+    n, shared = 1_000_000, 918_700  # 918700 / 1081300 = 0.8496
+    pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2))
+    rng.shuffle(pool)
+    one, two = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n:2 * n - shared]]))
+    assert not neardup.similar(n, n, one.astype("<u8").tobytes(), two.astype("<u8").tobytes())
+    more = np.sort(np.concatenate([pool[:919_000], pool[n:2 * n - 919_000]]))
+    assert neardup.similar(n, n, one.astype("<u8").tobytes(), more.astype("<u8").tobytes())
+
+
+def test_quality_of_odd_rows_and_empty_tables(spark, odd):
+    field = quality.without_labels()
+    assert odd.limit(0).select(quality.judged(F.col("text"), field).alias("j")).count() == 0
+    judged = odd.select("doc_id", quality.judged(F.col("text"), field).alias("j")).collect()
+    assert len(judged) == odd.count() and not any(r.j.kept for r in judged if r.doc_id in (3, 4, 6))

@@ -99,15 +99,15 @@ def _entered(batch: pa.RecordBatch, chunks: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), flat], ["node", "keys"])
 
 
-def _small_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = [(s.size, (s >> np.uint64(32)).astype("<u4").tobytes()) for s in map(shingle_set, bytes_of(batch.column(1)))]
+def _full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = [(s.size, s.astype("<u8").tobytes()) for s in map(shingle_set, bytes_of(batch.column(1)))]
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()),
                                        pa.array([b for _, b in rows], pa.binary())], ["node", "n", "shingles"])
 
 
 def similar(m: int, n: int, one: bytes, two: bytes, percent: int = PERCENT) -> bool:
-    """Whether two full sets of m and n shingles, sorted, are similar enough."""
-    s, t = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")
+    """Whether two full sets of m and n shingles, sorted 64-bit hashes, are similar enough."""
+    s, t = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
     shared = int((t[np.minimum(np.searchsorted(t, s), t.size - 1)] == s).sum())
     return 100 * shared >= percent * (int(m) + int(n) - shared)
 
@@ -247,7 +247,7 @@ def classes(nodes: DataFrame, docs: DataFrame, law: Law = OP10) -> DataFrame:
 
     wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node")
     found = docs.select(row_key(), "text").join(wanted, "row").select("node", "text")
-    sets = stored(arrow_rows(found, _small_sets, "node long, n long, shingles binary").dropDuplicates(["node"]))
+    sets = stored(arrow_rows(found, _full_sets, "node long, n long, shingles binary").dropDuplicates(["node"]))
 
     def close(batch: pa.RecordBatch) -> pa.RecordBatch:
         one, two = (np.stack([np.frombuffer(s, "<u2") for s in batch.column(i).to_pylist()]) for i in (2, 3))

@@ -3,8 +3,9 @@
 The lines with a word are the chain. Emission scores are linear in the features of :func:`line_features`,
 transitions have a weight for each pair of labels, and the best labels are found by Viterbi
 decoding. A document is kept when at least ``CONTENT_SHARE`` of its words stand in content lines, and the base rules
-(few words, much repetition) do not reject it. The field is fitted on the documents of ``labels``, a good document's lines as content and
-a bad one's as boilerplate: at most ``SAMPLE`` documents of each kind, and of these the first ``FIT_LINES`` lines.
+(few words, much repetition) do not reject it. The field is fitted on the lines of documents of ``labels``, a line labelled as its document is
+unless it is plainly the other kind (:func:`line_labels`): on at most ``SAMPLE`` documents of each kind, and of a long one on ``FIT_CHAINS`` chains of ``CHAIN`` lines,
+spread over the whole text.
 
 Null text counts as empty, and an empty text has no words and fails the base rules. Without usable labels every line is
 content. Repeated rows are judged alike, an empty table gives an empty result, and other columns are left alone.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import bounded_sample, bytes_of, fresh, read
 
-SAMPLE, FIT_LINES, CONTENT_SHARE = 1500, 256, 0.5
+SAMPLE, FIT_CHAINS, CONTENT_SHARE, SURE = 1500, 8, 0.5, 0.6
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 CHAIN, STEPS, RATE, RIDGE = 32, 150, 0.1, 1e-3
 SPACE, SYMBOLS, MORE_SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"#*$%&|<>{}[]=~^_\\/@"
@@ -150,19 +151,34 @@ def content_share(got: Read, field: Field) -> float:
     return sum(n for n, y in zip(got.line_words, labels, strict=True) if y) / max(1, sum(got.line_words))
 
 
-def fit_field(chains: list[np.ndarray], labels: list[int]) -> Field:
-    """Maximum likelihood by Adam, with forward-backward over all chains at once; a chain has one label."""
-    if len(set(labels)) < 2:
+def line_labels(chains: list[np.ndarray], labels: list[int], sure: float = SURE) -> list[np.ndarray]:
+    """A label for every line: its document's, but the other where the line alone is that with more than ``sure`` probability.
+
+    A field without transitions, fitted on the labels of the documents, says what a line is like on its own: heads, menus and feet recur in bad documents, so
+    in a good one they stand out, as do plain sentences in a bad one. From here on chains hold both labels and transitions have something to learn from.
+    """
+    alone = fit_field(chains, [np.full(len(c), y) for c, y in zip(chains, labels, strict=True)], chain=1)
+    out = []
+    for c, y in zip(chains, labels, strict=True):
+        scores = c @ alone.emission + alone.first
+        other = 1 / (1 + np.exp(scores[:, y] - scores[:, 1 - y]))
+        out.append(np.where(other > sure, 1 - y, y))
+    return out
+
+
+def fit_field(chains: list[np.ndarray], labels: list[np.ndarray], chain: int = CHAIN) -> Field:
+    """Maximum likelihood by Adam, with forward-backward over all chains at once; ``labels`` has one for every line."""
+    if len({int(y) for own in labels for y in own}) < 2:
         return without_labels()
-    cut = [(c[i:i + CHAIN], y) for c, y in zip(chains, labels, strict=True) for i in range(0, len(c), CHAIN)]
+    cut = [(c[i:i + chain], y[i:i + chain]) for c, y in zip(chains, labels, strict=True) for i in range(0, len(c), chain)]
     n, most = len(cut), max(len(c) for c, _ in cut)
-    x, real, y = np.zeros((n, most, FEATURES)), np.zeros((n, most), bool), np.array([y for _, y in cut])
-    for i, (c, _) in enumerate(cut):
-        x[i, :len(c)], real[i, :len(c)] = c, True
-    flat, alive = x[real], real.sum(1)
-    seen_e = np.stack([flat[np.repeat(y, alive) == k].sum(0) for k in (0, 1)], 1)
-    seen_t = np.diag([float((alive[y == k] - 1).sum()) for k in (0, 1)])
-    seen_f = np.bincount(y, minlength=2).astype(float)
+    x, real, y = np.zeros((n, most, FEATURES)), np.zeros((n, most), bool), np.zeros((n, most), int)
+    for i, (c, own) in enumerate(cut):
+        x[i, :len(c)], real[i, :len(c)], y[i, :len(c)] = c, True, own
+    seen_e = np.stack([x[real & (y == k)].sum(0) for k in (0, 1)], 1)
+    follows = real[:, 1:]
+    seen_t = np.array([[float((follows & (y[:, :-1] == i) & (y[:, 1:] == j)).sum()) for j in (0, 1)] for i in (0, 1)])
+    seen_f = np.bincount(y[:, 0], minlength=2).astype(float)
     w = np.zeros(FEATURES * 2 + 6)
     m, v, lines = np.zeros_like(w), np.zeros_like(w), float(real.sum())
     for step in range(1, STEPS + 1):
@@ -180,7 +196,6 @@ def fit_field(chains: list[np.ndarray], labels: list[int]) -> Field:
         total = np.logaddexp(ahead[:, 0, 0] + behind[:, 0, 0], ahead[:, 0, 1] + behind[:, 0, 1])
         marginal = np.exp(ahead + behind - total[:, None, None]) * real[..., None]
         pairs = np.zeros((2, 2))
-        follows = real[:, 1:]
         for i in (0, 1):
             for j in (0, 1):
                 p = ahead[:, :-1, i] + t[i, j] + s[:, 1:, j] + behind[:, 1:, j] - total[:, None]
@@ -192,9 +207,18 @@ def fit_field(chains: list[np.ndarray], labels: list[int]) -> Field:
     return Field(w[:-6].reshape(FEATURES, 2), w[-6:-2].reshape(2, 2), w[-2:])
 
 
+def _fit_lines(features: list[list[float]]) -> np.ndarray:
+    """The lines of a text that the field is fitted on: all, or of a long text ``FIT_CHAINS`` chains spread evenly over the whole of it."""
+    lines = np.asarray(features, float).reshape(-1, FEATURES)
+    if len(lines) <= FIT_CHAINS * CHAIN:
+        return lines
+    starts = np.linspace(0, len(lines) - CHAIN, FIT_CHAINS).astype(int)
+    return np.concatenate([lines[a:a + CHAIN] for a in starts])
+
+
 def _sample_features(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts, labels = bytes_of(batch.column(0)), batch.column(1)
-    rows = [np.asarray(read_text(t).features[:FIT_LINES], float).ravel() for t in texts]
+    rows = [_fit_lines(read_text(t).features).ravel() for t in texts]
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), labels], ["x", "quality"])
 
 
@@ -208,7 +232,8 @@ def train_field(docs: DataFrame, labels: DataFrame) -> Field:
     sample = bounded_sample(sample, "quality", 2 * SAMPLE, ["doc_id", "text"]).select("text", "quality")
     rows = sample.mapInArrow(lambda it: (_sample_features(b) for b in it if b.num_rows), "x array<double>, quality int").collect()
     rows = sorted((r.quality, tuple(r.x)) for r in rows if r.x)
-    return fit_field([np.array(x).reshape(-1, FEATURES) for _, x in rows], [q for q, _ in rows])
+    chains, kinds = [np.array(x).reshape(-1, FEATURES) for _, x in rows], [q for q, _ in rows]
+    return fit_field(chains, line_labels(chains, kinds)) if len(set(kinds)) == 2 else without_labels()
 
 
 def judged(text: Column, field: Field) -> Column:
