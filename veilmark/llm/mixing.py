@@ -95,8 +95,12 @@ def _plan(hist: pd.DataFrame) -> pd.DataFrame:
                          "extra": [extra.get(s, 0) for s in hist["size"]]})
 
 
-def mix(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add source_size, target and taken to stored rows of (doc_id, src, size, ...); ``src`` is from :func:`source_key`."""
+def mix(rows: DataFrame, seed: int = SEED, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add source_size, target and taken to stored rows of (doc_id, src, size, ...); ``src`` is from :func:`source_key`.
+
+    ``order`` names the columns that tell rows of one length apart; with the text's hash among them the choice is the same in every run
+    for repeated and for null ids too.
+    """
     hist = rows.groupBy("src", "size").agg(F.count("*").alias("n"))
     sizes = [(r.src, int(r.total)) for r in hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()]
     goal = targets([(None if s == "-" else s[1:], n) for s, n in sizes])
@@ -106,7 +110,7 @@ def mix(rows: DataFrame, seed: int = SEED) -> DataFrame:
         "src string, source_size long, target double, budget string")
     plan = (hist.join(goals.select("src", "budget"), "src").groupBy("src")
             .applyInPandas(_plan, "src string, size long, whole long, extra long"))
-    ranked = salted_rank(rows, ["src", "size"], [F.lit(seed), "doc_id"], "_rank", extra=plan)
+    ranked = salted_rank(rows, ["src", "size"], [F.lit(seed), *order], "_rank", extra=plan)
     times = F.col("whole") + F.when(F.col("_rank") < F.col("extra"), 1).otherwise(0)
     return ranked.withColumn("taken", (times * F.col("size")).cast("long")).drop("_rank", "whole", "extra").join(
         goals.drop("budget"), "src")
@@ -119,13 +123,15 @@ def source_key(source: Column) -> Column:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    rows = stored(docs.select("doc_id", source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size")))
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    rows = stored(docs.select("doc_id", source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"),
+                              F.xxhash64("text").alias("hash")))
+    return mix(rows, order=("doc_id", "hash")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with their columns, a document that is taken n times in n rows."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select("doc_id", source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), row.alias("row"))
-    taken = mix(rows).filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    rows = docs.select("doc_id", source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"),
+                       row.alias("row"))
+    taken = mix(rows, order=("doc_id", "hash")).filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
     return taken.select("row.*")

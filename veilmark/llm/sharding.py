@@ -117,8 +117,8 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
 
 
-def reshard(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows of (doc_id, size, text_crc32, old_shard); ``rows`` is read several times."""
+def placed(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
+    """Add ``shard`` to rows of (doc_id, size, text_crc32, old_shard, ...); ``rows`` is read several times."""
     spark = rows.sparkSession
     totals = {r.old_shard: r.bytes for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()}
     total = sum(totals.values())
@@ -130,42 +130,52 @@ def reshard(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFr
     rows = rows.withColumn("_block", blocks if totals else F.lit(""))
     sizes = rows.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes")).collect()
     sizes = sorted((r.old_shard, r._block, r.bytes) for r in sizes)
-    placed = place_blocks(sizes, equal_capacities(total, shards))
-    moves = spark.createDataFrame([(o, b, j) for (o, b, _), j in zip(sizes, placed, strict=True)],
+    homes = place_blocks(sizes, equal_capacities(total, shards))
+    moves = spark.createDataFrame([(o, b, j) for (o, b, _), j in zip(sizes, homes, strict=True)],
                                   "old_shard int, _block string, shard int")
-    rows = rows.join(F.broadcast(moves), ["old_shard", "_block"]).drop("_block")  # at most 2 * parts * shards + shards rows
+    return rows.join(F.broadcast(moves), ["old_shard", "_block"]).drop("_block")  # at most 2 * parts * shards + shards rows
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``slot``, the place of a row in its shard."""
     return salted_rank(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", buckets=1024)
 
 
+def reshard(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
+    """Add ``shard`` and ``slot`` to rows of (doc_id, size, text_crc32, old_shard)."""
+    return numbered(placed(rows, shards, parts))
+
+
 def old_layout(source: Column, shards: int = SHARDS) -> Column:
     """The layout before: whole sources in shards, dealt by the checksum of their name."""
     return F.pmod(F.crc32(F.coalesce(source, F.lit("")).cast("binary")), F.lit(shards)).cast("int")
 
 
-def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
+def sized(docs: DataFrame, old_shard: Column, *keep: Column) -> DataFrame:
     text = F.col("text")
     return stored(docs.select("doc_id", text_size(text).alias("size"),
                               F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-                              old_shard.alias("old_shard")))
+                              old_shard.alias("old_shard"), *keep))
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, folder: str) -> DataFrame:
-    """Write the shards whose content changes, as ``folder/shard=N``; gives the shards written.
+def rewrite(docs: DataFrame, old_shard: Column, folder: str, shards: int = SHARDS) -> DataFrame:
+    """Reshard ``docs`` and write the shards whose content changes, as ``folder/shard=N`` with a column ``slot``; gives the shards written.
 
-    ``placed`` is what :func:`reshard` gives, by unique ``doc_id``. A shard that keeps all its rows
-    and receives none has no new file.
+    Every row is carried with its place, so null and repeated ids keep all their rows. A shard that keeps all its rows and receives none has no new file.
+    The columns ``shard`` and ``slot`` are new; a document's own columns of these names are written as ``shard_`` and ``slot_``.
     """
-    changed = (placed.filter("shard != old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard"))
-               .distinct())
-    affected = placed.join(F.broadcast(changed), "shard").select("doc_id", "shard", "slot")  # at most one row per shard
-    out = docs.join(affected, "doc_id")
-    out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode(
+    names = [c + "_" if c in ("shard", "slot") else c for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    rows = stored(placed(sized(docs, old_shard, row.alias("row")), shards))
+    moved = rows.filter("shard != old_shard")
+    changed = moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
+    out = numbered(stored(rows.join(F.broadcast(changed), "shard")))  # at most one row per shard
+    out.select("row.*", "shard", "slot").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode(
         "overwrite").partitionBy("shard").parquet(folder)
     return changed
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    placed = reshard(sized(docs, old_layout(F.col("source"))))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    return reshard(sized(docs, old_layout(F.col("source")))).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))

@@ -1,8 +1,8 @@
 """URL filter: host and path rules, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
-A term counts where no ASCII letter or digit stands next to it. A strict term weighs 1 and a
-soft one ``1 / SOFT_HITS``; a URL whose distinct terms weigh 1 or more is blocked, so one strict
-term is enough, or ``SOFT_HITS`` different soft ones. A null URL, or one without ``://``, has
+The vocabulary is a list of stems, each with its plural. A term counts where no ASCII letter or digit stands next to it, in host, path or query alike. A strict stem
+weighs 1 and a soft one ``1 / SOFT_HITS``; a URL whose distinct stems weigh 1 or more is blocked, so one strict
+stem is enough, or ``SOFT_HITS`` different soft ones. A null URL, or one without ``://``, has
 an empty host and path; its text, if any, is still searched. Rows are judged one by one, so repeated rows
 get the same verdict, and an empty table gives an empty result.
 """
@@ -18,10 +18,20 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import read
 
-# Fixed values of this filter: its vocabulary.
-STRICT = ["porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "sexcam", "warez", "keygen", "phishing", "malware"]
-SOFT = ["casino", "poker", "betting", "slots", "jackpot", "lottery", "viagra", "cialis", "payday", "loan", "torrent", "crack",
-        "nude", "adult", "dating", "hookup", "cheap", "replica"]
+# Fixed values of this filter: the stems of its vocabulary, strict ones and soft ones by class. A stem stands for itself and its plural.
+STRICT = ["porn", "porno", "xxx", "hentai", "escort", "camgirl", "sexcam", "milf", "upskirt", "warez", "keygen", "serialz", "phishing", "malware", "ransomware",
+          "botnet", "carding", "cvvshop"]
+SOFT_CLASSES = {
+    "gambling": ["casino", "poker", "bet", "betting", "bookmaker", "slot", "jackpot", "lottery", "roulette", "blackjack", "baccarat", "bingo", "wager",
+                 "gambling", "sportsbook", "win", "winner"],
+    "pharmacy": ["viagra", "cialis", "levitra", "pill", "pharmacy", "xanax", "tramadol", "steroid", "valium", "slimming", "prescription"],
+    "money": ["payday", "loan", "forex", "lender", "cheap", "free", "discount", "replica", "coupon", "earn", "cash", "giveaway", "prize", "sweepstake"],
+    "piracy": ["torrent", "crack", "cracked", "nulled", "repack", "hack", "cheat", "leak", "unlocked"],
+    "adult": ["nude", "adult", "dating", "hookup", "erotic", "fetish", "lingerie", "webcam", "swinger", "strip", "sexy", "girl"],
+    "spam": ["spam", "clickbait", "traffic", "backlink", "seo", "bulkmail", "autosurf"],
+}
+SOFT = [term for terms in SOFT_CLASSES.values() for term in terms]
+SUFFIXES = ["", "s"]
 SOFT_HITS = 2
 
 # Fixed values of the rules: (host, path, verdict). The longest that fits wins.
@@ -32,27 +42,29 @@ RULES = [("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("
 @lru_cache
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for term in (*soft, *strict):
-        found.add_word(term, (term, term in strict))
+    for stem in (*soft, *strict):
+        for suffix in SUFFIXES:
+            if suffix == "" or stem + suffix not in (*soft, *strict):
+                found.add_word(stem + suffix, (len(stem + suffix), stem, stem in strict))
     found.make_automaton()
     return found
 
 
 def hits(url: str | None, terms: ahocorasick.Automaton) -> tuple[int, int]:
-    """Distinct strict and soft terms of a URL."""
+    """Distinct strict and soft stems of a URL."""
     if not url:
         return 0, 0
     text, seen = url.lower(), set()
-    for end, (term, strict) in terms.iter(text):
-        start = end - len(term)
+    for end, (length, stem, strict) in terms.iter(text):
+        start = end - length
         if not any(0 <= i < len(text) and text[i].isascii() and text[i].isalnum() for i in (start, end + 1)):
-            seen.add((term, strict))
+            seen.add((stem, strict))
     strict = sum(s for _, s in seen)
     return strict, len(seen) - strict
 
 
 def term_hits(url: Column, strict: list[str] = STRICT, soft: list[str] = SOFT) -> Column:
-    """Struct (strict, soft): numbers of distinct terms."""
+    """Struct (strict, soft): numbers of distinct stems."""
     names = tuple(strict), tuple(soft)
 
     @F.pandas_udf("strict int, soft int")
@@ -99,7 +111,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sql() -> str:
     def distinct(terms: list[str]) -> str:
-        return " + ".join(f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}($|[^a-z0-9])')::int" for t in terms)
+        return " + ".join(f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}s?($|[^a-z0-9])')::int" for t in terms)
 
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v)
             for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
