@@ -7,8 +7,8 @@ The covariance V is never formed. A pass over the fit list gives ``V Q = Xc' (Xc
 and tasks are added in groups of ``FAN`` until few sums are left for the driver, of the size of Q. The iteration:
 
 1. A random block of ``BLOCK`` orthonormal columns (all of the space, if that is smaller); Rayleigh-Ritz gives values e and vectors.
-2. A Chebyshev polynomial that is small on [0, c], c the smallest Ritz value of the block, and grows fast above is applied by its three-term recurrence, one pass a
-   degree, which damps the unwanted spectrum. The degree is held where the largest value would drown the smallest wanted one.
+2. A Chebyshev polynomial that is small on [a, c], c the smallest Ritz value of the block and a a floor of the spectrum from a few Lanczos steps, and grows fast above
+   is applied by its three-term recurrence, one pass a degree, which damps the unwanted spectrum. The degree is held where the largest value would drown the smallest wanted one.
 3. QR against the vectors already certified, Rayleigh-Ritz on all, until every wanted vector is certified: residual ``|V q - e q|`` at most ``TOLERANCE * e1``.
    A round that improves no residual any more ends the iteration too, if all are within ``ENOUGH * e1``, the reach of double sums; else it goes on.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import read, stored
 
-SCALE, SHIFT, COMPONENTS, BLOCK, DEGREE, FAN, ROUNDS = 64, 1_000_000, 16, 48, 12, 64, 200
+SCALE, SHIFT, COMPONENTS, BLOCK, DEGREE, FAN, ROUNDS, LANCZOS = 64, 1_000_000, 16, 48, 12, 64, 200, 8
 TOLERANCE, ENOUGH, NOTHING, DROWN = 1e-13, 1e-11, 1e-12, 1e8
 
 
@@ -124,21 +124,38 @@ def _sums(dim: int):
     return run
 
 
-def chebyshev(times, block: np.ndarray, degree: int, cut: float, top: float) -> np.ndarray:
-    """A Chebyshev polynomial of V times ``block``, small on [0, cut] and scaled to about 1 at ``top``."""
-    half = cut / 2
-    first = half / (top - half)
-    ratio, before, now = first, block, (times(block) - half * block) * (first / half)
+def spectrum_floor(times, dim: int, steps: int = LANCZOS, seed: int = 17) -> float:
+    """A value that the spectrum of V hardly reaches below: the least value of a few Lanczos steps less the length of what they leave, 0 at least."""
+    q = np.random.default_rng(seed).normal(size=(dim, 1))
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    for _ in range(min(steps, dim)):
+        w = times(basis[-1])
+        alpha.append(float((w * basis[-1]).sum()))
+        for v in basis:
+            w = w - v * (v * w).sum()
+        beta.append(float(np.linalg.norm(w)))
+        if beta[-1] <= NOTHING * max(map(abs, alpha)):
+            break
+        basis.append(w / beta[-1])
+    least = np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))[0] if len(alpha) == len(beta) else 0.0
+    return max(0.0, float(least) - beta[-1])
+
+
+def chebyshev(times, block: np.ndarray, degree: int, low: float, cut: float, top: float, project=lambda y: y) -> np.ndarray:
+    """A Chebyshev polynomial of V times ``block``, small on [low, cut] and scaled to about 1 at ``top``; ``project`` keeps its iterates clean."""
+    half, middle = (cut - low) / 2, (cut + low) / 2
+    first = half / (top - middle)
+    ratio, before, now = first, block, project(times(block) - middle * block) * (first / half)
     for _ in range(degree - 1):
         following = 1 / (2 / first - ratio)
-        before, now = now, 2 * (following / half) * (times(now) - half * now) - ratio * following * before
+        before, now = now, project(2 * (following / half) * (times(now) - middle * now) - ratio * following * before)
         ratio = following
     return now
 
 
-def _degree(cut: float, top: float, wanted: float) -> int:
+def _degree(low: float, cut: float, top: float, wanted: float) -> int:
     """The highest degree, ``DEGREE`` at most, at which ``top`` grows no more than ``DROWN`` times as much as ``wanted``."""
-    growth = [np.arccosh(max(1.0, 2 * e / cut - 1)) for e in (top, wanted)]
+    growth = [np.arccosh(max(1.0, (2 * e - cut - low) / (cut - low))) for e in (top, wanted)]
     return int(min(DEGREE, max(2, np.log(DROWN) / max(growth[0] - growth[1], 1e-9))))
 
 
@@ -151,7 +168,7 @@ def leading_components(times, dim: int, want: int = COMPONENTS, block: int = BLO
     """(values, vectors, largest residual) of the ``want`` largest eigenvalues of the symmetric, non-negative V behind ``times(Q) = V Q``."""
     want, block = min(want, dim), min(block, dim)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, block)))[0]
-    least = np.inf
+    least, floor = np.inf, None
     for _ in range(ROUNDS):
         vq = times(q)
         e, u = np.linalg.eigh((q.T @ vq + vq.T @ q) / 2)
@@ -168,9 +185,11 @@ def leading_components(times, dim: int, want: int = COMPONENTS, block: int = BLO
         if cut <= NOTHING * top:  # fewer directions with variance than columns: one product spans them all
             q = np.linalg.qr(vq)[0]
             continue
-        degree = _degree(cut, float(e[sure]), float(e[want - 1]))
+        floor = spectrum_floor(times, dim) if floor is None else floor
+        low = floor if floor < 0.98 * cut else 0.0
+        degree = _degree(low, cut, float(e[sure]), float(e[want - 1]))
         held = q[:, :sure]
-        filtered = chebyshev(lambda y, held=held: _without(held, times(_without(held, y))), q[:, sure:], degree, cut, float(e[sure]))
+        filtered = chebyshev(times, q[:, sure:], degree, low, cut, float(e[sure]), lambda y, held=held: _without(held, y))
         filtered /= np.linalg.norm(filtered, axis=0)
         for _ in range(2):
             filtered = np.linalg.qr(_without(held, filtered))[0]
