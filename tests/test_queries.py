@@ -39,3 +39,12 @@ def test_queries_without_what_the_subpackage_needs(monkeypatch):
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "ahocorasick", None)  # as if it were not installed
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+
+
+def test_analyzed_files_hold_a_text_for_each_supplier(spark, tmp_path):
+    tables = {"supplier": ([(1,), (2,), (3,)], "s_suppkey bigint"), "nation": ([(0,)], "n_nationkey int"), "region": ([(0, "r")], "r_regionkey int, r_name string"),
+              "customer": ([(7, "Ann", 0, 1.5, "x")], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = entry.queries()["p2_analyze_files"](spark, str(tmp_path)).select("name").collect()
+    assert sorted(row[0] for row in found) == ["fin-1", "fin-2", "fin-3", "nation-0"]
