@@ -492,3 +492,10 @@ def test_quality_of_odd_rows_and_empty_tables(spark, odd):
     assert odd.limit(0).select(quality.judged(F.col("text"), field).alias("j")).count() == 0
     judged = odd.select("doc_id", quality.judged(F.col("text"), field).alias("j")).collect()
     assert len(judged) == odd.count() and not any(r.j.kept for r in judged if r.doc_id in (3, 4, 6))
+
+
+def test_words_encoded_together_have_their_own_tokens():
+    encoder = packing.Tokens(packing.vocabulary())
+    words = ["plain", "don't", "a\tb", "x\n\ny", "é中文", "Ġ", "\x01", "12-34", "--"] * 40 + [f"w{i}" for i in range(300)]
+    assert encoder.encode_words(words) == encoder.encode([" " + w for w in words])
+    assert encoder.encode_words([]) == []

@@ -35,7 +35,7 @@ from veilmark.llm.common import arrow_rows, read, salted_rank, stored
 
 LENGTH, SMALL, GROUPS = 2048, 600, (24, 48, 96)
 VOCABULARY = "byte_bpe_50k.json"
-CACHED, END = 600_000, bytes(4)
+CACHED, END, TOGETHER = 600_000, bytes(4), 256
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------------------
@@ -54,11 +54,26 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # how the tokenizer writes a space
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == space]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [array("I", e.ids).tobytes() for e in got]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space: many are encoded as one text and cut where a token begins with a space."""
+        out = []
+        runs = [words[at:at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for run, ids in zip(runs, self.encode([" " + " ".join(run) for run in runs]), strict=True):
+            cuts = (4 * np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")])).tolist()
+            if len(cuts) != len(run) or cuts[0]:
+                out += self.encode([" " + w for w in run])
+            else:
+                out += [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+        return out
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, ended by id 0."""
         if len(self.known) > CACHED:
@@ -70,7 +85,7 @@ class Tokens:
         new = set().union(*split).difference(known)
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         known.update(dict.fromkeys(new))
-        known.update(zip(plain, self.encode([" " + w for w in plain]), strict=True))
+        known.update(zip(plain, self.encode_words(plain), strict=True))
         word, out, odd = known.__getitem__, [], []
         for i, (words, ids) in enumerate(zip(split, self.encode(heads), strict=True)):
             parts = [ids, *map(word, words), END]
