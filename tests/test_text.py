@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import clean, detect, verify
 from veilmark.functions import fixed_values as fixed
-from veilmark.functions.text import ascii_digits, exact_round, running, slice_blocks, slice_text, text_blocks
+from veilmark.functions.text import ascii_digits, exact_round, running, running_max, slice_blocks, slice_text, text_blocks
 from veilmark.sources.annotations import chunk_text
 
 ODD = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\x00\x07\x7f") + [chr(c) for c in (
@@ -150,3 +150,20 @@ def test_running_values(spark):
     got = rows.select("i", running(F.col("x"), lambda a, b: a + b).alias("s"), running(F.col("x"), F.greatest).alias("m"))
     for r in got.collect():
         assert r.s == list(accumulate(lists[r.i])) and r.m == list(accumulate(lists[r.i], max))
+
+
+def test_running_maximum_and_islands_of_any_order(spark):
+    rows = [(1, []), (2, [5]), (3, [1, 4, 4, 9]), (4, [3, 9, 2, 8, 12]), (5, [7, 1])]
+    got = spark.createDataFrame(rows, "id int, xs array<int>").select("id", running_max(F.col("xs")).alias("m")).collect()
+    assert {r.id: r.m for r in got} == {i: [max(xs[:j + 1]) for j in range(len(xs))] for i, xs in rows}
+    spans = [(1, [(0, 9), (2, 3), (4, 6), (9, 11), (20, 22)]), (2, [(0, 2), (2, 5), (7, 8)]), (3, [(4, 6)]), (4, [(0, 5), (1, 6)])]
+    cut = spark.createDataFrame(spans, "id int, d array<struct<start:int,end:int>>").select("id", detect.overlap_islands(F.col("d")).alias("i"))
+    assert {r.id: [[(x.start, x.end) for x in island] for island in r.i] for r in cut.collect()} == {
+        1: [[(0, 9), (2, 3), (4, 6)], [(9, 11)], [(20, 22)]], 2: [[(0, 2)], [(2, 5)], [(7, 8)]], 3: [[(4, 6)]], 4: [[(0, 5), (1, 6)]]}
+
+
+def test_places_of_matches_in_a_text_with_control_characters(spark):
+    shown = "x\x01 a@example.com \x01\x01 b@example.com"
+    docs = spark.createDataFrame([(shown,), (shown.replace("\x01", ""),)], "t string")
+    got = docs.select("t", detect.raw_matches(F.col("t"), ["EMAIL"]).alias("m")).collect()
+    assert [[(m.value, r.t[m.start:m.end]) for m in r.m] for r in got] == [[("a@example.com",) * 2, ("b@example.com",) * 2]] * 2
