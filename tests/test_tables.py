@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import crypto
+from veilmark.functions.text import let
 from veilmark.operators import metrics, spans, vault
 from veilmark.plans.analyze import analyze_contents, analyze_documents, analyze_files, analyze_table, sanitize
 from veilmark.sources import annotations as ann
@@ -209,6 +210,28 @@ def test_costly_columns_are_computed_once(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_stages_are_projected_before_they_are_generated(spark):
+    """A generator evaluates its own expressions without generated code; none has any, and no filter repeats one."""
+    plan = analyze_documents(dated(spark, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(__") >= 5
+    assert "Generate explode(array(" not in plan and "Filter" not in plan
+
+
+def test_bound_values_are_not_copied(spark):
+    row = spark.range(1).select(F.lit(None).cast("string").alias("t"), F.array(F.lit(2), F.lit(3)).alias("a"))
+    bound = row.select(let(F.col("t"), lambda t: F.coalesce(t, F.lit("none"))).alias("null_too"),
+                       F.transform("a", lambda x: let(x * x, lambda y: let(y + x, lambda z: z * y))).alias("nested"))
+    assert bound.first() == ("none", [24, 108])
+    assert "transform(array(" not in bound._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counting_entities_splices_no_text(spark):
+    results = analyze_documents(dated(spark, 3))
+    pieces = [df._jdf.queryExecution().optimizedPlan().toString().count("AS pieces#") for df in (results, metrics.overview(results))]
+    assert pieces == [1, 0]
+    assert metrics.overview(results).first().entities == sum(len(r.entities) for r in results.collect())
+
+
 def test_every_selection_of_result_columns(spark):
     """The optimizer prunes nested fields through the stages; no selection may lose one."""
     results = analyze_documents(dated(spark, 3))
