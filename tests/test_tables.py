@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import crypto
+from veilmark.functions.detect import locate
 from veilmark.functions.text import let
 from veilmark.operators import metrics, spans, vault
 from veilmark.plans.analyze import analyze_contents, analyze_documents, analyze_files, analyze_table, sanitize
@@ -225,6 +226,13 @@ def test_bound_values_are_not_copied(spark):
     assert "transform(array(" not in bound._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_text_with_the_mark_keeps_its_offsets(spark):
+    text = "\x01a 12\x01\x01345 \u00e9\x01 6"
+    found = spark.createDataFrame([(text,)], "t string").select(
+        locate(F.col("t"), F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0)), F.lit("[0-9]+")).alias("m"))
+    assert [(m.value, m.start, m.end) for m in found.first().m] == [("12", 3, 5), ("345", 7, 10), ("6", 14, 15)]
+
+
 def test_counting_entities_splices_no_text(spark):
     results = analyze_documents(dated(spark, 3))
     pieces = [df._jdf.queryExecution().optimizedPlan().toString().count("AS pieces#") for df in (results, metrics.overview(results))]
