@@ -9,6 +9,7 @@ from veilmark.functions import crypto
 from veilmark.functions.detect import locate
 from veilmark.functions.text import let
 from veilmark.operators import metrics, spans, vault
+from veilmark.plans import analyze
 from veilmark.plans.analyze import analyze_contents, analyze_documents, analyze_files, analyze_table, sanitize
 from veilmark.sources import annotations as ann
 from veilmark.sources import audit, files, parts
@@ -249,3 +250,27 @@ def test_every_selection_of_result_columns(spark):
                     [c for c in results.columns if c != "token_map"]):
         assert len(results.select("document_id", *columns).collect()) == len(whole) == 3
     assert results.filter("risk_analysis.risk_score > 1000").select("anonymized_text").count() == 0
+
+
+def test_one_row_group_in_many_splits_is_dealt_to_all_cores(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(60_000).select("id", F.md5(F.col("id").cast("string")).alias("text")).coalesce(1).write.parquet(path)
+    name, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+
+    def rows(df):
+        return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 17))
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= cores and rows(df) == [60_000]
+        dealt = analyze.spread(df)
+        assert len(rows(dealt)) >= cores and max(rows(dealt)) * cores <= 1.25 * 60_000
+        assert sorted(dealt.collect()) == sorted(df.collect())
+    finally:
+        spark.conf.set(name, before)
+    even = spark.range(0, 800, 1, 2 * cores)
+    assert analyze.spread(even) is even
+    empty = spark.range(0, 0, 1, cores)
+    assert analyze.spread(empty).count() == 0
