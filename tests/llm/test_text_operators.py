@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilmark.llm import hashing, langid, neardup, packing, quality, repeats, sanitize
-from veilmark.llm.common import stored
+from veilmark.llm.common import arrow_batches, arrow_rows, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -499,3 +500,20 @@ def test_words_encoded_together_have_their_own_tokens():
     words = ["plain", "don't", "a\tb", "x\n\ny", "é中文", "Ġ", "\x01", "12-34", "--"] * 40 + [f"w{i}" for i in range(300)]
     assert encoder.encode_words(words) == encoder.encode([" " + w for w in words])
     assert encoder.encode_words([]) == []
+
+
+def test_texts_reach_the_tokenizer_in_small_batches(spark, monkeypatch):
+    """Whole batches of 10,000 long texts on either side of Python were too much for an executor."""
+    def sizes(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    docs = stored(spark.range(3000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1))
+    monkeypatch.setattr(packing, "pieces", lambda d: arrow_rows(d, sizes, "n long"))
+    monkeypatch.setattr(packing, "pack", lambda cut: cut)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [r.n for r in packing.packing_stage(spark, docs, "").collect()]
+    assert sum(got) == 3000 and max(got) <= 1024
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    with pytest.raises(ValueError), arrow_batches(spark, 7):
+        raise ValueError
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import arrow_rows, read, salted_rank, stored
+from veilmark.llm.common import arrow_batches, arrow_rows, read, salted_rank, stored
 
 LENGTH, SMALL, GROUPS = 2048, 600, (24, 48, 96)
 VOCABULARY = "byte_bpe_50k.json"
-CACHED, END, TOGETHER = 600_000, bytes(4), 256
+CACHED, END, TOGETHER, BATCH = 300_000, bytes(4), 256, 1024
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------------------
@@ -116,9 +116,9 @@ def pieces(docs: DataFrame, keep_ids: bool = False, name: str = VOCABULARY, leng
     """
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, piece, start, size, crc, own = [], [], [], [], [], []
-        texts, step = batch.column(1).to_pylist(), 256
+        texts, step = batch.column(1), 256
         for first in range(0, len(texts), step):
-            for i, ids in enumerate(tokens(vocabulary(name)).ids(texts[first:first + step]), first):
+            for i, ids in enumerate(tokens(vocabulary(name)).ids(texts.slice(first, step).to_pylist()), first):
                 n = len(ids) // 4
                 at, k = 0, 0
                 end = n - (n - 1) // length * length
@@ -139,6 +139,12 @@ def pieces(docs: DataFrame, keep_ids: bool = False, name: str = VOCABULARY, leng
     return arrow_rows(docs.select("doc_id", "text"), work, schema + ", ids array<int>" * keep_ids)
 
 
+def stored_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of all documents, stored. Texts travel ``BATCH`` rows at a time: a task holds one batch on either side of Python."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return stored(pieces(docs))
+
+
 # --- the plan ---------------------------------------------------------------------------------------------------------------------
 
 def rounded_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -323,9 +329,9 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(stored(pieces(read(spark, sf_dir, "documents"))))
+    return pack(stored_pieces(read(spark, sf_dir, "documents")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places (see :func:`op2`)."""
-    return pack(stored(pieces(docs)))
+    return pack(stored_pieces(docs))
