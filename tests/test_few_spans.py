@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.functions import context, detect, fuse
+from veilmark.functions import context, detect, fuse, quasi, risk
 from veilmark.functions.detect import SPANS_TYPE
 from veilmark.functions.text import exact_round, with_once
 from veilmark.plans import analyze
@@ -60,3 +60,25 @@ def test_gates_lose_no_match(spark):
     found = {row.t: {c.entity_type for c in row.c} for row in rows}
     kinds = ["PAN", "VOTER_ID", "DRIVING_LICENSE", "PASSPORT", "GST_NUMBER", "CREDIT_CARD", "CREDIT_CARD", "CREDIT_CARD"]
     assert all(kind in found[t] for t, kind in zip(texts, kinds))
+
+
+def test_documents_with_nothing_accepted_get_constants(spark):
+    """The constants are what the general functions give, and a text of rejected spans only is as one without any."""
+    spans = F.slice(F.array(F.struct(
+        F.lit("PHONE").alias("entity_type"), F.lit("v").alias("value"), F.lit(0.5).alias("confidence"))), F.col("id").cast("int") + 1, 0)
+    both = [risk.classify_document(risk.classify_entities(spans)).alias("a"), risk.no_risk().alias("b"),
+            quasi.no_combinations().alias("c"), quasi.reid_level(F.lit(0.0)).alias("level"), quasi.reid_recommendations(
+                quasi.reid_level(F.lit(0.0)), F.slice(quasi._rules(), 1, 0), F.transform(spans, lambda d: d["entity_type"])).alias("advice")]
+    (row,) = spark.range(1).select(*both).collect()
+    assert row.a.asDict(True) == row.b.asDict(True)
+    assert (row.c.re_identification_level, row.c.recommendations, row.c.correlation_risks) == (row.level, row.advice, [])
+
+    docs = spark.createDataFrame([("none", "plain words"), ("null", None), ("rejected", "Order ID: 9876543210 followers"),
+                                  ("kept", "Call me at 9876543210 now")], "doc_id string, text string")
+    found = {r.document_id: r for r in analyze.analyze_documents(docs, analyze.Options(keep_original=True)).collect()}
+    assert [len(found[d].entities) for d in ("none", "null", "rejected", "kept")] == [0, 0, 1, 1]
+    for name in ("none", "null", "rejected"):
+        assert found[name].risk_analysis == found["none"].risk_analysis and found[name].token_map == {}
+        assert (found[name].risk_analysis.risk_level, found[name].risk_analysis.entity_count) == ("LOW", 0)
+    assert found["rejected"].anonymized_text == "Order ID: 9876543210 followers"
+    assert found["rejected"].entities[0].sensitivity_level == "IGNORED" and found["kept"].risk_analysis.entity_count == 1
